@@ -17,8 +17,11 @@ def pg_initcap(col: Column) -> Column:
 
 
 def to_int_rounded(col: Column) -> Column:
-    """Nearest integer, halves to even; a bare cast would truncate."""
-    return F.bround(col, 0).cast("int")
+    """Nearest integer, halves to even; a bare cast would truncate.
+
+    Rounds to 4 digits first so that the order in which a sum was added cannot tip a half.
+    """
+    return F.bround(F.round(col, 4), 0).cast("int")
 
 
 def round_half_up(col: Column, digits: int) -> Column:

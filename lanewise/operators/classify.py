@@ -56,7 +56,7 @@ def natural_breaks(df: DataFrame, value: str, group: list[str], k: int = 5) -> D
         F.col("_distinct") > EXACT_VALUES, F.coalesce(F.round(F.col("v") / digits) * digits, F.lit(0.0))
     ).otherwise(F.col("v"))
     bins = (
-        salted_join(exact, sizes, group, ["v"])
+        salted_join(exact, sizes, group, ["v"], sizes=sizes.select(*group, F.col("_distinct").alias("_rows")))
         .groupBy(*group, "_low", pooled.alias("_bin"))
         .agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.max("v").alias("top"))
     )

@@ -92,8 +92,10 @@ def scale_to_control(
     ``pairs`` maps a value column to the control column. A group whose values add up to zero gets
     factor 0. Totals are combined map-side; attaching them back splits hot groups.
     """
-    totals = df.groupBy(*group).agg(*[F.sum(v).alias(f"_sum_{v}") for v in pairs])
-    factors = totals.join(controls, group).withColumns(
+    totals = df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(v).alias(f"_sum_{v}") for v in pairs]
+    )
+    factors = totals.drop("_rows").join(controls, group).withColumns(
         {
             f"_f_{v}": F.when(F.coalesce(F.col(f"_sum_{v}"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(
                 F.col(c) / F.col(f"_sum_{v}")
@@ -101,7 +103,7 @@ def scale_to_control(
             for v, c in pairs.items()
         }
     ).drop(*[f"_sum_{v}" for v in pairs])
-    scaled = salted_join(df, factors, group, salt_on)
+    scaled = salted_join(df, factors, group, salt_on, sizes=totals.select(*group, "_rows"))
     return scaled.withColumns(
         {f"{prefix}{v.removeprefix('init_')}": F.col(v) * F.col(f"_f_{v}") for v in pairs}
     ).drop(*[f"_f_{v}" for v in pairs])

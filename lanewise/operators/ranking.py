@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import domain as d
 from ..functions.text import pg_initcap
-from .skew import salted_join, top_per_group
+from .skew import key_sizes, salted_join, top_per_group
 
 
 def best_per_road(sliding: DataFrame, mode: str) -> DataFrame:
@@ -77,9 +77,10 @@ def priority_flag(crashes: DataFrame, n: int = d.PRIORITY_MARKERS) -> DataFrame:
     place = F.struct(F.coalesce("crash_year", F.lit(-(2**31))).alias("y"), F.col("crash_id").alias("i"))
     top = top_per_group(crashes.select(*keys, "crash_year", "crash_id"), keys, order, n, ["crash_id"])
     cuts = top.groupBy(*keys).agg(F.min(place).alias("_cut"))
-    totals = crashes.groupBy(*keys).agg(F.count(F.lit(1)).alias("mode_total"))
+    totals = key_sizes(crashes, keys)
+    marks = cuts.join(totals.withColumnRenamed("_rows", "mode_total"), keys)
     return (
-        salted_join(crashes, cuts.join(totals, keys), keys, ["crash_id"])
+        salted_join(crashes, marks, keys, ["crash_id"], sizes=totals)
         .withColumn("priority", place >= F.col("_cut"))
         .drop("_cut")
     )

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 2000
-HOT_FLOOR = 100_000
+HOT_KEYS = 2000
+HOT_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys with more than ``1/share`` of the rows and how many ways to split them.
+def key_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key, combined map-side."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
 
-    Each listed key exceeds ``total / share``, so there are fewer than ``share`` rows
-    however large the input is; that bound is what makes broadcasting the list safe.
+
+def hot_keys(sizes: DataFrame, keys: list[str], most: int = HOT_KEYS, rows: int = HOT_ROWS) -> DataFrame:
+    """The largest keys with more than ``rows`` rows and how many ways to split each.
+
+    At most ``most`` keys are returned whatever the input, which is what makes broadcasting
+    the list safe; a key left out holds less than ``1/most`` of all rows.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = F.greatest(sizes.agg(F.sum("_rows")).scalar() / float(share), F.lit(float(floor)))
-    sizes = sizes.withColumn("_limit", limit)
-    return sizes.filter(F.col("_rows") > F.col("_limit")).select(
-        *keys, F.ceil(F.col("_rows") / F.col("_limit")).cast("int").alias("_splits")
+    return (
+        sizes.filter(F.col("_rows") > rows)
+        .orderBy(F.desc("_rows"), *keys)
+        .limit(most)
+        .select(*keys, F.ceil(F.col("_rows") / float(rows)).cast("int").alias("_splits"))
     )
 
 
@@ -30,27 +35,25 @@ def salted_join(
     salt_on: list[str],
     how: str = "inner",
     residual: Column | None = None,
-    share: int = HOT_SHARE,
-    floor: int = HOT_FLOOR,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which hot keys of ``many`` are spread over several tasks.
 
     Rows of ``many`` under a hot key get a salt from a hash of ``salt_on`` (stable columns,
     so a re-run task writes the same rows); rows of ``few`` are copied once per salt of
-    their key. Ordinary keys keep salt 0 on both sides and are not copied.
+    their key. Ordinary keys keep salt 0 on both sides and are not copied. ``sizes`` may pass
+    row counts per key (``_rows``) that are at hand, which saves the counting pass.
     """
-    hot = hot_keys(many, keys, share, floor)
-    left = many.join(F.broadcast(hot), keys, "left").withColumn(
+    hot = F.broadcast(hot_keys(key_sizes(many, keys) if sizes is None else sizes, keys))
+    left = many.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*salt_on), F.col("_splits").cast("bigint")).cast("int")
         ),
     )
-    right = (
-        few.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)))
-        .drop("_splits")
-    )
+    right = few.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1))
+    ).drop("_splits")
     left = left.drop("_splits")
     if how == "left_semi" and residual is not None:
         right = right.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, "_salt"]})
