@@ -289,18 +289,19 @@ def clip_ring(ring: Column, planes: Column) -> Column:
     """Part of a ring inside every half-plane (Sutherland-Hodgman)."""
 
     def cut(acc, plane):
+        sided = F.transform(acc, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), _side(plane, p).alias("s")))
+
         def step(p, q):
-            sp, sq = _side(plane, p), _side(plane, q)
-            t = sp / F.when(sp != sq, sp - sq)
+            t = p["s"] / (p["s"] - q["s"])  # reached only when the signs differ
             hit = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+            end = point(q["x"], q["y"])
             return (
-                F.when((sp >= 0) & (sq >= 0), F.array(q))
-                .when(sp >= 0, F.array(hit))
-                .when(sq >= 0, F.array(hit, q))
+                F.when(p["s"] >= 0, F.when(q["s"] >= 0, F.array(end)).otherwise(F.array(hit)))
+                .when(q["s"] >= 0, F.array(hit, end))
                 .otherwise(F.array().cast(LINE))
             )
 
-        return F.flatten(F.zip_with(acc, _rotated(acc), step))
+        return F.flatten(F.zip_with(sided, _rotated(sided), step))
 
     return F.aggregate(planes, ring.cast(LINE), cut)
 
@@ -310,6 +311,15 @@ def clip_rings(rings: Column, planes: Column) -> Column:
     return F.transform(rings, lambda r: clip_ring(r, planes))
 
 
+def explode_kept(rings: Column, at_least: int = 1) -> Column:
+    """Generate the polygon, or no row if its outer ring has fewer vertices.
+
+    A generator keeps Spark from evaluating a costly clip once for a filter and again
+    for the result.
+    """
+    return F.explode(F.filter(F.array(rings), lambda r: F.size(F.element_at(r, 1)) >= at_least))
+
+
 def clip_edge(planes: Column, x0="x0", y0="y0", x1="x1", y1="y1") -> Column:
     """Parameter interval ``(t0, t1)`` of an edge inside every half-plane; empty if t0 > t1."""
     p, q = point(x0, y0), point(x1, y1)

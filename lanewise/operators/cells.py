@@ -113,9 +113,9 @@ def tile_polygons(polygons: DataFrame, size: float = AREA_CELL_M) -> DataFrame:
         polygons.withColumn("_b", box)
         .withColumn("gx", F.explode(F.sequence(_cell(F.col("_b.xmin"), size), _cell(F.col("_b.xmax"), size))))
         .withColumn(
-            "rings", g.clip_rings(F.col("rings"), g.slab("x", F.col("gx") * size, (F.col("gx") + 1) * size))
+            "rings",
+            g.explode_kept(g.clip_rings(F.col("rings"), g.slab("x", F.col("gx") * size, (F.col("gx") + 1) * size))),
         )
-        .filter(F.size(F.element_at("rings", 1)) > 0)
         .withColumn("_b", box)
     )
     return (
@@ -124,9 +124,9 @@ def tile_polygons(polygons: DataFrame, size: float = AREA_CELL_M) -> DataFrame:
         )
         .drop("_b")
         .withColumn(
-            "rings", g.clip_rings(F.col("rings"), g.slab("y", F.col("gy") * size, (F.col("gy") + 1) * size))
+            "rings",
+            g.explode_kept(g.clip_rings(F.col("rings"), g.slab("y", F.col("gy") * size, (F.col("gy") + 1) * size))),
         )
-        .filter(F.size(F.element_at("rings", 1)) > 0)
     )
 
 
@@ -166,11 +166,9 @@ def clip_polygons(polygons: DataFrame, area: DataFrame, key: str, size: float =
     quads = right.select(*CELL, F.explode(g.trapezoids(F.col("rings"))).alias("_quad"))
     return (
         salted_join(left, quads, CELL, [key])
-        .withColumn("rings", g.clip_rings(F.col("rings"), g.convex_planes(F.col("_quad"))))
+        .withColumn("rings", g.explode_kept(g.clip_rings(F.col("rings"), g.convex_planes(F.col("_quad"))), 3))
         .drop("_quad")
-        .filter(F.size(F.element_at("rings", 1)) >= 3)
-        .withColumn("area", g.polygon_area(F.col("rings")))
-        .filter(F.col("area") > 0)
+        .withColumn("area", F.explode(F.filter(F.array(g.polygon_area(F.col("rings"))), lambda a: a > 0)))
     )
 
 
@@ -230,8 +228,10 @@ def clip_lines(lines: DataFrame, area: DataFrame, line_id: str, size: float = AR
     )
     inside = (
         salted_join(edge_cells(steps, size), quads, CELL, [line_id, "edge_no"])
-        .withColumn("_iv", g.clip_edge(g.convex_planes(F.col("_quad"))))
-        .filter(F.col("_iv.t0") < F.col("_iv.t1"))
+        .withColumn(
+            "_iv",
+            F.explode(F.filter(F.array(g.clip_edge(g.convex_planes(F.col("_quad")))), lambda v: v["t0"] < v["t1"])),
+        )
         .select(
             "study_id",
             line_id,
@@ -278,8 +278,7 @@ def buffer_overlap(
     strip = g.strip_planes("x0", "y0", "x1", "y1", F.lit(float(width)))
     return (
         salted_join(listed, tiles.select(*CELL, region, "rings"), CELL, ["x0", "y0", "x1", "y1"])
-        .withColumn("_area", g.polygon_area(g.clip_rings(F.col("rings"), strip)))
-        .filter(F.col("_area") > 0)
         .groupBy(*keys, region)
-        .agg(F.sum("_area").alias("piece_area"))
+        .agg(F.sum(g.polygon_area(g.clip_rings(F.col("rings"), strip))).alias("piece_area"))
+        .filter(F.col("piece_area") > 0)
     )
