@@ -3,6 +3,6 @@
 
 def all_queries():
     """Import every query module and return (queries, check SQL)."""
-    from . import model, registry, screening  # noqa: F401
+    from . import geometry, model, registry, screening, tables  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES

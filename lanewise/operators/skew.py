@@ -14,7 +14,7 @@ def key_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def hot_keys(sizes: DataFrame, keys: list[str], most: int = HOT_KEYS, rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(sizes: DataFrame, keys: list[str], most: int, rows: int) -> DataFrame:
     """The largest keys with more than ``rows`` rows and how many ways to split each.
 
     At most ``most`` keys are returned whatever the input, which is what makes broadcasting
@@ -44,7 +44,8 @@ def salted_join(
     their key. Ordinary keys keep salt 0 on both sides and are not copied. ``sizes`` may pass
     row counts per key (``_rows``) that are at hand, which saves the counting pass.
     """
-    hot = F.broadcast(hot_keys(key_sizes(many, keys) if sizes is None else sizes, keys))
+    counted = key_sizes(many, keys) if sizes is None else sizes
+    hot = F.broadcast(hot_keys(counted, keys, HOT_KEYS, HOT_ROWS))
     left = many.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
