@@ -46,3 +46,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def screening(spark: SparkSession, sf_dir: str, params: SwaParams = SwaParams()):
     """Lines, sliding and short windows over the stitched roads."""
     return score_windows(edges(spark, sf_dir), fx.crashes(spark, sf_dir), params)
+
+
+def forget() -> None:
+    """Drop the shared stitched roads, so the next use stitches again."""
+    _edges.clear()

@@ -52,11 +52,15 @@ def sliding_windows(lines: DataFrame, window, step) -> DataFrame:
 
 
 def step_bounds(seq, step, length) -> tuple[Column, Column]:
-    """Start and end measure of step ``seq``, rounded to 0.1 m as stored."""
+    """Start and end measure of step ``seq``, rounded to 0.1 m as stored.
+
+    Halves go up. Plain arithmetic stays in generated code, where decimal rounding would
+    create objects per row; a hundred-millionth of a metre absorbs the noise of doubles.
+    """
     seq, step, length = _num(seq), _num(step), _num(length)
 
     def tenth(m):
-        return F.round(m.cast("decimal(28,10)"), 1).cast("double")
+        return F.floor(m * 10.0 + (0.5 + 1e-7)) / 10.0
 
     return tenth(step * seq), tenth(F.least(step * (seq + 1), length))
 
