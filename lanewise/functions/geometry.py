@@ -339,8 +339,24 @@ def clip_edge(planes: Column, x0="x0", y0="y0", x1="x1", y1="y1") -> Column:
     return F.aggregate(planes, zero, cut)
 
 
+def in_quad(x, y, quad: Column) -> Column:
+    """Whether a point lies in a quad of :func:`trapezoids`, borders included."""
+    x, y = _col(x), _col(y)
+    sw, se, ne, nw = (F.get(quad, i) for i in range(4))
+    t = (y - sw["y"]) / (nw["y"] - sw["y"])
+    return (
+        y.between(sw["y"], nw["y"])
+        & (x >= sw["x"] + t * (nw["x"] - sw["x"]))
+        & (x <= se["x"] + t * (ne["x"] - se["x"]))
+    )
+
+
 def trapezoids(rings: Column) -> Column:
-    """Cut a polygon, holes included, into convex counter-clockwise quads."""
+    """Cut a polygon, holes included, into convex counter-clockwise quads.
+
+    Clipping a concave ring can leave a doubled edge along the cut; it pairs up with itself
+    and is dropped with the other strips of no width.
+    """
     edges = F.filter(ring_edges(rings), lambda e: e["y0"] != e["y1"])
     ys = F.array_sort(
         F.array_distinct(F.flatten(F.transform(edges, lambda e: F.array(e["y0"], e["y1"]))))
@@ -374,7 +390,8 @@ def trapezoids(rings: Column) -> Column:
         quads = F.transform(
             walls,
             lambda w, i: F.when(
-                (i % 2 == 0) & (i + 1 < F.size(walls)),
+                (i % 2 == 0)
+                & ((F.get(walls, i + 1)["xlo"] > w["xlo"]) | (F.get(walls, i + 1)["xhi"] > w["xhi"])),
                 F.array(
                     point(w["xlo"], s["lo"]),
                     point(F.get(walls, i + 1)["xlo"], s["lo"]),

@@ -101,42 +101,43 @@ def within_distance(
 # ---------------------------------------------------------------- polygons
 
 
-def tile_polygons(polygons: DataFrame, size: float = AREA_CELL_M) -> DataFrame:
+BORDER_M = 1e-6
+
+
+def tile_polygons(polygons: DataFrame, size: float = AREA_CELL_M, margin: float = 0.0) -> DataFrame:
     """Cut each polygon along the grid: one row per polygon part and cell.
 
     Small local rings replace the whole boundary in every later test, so the cost per
-    candidate does not grow with the size of the polygon. Parts of zero area are kept:
-    they carry a boundary that coincides with a cell border.
+    candidate does not grow with the size of the polygon. A small ``margin`` widens the cells,
+    so that a point or line on a cell border meets the polygons on both sides of it.
     """
     box = g.bbox(F.element_at("rings", 1))
-    columns = (
-        polygons.withColumn("_b", box)
-        .withColumn("gx", F.explode(F.sequence(_cell(F.col("_b.xmin"), size), _cell(F.col("_b.xmax"), size))))
-        .withColumn(
-            "rings",
-            g.explode_kept(g.clip_rings(F.col("rings"), g.slab("x", F.col("gx") * size, (F.col("gx") + 1) * size))),
-        )
-        .withColumn("_b", box)
-    )
-    return (
-        columns.withColumn(
-            "gy", F.explode(F.sequence(_cell(F.col("_b.ymin"), size), _cell(F.col("_b.ymax"), size)))
-        )
-        .drop("_b")
-        .withColumn(
-            "rings",
-            g.explode_kept(g.clip_rings(F.col("rings"), g.slab("y", F.col("gy") * size, (F.col("gy") + 1) * size))),
-        )
-    )
+
+    def span(axis, cells):
+        lo, hi = (F.col(f"_b.{axis}{end}") for end in ("min", "max"))
+        return F.explode(F.sequence(_cell(lo - margin, size), _cell(hi + margin, size))).alias(cells)
+
+    def clipped(axis, cells):
+        planes = g.slab(axis, F.col(cells) * size - margin, (F.col(cells) + 1) * size + margin)
+        return g.explode_kept(g.clip_rings(F.col("rings"), planes))
+
+    columns = polygons.withColumn("_b", box).select("*", span("x", "gx"))
+    columns = columns.withColumn("rings", clipped("x", "gx")).withColumn("_b", box)
+    return columns.select("*", span("y", "gy")).drop("_b").withColumn("rings", clipped("y", "gy"))
+
+
+def _contained(points: DataFrame, polygons: DataFrame, keep: list[str], size: float, salt_on, how: str) -> DataFrame:
+    tiles = tile_polygons(polygons.select("study_id", *keep, "rings"), size, BORDER_M)
+    quads = tiles.select(*CELL, *keep, g.trapezoids(F.col("rings")).alias("_quads"))
+    inside = F.exists("_quads", lambda q: g.in_quad(F.col("x"), F.col("y"), q))
+    return salted_join(point_cells(points, size), quads, CELL, list(salt_on), how, inside).drop("gx", "gy", "_quads")
 
 
 def points_in(
     points: DataFrame, polygons: DataFrame, size: float = AREA_CELL_M, salt_on: tuple[str, ...] = ("x", "y")
 ) -> DataFrame:
     """Points inside or on the border of any polygon of their study (semi join)."""
-    tiles = tile_polygons(polygons.select("study_id", "rings"), size)
-    inside = g.point_in_rings(F.col("x"), F.col("y"), F.col("rings"))
-    return salted_join(point_cells(points, size), tiles, CELL, list(salt_on), "left_semi", inside).drop("gx", "gy")
+    return _contained(points, polygons, [], size, salt_on, "left_semi")
 
 
 def points_with_region(
@@ -146,12 +147,11 @@ def points_with_region(
     size: float = AREA_CELL_M,
     salt_on: tuple[str, ...] = ("x", "y"),
 ) -> DataFrame:
-    """Every (point, region) pair where the region contains the point."""
-    tiles = tile_polygons(polygons.select("study_id", region, "rings"), size)
-    inside = g.point_in_rings(F.col("x"), F.col("y"), F.col("rings"))
-    return salted_join(point_cells(points, size), tiles, CELL, list(salt_on), "inner", inside).drop(
-        "gx", "gy", "rings"
-    )
+    """Every (point, region) pair where the region contains the point.
+
+    A region of several polygons that meet at the point is listed once per polygon.
+    """
+    return _contained(points, polygons, [region], size, salt_on, "inner")
 
 
 def clip_polygons(polygons: DataFrame, area: DataFrame, key: str, size: float = AREA_CELL_M) -> DataFrame:
@@ -223,7 +223,7 @@ def clip_lines(lines: DataFrame, area: DataFrame, line_id: str, size: float = AR
         "study_id", line_id, "e.*"
     )
     steps = steps.filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
-    quads = tile_polygons(area.select("study_id", "rings"), size).select(
+    quads = tile_polygons(area.select("study_id", "rings"), size, BORDER_M).select(
         *CELL, F.explode(g.trapezoids(F.col("rings"))).alias("_quad")
     )
     inside = (
