@@ -11,11 +11,13 @@ from lanewise.operators import lrs, network, ranking
 from lanewise.operators.cells import within_distance
 from lanewise.operators.filters import drop_omitted, flag_modes, last_n_years
 from lanewise.plans import swa, views
+from lanewise.sources.tables import study_params
 
 from . import fixtures as fx
 from .registry import edges, query, screening
 from .sqltext import (
-    CHAINS, FINE, JOIN, SCREENING, SHORT, SHORT_SCORES, SLIDING, STEP, WINDOW, distance, initcap, near, num, segments,
+    CHAINS, FINE, JOIN, SCREENING, SHORT, SHORT_SCORES, SLIDING, STEP, STUDY_CRASHES, WINDOW, counted_sql, distance,
+    initcap, near, num, segments, sliding_sql,
 )
 
 LINE = ["road_name", "functional_class", "start_x", "start_y"]
@@ -233,6 +235,48 @@ def multi_study_scores(spark, sf):
     )
 
 
+_OWN = {"K": 10, "A": 5, "B": 2, "C": 1, "O": 0}
+
+
+def _own_params_sql():
+    """The analysis once per study, each with its own parameters."""
+    parts = []
+    for study, (mi, ratio, feet, weights) in enumerate([(0.5, 5, 50, d.CRASH_WEIGHTS), (0.25, 2, 100, _OWN)], 1):
+        window = mi * d.METERS_PER_MILE
+        ctes = f"{CHAINS}, {sliding_sql(window, window / ratio)}, {STUDY_CRASHES}, {counted_sql(feet * d.METERS_PER_FOOT, weights)}"
+        parts.append(
+            f"""SELECT * FROM (WITH {ctes} SELECT cast({study} AS int) AS study_id, functional_class, count(*) AS windows,
+            cast(sum(ped_k) AS bigint) AS ped_k, cast(sum(mv_crash_score) AS bigint) AS mv_crash_score FROM scored
+            WHERE 1 + cast(start_y / 200 AS int) % 2 = {study} GROUP BY functional_class) s{study}"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("multi_study_own_params", _own_params_sql())
+def multi_study_own_params(spark, sf):
+    """Two studies in one job, each with its own windows, join distance and weights."""
+
+    def split(df, y):
+        return df.withColumn("study_id", (1 + F.floor(y / 200) % 2).cast("int"))
+
+    crashes = fx.crashes(spark, sf)
+    # The latest year of all crashes counts for both studies, as in the check.
+    crashes = crashes.filter(F.col("crash_year") > crashes.agg(F.max("crash_year")).scalar() - 5)
+    own = F.create_map(*[x for s, w in _OWN.items() for x in (F.lit(s), F.lit(w))])
+    studies = spark.range(1, 3).select(
+        F.col("id").cast("int").alias("study_id"),
+        F.when(F.col("id") == 2, 0.25).alias("sliding_window_length"),
+        F.when(F.col("id") == 2, 2).alias("window_length_ratio"),
+        F.when(F.col("id") == 2, 100).alias("crash_join_distance"),
+        F.when(F.col("id") == 2, own).alias("crash_weights"),
+    )
+    roads = split(fx.roads(spark, sf), F.element_at("geom", 1)["y"])
+    r = swa.run_swa(roads, split(crashes, F.col("y")), study_params(studies))
+    return r.sliding.groupBy("study_id", "functional_class").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("ped_k").alias("ped_k"), F.sum("mv_crash_score").alias("mv_crash_score")
+    )
+
+
 _SHOWN = " OR ".join(f"{c} > 0" for c in d.SCORE_COLUMNS)
 
 

@@ -30,14 +30,18 @@ chains AS (
          max(x1) - min(x0) AS length_meters
   FROM islands GROUP BY islands.road_name, functional_class, y0, isl)"""
 
-SLIDING = f"""sliding AS (
-  SELECT *, {num(STEP)} * window_no AS start_distance_m,
-         least({num(WINDOW)} + {num(STEP)} * window_no, length_meters) AS end_distance_m
+def sliding_sql(window: float, step: float) -> str:
+    return f"""sliding AS (
+  SELECT *, {num(step)} * window_no AS start_distance_m,
+         least({num(window)} + {num(step)} * window_no, length_meters) AS end_distance_m
   FROM (SELECT *, unnest(generate_series(0, num_windows - 1)) AS window_no
-        FROM (SELECT *, CASE WHEN length_meters <= {num(WINDOW)} THEN 1
-                        ELSE cast(ceil((length_meters - {num(WINDOW)}) / {num(STEP)}) AS int) + 1 END AS num_windows
+        FROM (SELECT *, CASE WHEN length_meters <= {num(window)} THEN 1
+                        ELSE cast(ceil((length_meters - {num(window)}) / {num(step)}) AS int) + 1 END AS num_windows
               FROM chains) t) u)"""
 
+
+SLIDING = sliding_sql(WINDOW, STEP)
+
 STUDY_CRASHES = """study_crashes AS (
   SELECT * FROM fx_crashes WHERE crash_severity <> 'Omit From Analysis' AND crash_mode <> 'Omit From Analysis'
      AND crash_year >= (SELECT max(crash_year) - 4 FROM fx_crashes))"""
@@ -81,23 +85,27 @@ def count_cols() -> str:
     )
 
 
-def score_cols() -> str:
+def score_cols(weights: dict) -> str:
     parts = []
     for m in d.MODES:
-        terms = " + ".join(f"{d.count_column(m, s)} * {d.CRASH_WEIGHTS[s]}" for s in d.SEVERITIES)
+        terms = " + ".join(f"{d.count_column(m, s)} * {weights[s]}" for s in d.SEVERITIES)
         parts.append(f"cast({terms} AS int) AS {d.score_column(m)}")
     return ",\n         ".join(parts)
 
 
-COUNTED = f"""counted AS (
+def counted_sql(join_m: float, weights: dict) -> str:
+    return f"""counted AS (
   SELECT s.road_name, s.functional_class, s.start_x, s.start_y, s.length_meters, s.window_no,
          s.start_distance_m, s.end_distance_m,
          {count_cols()}
   FROM sliding s LEFT JOIN study_crashes c
-    ON {near('s', 's.start_x + s.start_distance_m', 's.start_x + s.end_distance_m', 's.start_y')}
+    ON {near('s', 's.start_x + s.start_distance_m', 's.start_x + s.end_distance_m', 's.start_y', 'c', join_m)}
   GROUP BY ALL),
 scored AS (
-  SELECT *, {score_cols()} FROM counted)"""
+  SELECT *, {score_cols(weights)} FROM counted)"""
+
+
+COUNTED = counted_sql(JOIN, d.CRASH_WEIGHTS)
 
 SCREENING = f"""{CHAINS},
 {SLIDING},

@@ -264,21 +264,28 @@ def clip_lines(lines: DataFrame, area: DataFrame, line_id: str, size: float = AR
 
 
 def buffer_overlap(
-    edges: DataFrame, tiles: DataFrame, keys: list[str], region: str, width: float, size: float = AREA_CELL_M
+    edges: DataFrame,
+    tiles: DataFrame,
+    keys: list[str],
+    region: str,
+    width: float,
+    size: float = AREA_CELL_M,
+    place_by: list[str] | None = None,
 ) -> DataFrame:
     """Area of each region inside the flat-capped buffer of straight edges.
 
     ``tiles`` comes from :func:`tile_polygons` or :func:`clip_polygons` with the same cell size. Each
     edge's buffer is a rotated rectangle, exact along straight stretches; at a bend it
     differs from a true buffer by the wedge between neighbours. Rows are summed per
-    ``keys`` and ``region``; zero overlaps are left out.
+    ``keys`` and ``region``; zero overlaps are left out. ``place_by`` (part of ``keys``) shuffles once by
+    columns that a following step groups by as well.
     """
     long_enough = edges.filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
     listed = edge_cells(long_enough, size, width)
     strip = g.strip_planes("x0", "y0", "x1", "y1", F.lit(float(width)))
-    return (
-        salted_join(listed, tiles.select(*CELL, region, "rings"), CELL, ["x0", "y0", "x1", "y1"])
-        .groupBy(*keys, region)
-        .agg(F.sum(g.polygon_area(g.clip_rings(F.col("rings"), strip))).alias("piece_area"))
-        .filter(F.col("piece_area") > 0)
-    )
+    joined = salted_join(listed, tiles.select(*CELL, region, "rings"), CELL, ["x0", "y0", "x1", "y1"])
+    shares = joined.select(*keys, region, g.polygon_area(g.clip_rings(F.col("rings"), strip)).alias("_area"))
+    if place_by:
+        shares = shares.repartition(*place_by)
+    summed = shares.groupBy(*keys, region).agg(F.sum("_area").alias("piece_area"))
+    return summed.filter(F.col("piece_area") > 0)

@@ -54,7 +54,7 @@ def effective_mileage(
     """
     carried = [*SEGMENT, "functional_class", "length_meters"]
     pieces = cut_at_steps(edges, step).select(*carried, "x0", "y0", "x1", "y1")
-    found = buffer_overlap(pieces, tiles, carried, "geoid", width, cell)
+    found = buffer_overlap(pieces, tiles, carried, "geoid", width, cell, place_by=SEGMENT)
     shared = share_of_total(found, SEGMENT, "piece_area", "_share")
     return shared.withColumn("roadway_length_mi", segment_length(step) / d.METERS_PER_MILE).select(
         *SEGMENT,

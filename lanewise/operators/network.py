@@ -156,7 +156,7 @@ def merge_lines(edges: DataFrame, keys: list[str], node_crossings: bool = True)
 
 
 def _named(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    return pieces.withColumn("piece", _digest([*keys, "ax", "ay", "bx", "by"])).withColumn(
+    return pieces.withColumn("piece", F.unhex(_digest([*keys, "ax", "ay", "bx", "by"]))).withColumn(
         "len", g.distance("ax", "ay", "bx", "by")
     )
 
@@ -304,7 +304,7 @@ def _assemble(pieces: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFram
         .withColumn("_m0", F.when(c("_fwd"), total - c("len1")).otherwise(total - c("len0")))
         .select(
             *keys,
-            F.least("last_piece0", "last_piece1").alias("line_key"),
+            F.lower(F.hex(F.least("last_piece0", "last_piece1"))).alias("line_key"),
             F.when(c("_fwd"), hops - c("hops1")).otherwise(hops - c("hops0")).alias("seq"),
             *[
                 F.when(c("_fwd"), c(p)).otherwise(c(q)).alias(out)
@@ -340,7 +340,7 @@ def dissolve_roads(roads: DataFrame, case_insensitive: bool = False, node_crossi
     )
 
 
-def dissolved_lines(edges: DataFrame) -> DataFrame:
+def dissolved_lines(edges: DataFrame, extra: list[str] = ()) -> DataFrame:
     """One row per dissolved road, taken from its first edge (no grouping needed)."""
     return edges.filter((F.col("seq") == 0) & (F.col("length_meters") > 0)).select(
         "study_id",
@@ -350,4 +350,5 @@ def dissolved_lines(edges: DataFrame) -> DataFrame:
         F.col("x0").alias("start_x"),
         F.col("y0").alias("start_y"),
         "length_meters",
+        *extra,
     )
