@@ -442,3 +442,33 @@ def cost_view(spark, sf):
 def top_segments(spark, sf):
     v = views.cost_view(_run(spark, sf, m.blend).posterior)
     return ranking.top_segments(v, "mv").select("road_name", "functional_class", "mv_cost")
+
+
+def _two_states_sql():
+    parts = []
+    for study, state in ((1, "AMERICA"), (2, "ASIA")):
+        ctes = f"{ESTIMATES}{EXPANDED}".replace(
+            "FROM fx_roads WHERE functional_class <> 'Omit From Analysis'",
+            f"FROM fx_roads WHERE functional_class <> 'Omit From Analysis' AND 1 + cast(y0 / 200 AS int) % 2 = {study}",
+        ).replace(f"'{STATE}'", f"'{state}'")
+        parts.append(
+            f"""SELECT * FROM (WITH {ctes} SELECT cast({study} AS int) AS study_id, count(*) AS windows,
+            {", ".join(f"round(sum(est_{mode}_{s}), 4) AS est_{mode}_{s}" for mode, s in PAIRS)} FROM expanded) s{study}"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("multi_study_estimates", _two_states_sql())
+def multi_study_estimates(spark, sf):
+    """Estimates of two studies in two states, from one job."""
+    study = (1 + F.floor(F.element_at("geom", 1)["y"] / 200) % 2).cast("int")
+    stitched = network.dissolve_roads(fx.roads(spark, sf).withColumn("study_id", study))
+    both = fx.block_groups(spark, sf).withColumn("study_id", F.explode(F.array(F.lit(1), F.lit(2))))
+    states = spark.range(1, 3).select(
+        F.col("id").cast("int").alias("study_id"), F.when(F.col("id") == 1, "AMERICA").otherwise("ASIA").alias("state")
+    )
+    store = m.ModelStore(stitched, fx.crashes(spark, sf), both, fx.rates(spark, sf), _ratios(spark, sf), states)
+    for step in (m.build_windows, m.assign_mileage, m.estimate_fatal, m.estimate_severities):
+        store = step(store, m.ModelParams())
+    sums = [F.round(F.sum(f"est_{mode}_{s}"), 4).alias(f"est_{mode}_{s}") for mode, s in PAIRS]
+    return store.all_severity.groupBy("study_id").agg(F.count(F.lit(1)).alias("windows"), *sums)

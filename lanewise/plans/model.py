@@ -54,6 +54,7 @@ class ModelStore:
     """Inputs and results of the model; steps return a changed copy.
 
     ``block_groups`` holds predictions per geoid, ``tiles`` their (clipped) geometry cut by cell.
+    ``states`` names the state of each study (``study_id, state``) unless the parameters name one.
     """
 
     edges: DataFrame
@@ -61,6 +62,7 @@ class ModelStore:
     block_groups: DataFrame
     rates: DataFrame
     ratios: DataFrame
+    states: DataFrame | None = None
     tiles: DataFrame | None = None
     pieces: DataFrame | None = None
     windows: DataFrame | None = None
@@ -73,8 +75,13 @@ class ModelStore:
 Step = Callable[[ModelStore, ModelParams], ModelStore]
 
 
+def _with_state(df: DataFrame, s: ModelStore, p: ModelParams) -> DataFrame:
+    return df if p.state is not None else df.join(s.states.select("study_id", "state"), "study_id")
+
+
 def build_windows(s: ModelStore, p: ModelParams) -> ModelStore:
-    return replace(s, windows=short_windows(dissolved_lines(s.edges), p.step_m).drop("start_x", "start_y"))
+    windows = short_windows(dissolved_lines(s.edges), p.step_m).drop("start_x", "start_y")
+    return replace(s, windows=_with_state(windows, s, p))
 
 
 def assign_mileage(s: ModelStore, p: ModelParams) -> ModelStore:
@@ -85,7 +92,8 @@ def assign_mileage(s: ModelStore, p: ModelParams) -> ModelStore:
 
 
 def estimate_fatal(s: ModelStore, p: ModelParams) -> ModelStore:
-    pieces = e.scaled_fatal(e.initial_fatal(s.pieces, s.rates, p.state), s.block_groups)
+    rated = e.initial_fatal(_with_state(s.pieces, s, p), s.rates, p.state)
+    pieces = e.scaled_fatal(rated, s.block_groups)
     rolled = e.segment_fatal(pieces)
     return replace(s, pieces=pieces, fatal=s.windows.join(rolled, e.SEGMENT, "left"))
 
