@@ -132,9 +132,10 @@ def run_model(
 
 
 def model_output(s: ModelStore) -> DataFrame:
-    """The 72-column result: window, variations, estimates, observations, weights, posteriors, costs.
+    """Result columns in order: window, variations, estimates, observations, weights, posteriors, costs.
 
-    ``study_id`` stays as the partition column.
+    72 columns plus the road name and ``study_id``, by which the result is partitioned; with
+    fatal crashes only, weights and posteriors exist for fatal crashes alone.
     """
     pairs = [(m, x) for m in d.MODES for x in e.KEYS]
     cols = (
