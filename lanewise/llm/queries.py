@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, reply_trees, url_rules
+from . import bitsliced, imatch, kneser_ney, reply_trees, simhash_trie, token_frames, url_rules
+from .shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,115 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _left_out(mod: int, rest: int):
+    """Whether crc32 of the document id as text leaves ``rest`` modulo ``mod``; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
+
+
+@query()
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model of the training documents, applied to all."""
+    docs = _table(spark, sf_dir, "documents")
+    model = kneser_ney.fit(docs.filter(~_left_out(7, 2)), "text")
+    return kneser_ney.score(docs, model, "doc_id", "text").select(
+        "doc_id", _left_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+_OP2 = r"""
+WITH numbered AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS total FROM documents
+), texts AS (
+  SELECT a.doc_id, a.r, a.n, a.text,
+    substr(a.text, 1, a.n - a.n // 4) || substr(b.text, 1, a.n // 4) AS edited
+  FROM numbered a JOIN numbered b ON b.r = a.r % a.total + 1
+), cut AS (
+  SELECT r, 0 AS which, unnest(list_distinct(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'))) AS term FROM texts
+  UNION ALL
+  SELECT r, 1, unnest(list_distinct(string_split_regex(lower(edited), '[^\p{L}\p{M}\p{N}]+'))) FROM texts
+), band AS (
+  SELECT term FROM cut WHERE which = 0 AND term <> '' GROUP BY term
+  HAVING count(*) >= {low} * (SELECT count(*) FROM texts) AND count(*) <= {high} * (SELECT count(*) FROM texts)
+), rates AS (SELECT k, [{rates}][k // {each} + 1] AS rate FROM range({subsets}) t(k)),
+member AS (
+  SELECT term, k FROM band, rates WHERE ('0x' || substr(md5(term || ':' || k), 1, 8))::BIGINT % rate = 0
+), digits AS (
+  SELECT r, which, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 4) AS d
+  FROM cut JOIN member USING (term) GROUP BY r, which, k
+), has AS (SELECT DISTINCT r, which FROM cut JOIN band USING (term)),
+prints AS (
+  SELECT r, which, string_agg(coalesce(d, '----'), '' ORDER BY k) AS fp
+  FROM has CROSS JOIN rates LEFT JOIN digits USING (r, which, k) GROUP BY r, which
+), both_ AS (
+  SELECT t.doc_id, t.r, t.n, sha256(t.edited) AS edited_sha256,
+    coalesce(p.fp, md5(t.text)) AS fingerprint, coalesce(e.fp, md5(t.edited)) AS edited_fingerprint
+  FROM texts t LEFT JOIN prints p ON p.r = t.r AND p.which = 0 LEFT JOIN prints e ON e.r = t.r AND e.which = 1
+), paired AS (
+  SELECT a.*, b.fingerprint AS next_fingerprint FROM both_ a JOIN both_ b ON b.r = a.r % (SELECT count(*) FROM texts) + 1
+)
+SELECT doc_id, n AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  {near_edited} AS near_edited, {near_next} AS near_next FROM paired
+"""
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    cut = f"[x for x in [[substr({a}, k * 4 + 1, 4), substr({b}, k * 4 + 1, 4)] for k in range({imatch.SUBSETS})] if x <> ['----', '----']]"
+    whole = 4 * imatch.SUBSETS
+    return (
+        f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN length({a}) <> {whole} OR length({b}) <> {whole} THEN 0.0::DOUBLE"
+        f" ELSE len([y for y in {cut} if y[1] = y[2]])::DOUBLE / len({cut}) END"
+    )
+
+
+def _op2_sql() -> str:
+    fixed = {
+        "low": f"{imatch.LOW}::DOUBLE",
+        "high": f"{imatch.HIGH}::DOUBLE",
+        "rates": ", ".join(map(str, imatch.RATES)),
+        "each": str(imatch.EACH),
+        "subsets": str(imatch.SUBSETS),
+        "near_edited": _likeness_sql("fingerprint", "edited_fingerprint"),
+        "near_next": _likeness_sql("fingerprint", "next_fingerprint"),
+    }
+    sql = _OP2
+    for name, value in fixed.items():
+        sql = sql.replace("{" + name + "}", value)
+    return sql
+
+
+@query(_op2_sql())
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts, of their edited forms, and their likeness to the next text's."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = stored(imatch.lexicon(docs, "text"), "lexicon")
+    placed = imatch.in_order(docs, "doc_id", F.xxhash64("text"))
+    paired = imatch.with_next(placed, "text", "following")
+    n = F.length("text").cast("long")
+    quarter = F.floor(n / 4).cast("int")
+    edited = F.concat(
+        F.col("text").substr(F.lit(1), (n - quarter).cast("int")), F.col("following").substr(F.lit(1), quarter)
+    )
+    texts = paired.select("bucket", "place", "doc_id", n.alias("n_chars"), "text", edited.alias("edited")).withColumn(
+        "edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)
+    )
+    prints = stored(
+        imatch.fingerprints(
+            texts, ["bucket", "place"], {"text": "fingerprint", "edited": "edited_fingerprint"}, words, ["doc_id", "n_chars", "edited_sha256"]
+        ),
+        "prints",
+    )
+    return imatch.with_next(prints, "fingerprint", "following").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        imatch.likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),
+    )
+
+
 _EXTRA_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 _OP3 = r"""
@@ -96,6 +207,20 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules, "page_id", "url")
 
 
+@query()
+def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = token_frames.write_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", path, 2)
+    return token_frames.read_tokens(files)
+
+
+@query()
+def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return simhash_trie.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 _OP10 = """
 WITH used AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings

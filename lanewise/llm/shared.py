@@ -52,11 +52,9 @@ def mapped(uri: str, dtype) -> np.ndarray:
     if isinstance(store, fs.LocalFileSystem):
         with open(path, "rb") as f:
             size = os.fstat(f.fileno()).st_size
-            view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if size else b""
-        return np.frombuffer(view, dtype=dtype)
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype) if size else np.zeros(0, dtype)
     with store.open_input_stream(path, compression=None) as src, tempfile.TemporaryFile() as f:
         while chunk := src.read(8 << 20):
             f.write(chunk)
         f.flush()
-        view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.tell() else b""
-    return np.frombuffer(view, dtype=dtype)
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype) if f.tell() else np.zeros(0, dtype)
