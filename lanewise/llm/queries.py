@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, imatch, kneser_ney, reply_trees, simhash_trie, token_frames, url_rules
+from . import bitsliced, imatch, kneser_ney, piece_sampling, reply_trees, simhash_trie, soft_mixing, subword_classifier, token_frames, url_rules
 from .shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,16 @@ def _left_out(mod: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+#: Wanted shares of all tokens: domains named by the labels of quality and toxicity.
+TARGETS = {"clean": 0.86, "poor": 0.08, "toxic": 0.06}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of labelled documents; rows without a label of quality name none."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
 @query()
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model of the training documents, applied to all."""
@@ -207,6 +217,20 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules, "page_id", "url")
 
 
+@query()
+def op5_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all texts, learnt from the training share of the labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(~_left_out(5, 0))
+    model = subword_classifier.fit(docs, labels, "doc_id", "text", "quality")
+    return subword_classifier.score(docs, model, "text").select(
+        "doc_id",
+        _left_out(5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= subword_classifier.ACCEPT).cast("int").alias("predicted"),
+    )
+
+
 @query()
 def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
@@ -215,6 +239,24 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_tokens(files)
 
 
+@query()
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of all texts, with a checksum of the text they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents")
+    return piece_sampling.sample_pieces(docs, "doc_id", "text", path)
+
+
+@query()
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that bring the domains of the labels to their target shares of all tokens."""
+    docs = _table(spark, sf_dir, "documents")
+    mixed = soft_mixing.mix(docs, domain_labels(_table(spark, sf_dir, "labels")), "doc_id", "text", TARGETS)
+    return mixed.select(
+        "doc_id", "tokens", *[F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate"
+    )
+
+
 @query()
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
