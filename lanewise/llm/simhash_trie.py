@@ -3,20 +3,21 @@
 A fingerprint has a bit set where more than half of the text's shingle hashes have it. Pairs of
 fingerprints within ``max_bits`` differing bits are found by walking pairs of trie nodes
 together: differing bits add up on the way down and a pair is dropped once its budget is
-spent. Two tries are walked, over the fingerprint and over its halves swapped; since one half of a
-linked pair differs in at most ``max_bits // 2`` bits, the upper half of each walk has only that
-budget, and together they miss nothing.
+spent. Four tries are walked, over the fingerprint rotated by 0, 16, 32 and 48 bits. For every pair there
+is a rotation in which the first j quarters differ in at most j * max_bits / 4 bits, so each walk
+has only that budget on its way, and together they miss nothing.
 
 The upper levels are walked by Spark: a row says that a fingerprint takes part in a node pair,
 and rows of node pairs with more than ``leaf`` fingerprints step down until none is left. The
 lower levels are walked in numpy within a leaf pair, which returns a spanning star per local
-component instead of all pairs. Stars are merged by alternating large-star and small-star
-rounds, each written to the shared folder.
+component instead of all pairs, and passes over node pairs that are one component already. Stars
+are merged by alternating large-star and small-star rounds, each written to the shared folder.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +66,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
     return rows.mapInArrow(run, f"`{id_col}` {kind}, fingerprint long")
 
 
+def _budget(depth: int, max_bits: int) -> int:
+    """Differing bits allowed in the first ``depth`` bits."""
+    return max_bits * -(-depth // 16) // 4
+
+
 def _flips(width: int, most: int) -> list[int]:
-    return [x for x in range(1 << width) if x.bit_count() <= most] if width <= 12 else [
-        0, *(1 << i for i in range(width))
-    ]
+    return [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(width), n)]
 
 
 def _child(word: Column, depth: int, width: int) -> Column:
@@ -80,9 +84,9 @@ def _step_down(rows: DataFrame, depth: int, width: int, max_bits: int) -> DataFr
     """Rows of node pairs at ``depth``, put into the pairs of child nodes within the budget.
 
     Columns: trie, low, high (the nodes' prefixes; equal for a node with itself), side (of the
-    row's own node), err (differing bits of the prefixes), word (rotated fingerprint).
+    row's own node), err (differing bits of the prefixes), word (rotated fingerprint), node, more.
     """
-    budget = max_bits // 2 if depth + width <= 32 else max_bits
+    budget = _budget(depth + width, max_bits)
     kept = rows.filter(F.col("err") <= budget)
     masks = F.array(*[F.lit(m).cast("long") for m in _flips(width, budget)])
     spread = kept.withColumn("mask", F.explode(masks)).withColumn("wrong", F.col("err") + F.bit_count("mask"))
@@ -91,6 +95,8 @@ def _step_down(rows: DataFrame, depth: int, width: int, max_bits: int) -> DataFr
     moved = spread.filter(F.col("wrong") <= budget).select(
         "trie",
         "word",
+        "node",
+        "more",
         "side",
         (F.col("low") == F.col("high")).alias("same"),
         F.col("wrong").cast("int").alias("err"),
@@ -105,6 +111,8 @@ def _step_down(rows: DataFrame, depth: int, width: int, max_bits: int) -> DataFr
         "side",
         "err",
         "word",
+        "node",
+        "more",
     )
 
 
@@ -115,112 +123,127 @@ def _split(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.nd
     return np.clip(np.searchsorted(words, edge | np.uint64(1 << bit)), lo, hi)
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray, same: bool, depth: int, err: int, max_bits: int):
-    """Positions of pairs within ``max_bits``, by a joint walk of two sorted uint64 arrays.
+def _merged(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest member of each node's component after adding links."""
+    root = root.copy()
+    while len(u):
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        open_ = low != high
+        u, v, low, high = u[open_], v[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _one(root: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The component that each range lies in, -1 if in several."""
+    at = np.stack([lo, hi], axis=1).ravel()
+    padded = np.append(root, 0)
+    least, most = np.minimum.reduceat(padded, at)[::2], np.maximum.reduceat(padded, at)[::2]
+    return np.where(least == most, least, -1)
+
+
+def join_nodes(words: np.ndarray, more: np.ndarray | None, left: int | None, depth: int, err: int, max_bits: int, max_more: int) -> np.ndarray:
+    """Components of the fingerprints below two trie nodes, by a joint walk.
 
-    Both lie below one trie node each at ``depth``; ``err`` bits of the prefixes differ. Small
-    node pairs are compared word by word. With ``same``, each pair is found once.
+    ``words``: sorted uint64 of one node (``left`` is None), or of two, the first ``left`` of them sorted and the rest
+    sorted. ``err`` bits of the nodes' prefixes of ``depth`` bits differ. ``more``: rows of further bits, of which linked
+    rows may differ in ``max_more``. Small node pairs are compared word by word.
     """
+    n = len(words)
+    root = np.arange(n)
+
+    def link(root, i, j):
+        new = root[i] != root[j]
+        i, j = i[new], j[new]
+        ok = np.bitwise_count(words[i] ^ words[j]) <= max_bits
+        i, j = i[ok], j[ok]
+        if more is not None and len(i):
+            ok = np.bitwise_count(more[i] ^ more[j]).sum(axis=1, dtype=np.int64) <= max_more
+            i, j = i[ok], j[ok]
+        return _merged(root, i, j) if len(i) else root
+
+    if n > 256:
+        # neighbours in sorted order join most of a dense cluster beforehand, so its node pairs need no walk
+        for turn in (0, 16, 32, 48):
+            order = np.argsort(words << np.uint64(turn) | words >> np.uint64(64 - turn) if turn else words, kind="stable")
+            for gap in (1, 2, 3):
+                root = link(root, order[:-gap], order[gap:])
+    same = left is None
     one = lambda *v: [np.array([x], np.int64) for x in v]
-    a0, a1, b0, b1, wrong = one(0, len(left), 0, len(right), err)
-    found_a, found_b = [], []
+    a0, a1, b0, b1, wrong = one(0, n if same else left, 0 if same else left, n, err)
+    first, second = (words, words) if same else (words[:left], words[left:])
+    shift = 0 if same else left
     while len(a0):
+        own, other = _one(root, a0, a1), _one(root, b0, b1)
+        open_ = (own < 0) | (own != other)
         sizes = (a1 - a0) * (b1 - b0)
-        near = (sizes <= 256) | (depth >= 64)
-        if near.any():
-            n_b = (b1 - b0)[near]
-            n = sizes[near]
-            node = np.repeat(np.arange(len(n)), n)
-            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            i, j = a0[near][node] + k // n_b[node], b0[near][node] + k % n_b[node]
-            ok = np.bitwise_count(left[i] ^ right[j]) <= max_bits
-            if same:
-                ok &= i < j
-            found_a.append(i[ok])
-            found_b.append(j[ok])
-            far = ~near
-            a0, a1, b0, b1, wrong = a0[far], a1[far], b0[far], b1[far], wrong[far]
+        near = np.flatnonzero(open_ & ((sizes <= 256) | (depth >= 64)))
+        for part in np.array_split(near, max(1, int(sizes[near].sum()) >> 20)):
+            m, n_b = sizes[part], (b1 - b0)[part]
+            node = np.repeat(np.arange(len(part)), m)
+            k = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            root = link(root, a0[part][node] + k // n_b[node], b0[part][node] + k % n_b[node])
+        far = open_ & (sizes > 256) & (depth < 64)
+        a0, a1, b0, b1, wrong = a0[far], a1[far], b0[far], b1[far], wrong[far]
         if not len(a0):
             break
         bit = 63 - depth
-        am, bm = _split(left, a0, a1, bit), _split(right, b0, b1, bit)
+        am, bm = _split(first, a0, a1, bit), _split(second, b0 - shift, b1 - shift, bit) + shift
         depth += 1
-        budget = max_bits // 2 if depth <= 32 else max_bits
-        alike = (a0 == b0) & (a1 == b1) if same else np.zeros(len(a0), bool)
-        nodes = [
-            (a0, am, b0, bm, wrong, np.ones(len(a0), bool)),
-            (am, a1, bm, b1, wrong, np.ones(len(a0), bool)),
-            (a0, am, bm, b1, wrong + 1, np.ones(len(a0), bool)),
-            (am, a1, b0, bm, wrong + 1, ~alike),
-        ]
+        budget = _budget(depth, max_bits)
+        alike = (a0 == b0) & (a1 == b1)
+        all_ = np.ones(len(a0), bool)
         kept = []
-        for l0, l1, r0, r1, w, use in nodes:
+        for l0, l1, r0, r1, w, use in (
+            (a0, am, b0, bm, wrong, all_), (am, a1, bm, b1, wrong, all_), (a0, am, bm, b1, wrong + 1, all_), (am, a1, b0, bm, wrong + 1, ~alike),
+        ):
             use = use & (l1 > l0) & (r1 > r0) & (w <= budget)
             kept.append([x[use] for x in (l0, l1, r0, r1, w)])
         a0, a1, b0, b1, wrong = (np.concatenate(x) for x in zip(*kept))
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(found_a or none), np.concatenate(found_b or none)
-
-
-def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest member of each node's component."""
-    root = np.arange(n)
-    while len(u):
-        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
-        open_ = low != high
-        u, v, low, high = u[open_], v[open_], low[open_], high[open_]
-        np.minimum.at(root, high, low)
-        while (root[root] != root).any():
-            root = root[root]
     return root
 
 
-def _leaf_links(depth: int, max_bits: int):
+def _leaf_links(depth: int, max_bits: int, max_more: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        trie, low, high = (int(k.as_py()) for k in key[:3])
-        words = table["word"].to_numpy().view(np.uint64)
-        side = table["side"].to_numpy()
+        _, low, high = (int(k.as_py()) for k in key)
+        words, side = table["word"].to_numpy().view(np.uint64), table["side"].to_numpy()
+        order = np.lexsort((words, side))
+        more = table["more"].to_pylist()
+        bits = np.frombuffer(b"".join(more), np.uint64).reshape(len(more), -1)[order] if more[0] is not None else None
         err = ((low ^ high) & (1 << 64) - 1).bit_count()
-        if low == high:
-            left = right = np.unique(words)
-            i, j = trie_pairs(left, right, True, depth, 0, max_bits)
-            both = left
-        else:
-            left, right = np.unique(words[side == 0]), np.unique(words[side == 1])
-            i, j = trie_pairs(left, right, False, depth, err, max_bits)
-            both = np.concatenate([left, right])
-            j = j + len(left)
-        root = local_roots(len(both), i, j)
-        member = np.flatnonzero(root != np.arange(len(both)))
-        if trie:
-            both = (both >> np.uint64(32)) | (both << np.uint64(32))
-        both = both.view(np.int64)
-        return pa.table({"u": both[member], "v": both[root[member]]})
+        left = None if low == high else int((side == 0).sum())
+        root = join_nodes(words[order], bits, left, depth, err, max_bits, max_more)
+        nodes = table["node"].to_numpy()[order]
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": nodes[member], "v": nodes[root[member]]})
 
     return run
 
 
-def trie_links(prints: DataFrame, max_bits: int = 3, leaf: int = LEAF) -> DataFrame:
-    """Links (u, v) whose components are those of all fingerprint pairs within ``max_bits``.
+def trie_links(prints: DataFrame, max_bits: int = 3, leaf: int = LEAF, max_more: int = 0) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs within ``max_bits``.
 
-    ``prints``: distinct fingerprint (long). Within a leaf pair, a star around the smallest position of
-    each local component stands for all of its links.
+    ``prints``: node (long, unique), word (fingerprint, long) and more (binary of the same length
+    in all rows, a multiple of 8, or null): further bits, of which linked rows may differ in ``max_more`` at most.
+    Within a leaf pair, a star around one member of each local component stands for all of its links.
     """
     if not 0 <= max_bits <= 12:
         raise ValueError("max_bits must be from 0 to 12")
     n = prints.count()
-    first = min(28, max(1, math.ceil(math.log2(max(2, n) * 4 / leaf)))) if n > leaf else 1
-    first = min(first, 12) if max_bits // 2 > 1 else first
-    turned = F.shiftleft("fingerprint", 32).bitwiseOR(F.shiftrightunsigned("fingerprint", 32))
+    first = min(16, max(1, math.ceil(math.log2(max(2, 2 * n / leaf)))))
     zero = F.lit(0).cast("long")
-    rows = prints.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("trie"), F.col("fingerprint").alias("word")),
-                F.struct(F.lit(1).alias("trie"), turned.alias("word")),
-            )
-        ).alias("r")
-    ).select("r.*", zero.alias("low"), zero.alias("high"), F.lit(0).alias("side"), F.lit(0).alias("err"))
+    turned = [
+        F.struct(
+            F.lit(t).alias("trie"),
+            (F.shiftleft("word", 16 * t).bitwiseOR(F.shiftrightunsigned("word", 64 - 16 * t)) if t else F.col("word")).alias("word"),
+        )
+        for t in range(4)
+    ]
+    rows = prints.select("node", "more", F.explode(F.array(*turned)).alias("r")).select(
+        "node", "more", "r.*", zero.alias("low"), zero.alias("high"), F.lit(0).alias("side"), F.lit(0).alias("err")
+    )
     keys = ["trie", "low", "high"]
     links = []
     depth, width = 0, first
@@ -237,17 +260,17 @@ def trie_links(prints: DataFrame, max_bits: int = 3, leaf: int = LEAF) -> DataFr
         rows = stored(rows.join(sizes, keys), "trie")
         links.append(
             rows.filter(F.col("n") <= leaf)
-            .select(*keys, "side", "word")
+            .select(*keys, "side", "word", "node", "more")
             .groupBy(*keys)
-            .applyInArrow(_leaf_links(depth, max_bits), "u long, v long")
+            .applyInArrow(_leaf_links(depth, max_bits, max_more), "u long, v long")
         )
         rows = rows.filter(F.col("n") > leaf).drop("n")
         if depth >= 64 or rows.isEmpty():
             break
         width = min(STEP, 64 - depth)
     out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
+    for further in links[1:]:
+        out = out.unionByName(further)
     return out
 
 
@@ -291,7 +314,8 @@ def near_duplicates(
     """
     marked = stored(fingerprints(docs, id_col, text_col, shingle), "prints")
     classes = stored(marked.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "classes")
-    roots = merge_stars(trie_links(classes.select("fingerprint"), max_bits, leaf))
+    prints = classes.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("word"), F.lit(None).cast("binary").alias("more"))
+    roots = merge_stars(trie_links(prints, max_bits, leaf))
     grouped = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least"
     )

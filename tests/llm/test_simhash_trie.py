@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from lanewise.llm.simhash_trie import local_roots, merge_stars, near_duplicates, simhash, trie_links, trie_pairs
+from lanewise.llm.simhash_trie import _merged, join_nodes, merge_stars, near_duplicates, simhash, trie_links
 
 M = (1 << 64) - 1
 
@@ -57,30 +57,66 @@ def test_simhash():
 
 def test_pairs_of_two_nodes():
     rng = random.Random(2)
-    words = np.array(cluster(rng, 400), np.uint64)
-    for bits in (0, 3):
-        i, j = trie_pairs(words, words, True, 0, 0, bits)
-        want = {(a, b) for a in range(len(words)) for b in range(a + 1, len(words)) if int(words[a] ^ words[b]).bit_count() <= bits}
-        upper = {(a, b) for a, b in want if (int(words[a] ^ words[b]) >> 32).bit_count() <= bits // 2}
-        got = set(zip(i.tolist(), j.tolist()))
-        assert upper <= got <= want
+    for bits, size in ((0, 300), (3, 400), (7, 250), (3, 20)):
+        words = cluster(rng, size)
+        root = join_nodes(np.array(words, np.uint64), None, None, 0, 0, bits, 0)
+        found = {}
+        for w, r in zip(words, root):
+            found.setdefault(r, set()).add(w)
+        got = {frozenset(v) for v in found.values()}
+        if bits == 0:
+            assert got == components(words, 0)
+        # one trie alone may miss links, but makes none up
+        whole = components(words, bits)
+        assert all(any(g <= w for w in whole) for g in got)
 
 
-def test_local_roots():
-    assert local_roots(6, np.array([1, 4, 3]), np.array([2, 5, 2])).tolist() == [0, 1, 1, 1, 4, 4]
+def test_local_components():
+    assert _merged(np.arange(6), np.array([1, 4, 3]), np.array([2, 5, 2])).tolist() == [0, 1, 1, 1, 4, 4]
+
+
+def frame_of(spark, words, more=None):
+    signed = [w - (1 << 64) if w >> 63 else w for w in words]
+    rows = [(i, w, None if more is None else more[i]) for i, w in enumerate(signed)]
+    return spark.createDataFrame(rows, "node long, word long, more binary")
+
+
+def classes_of(spark, links, words):
+    root = dict(enumerate(range(len(words)))) | {r.node: r.root for r in merge_stars(links).collect()}
+    got = {}
+    for i, r in root.items():
+        got.setdefault(r, set()).add(i)
+    return {frozenset(v) for v in got.values()}
 
 
 def test_links_equal_brute_force(spark):
     words = cluster(random.Random(3), 700)
-    signed = [w - (1 << 64) if w >> 63 else w for w in words]
-    prints = spark.createDataFrame([(w,) for w in signed], "fingerprint long")
-    for leaf in (16, 100_000):
-        links = trie_links(prints, 3, leaf)
-        root = {w: w for w in signed} | {r.node: r.root for r in merge_stars(links).collect()}
-        got = {}
-        for w, r in root.items():
-            got.setdefault(r, set()).add(w & M)
-        assert {frozenset(v) for v in got.values()} == components(words, 3)
+    place = {w: i for i, w in enumerate(words)}
+    for leaf, bits in ((64, 3), (100_000, 3), (300, 7), (64, 1)):
+        got = classes_of(spark, trie_links(frame_of(spark, words), bits, leaf), words)
+        assert got == {frozenset(place[w] for w in g) for g in components(words, bits)}
+
+
+def test_links_with_more_bits(spark):
+    rng = random.Random(5)
+    words = cluster(rng, 150)
+    words = sorted(words + words[:100])
+    base = [rng.getrandbits(128) for _ in range(3)]
+    more = [rng.choice(base) ^ sum(1 << rng.randrange(128) for _ in range(4)) & (1 << 128) - 1 for _ in words]
+    packed = [m.to_bytes(16, "little") for m in more]
+    got = classes_of(spark, trie_links(frame_of(spark, words, packed), 3, 64, 8), words)
+    root = list(range(len(words)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(words)):
+        for j in range(i):
+            if (words[i] ^ words[j]).bit_count() <= 3 and (more[i] ^ more[j]).bit_count() <= 8:
+                root[find(i)] = find(j)
+    assert got == {frozenset(i for i in range(len(words)) if find(i) == r) for r in map(find, range(len(words)))}
 
 
 def test_documents(spark, documents):
