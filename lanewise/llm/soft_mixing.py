@@ -76,28 +76,29 @@ def with_posteriors(docs: DataFrame, text_col: str, priors: list[float], likely:
     The summed evidence of n words is scaled by ``TRUST / (TRUST + n)``, which keeps long texts' membership
     soft. A text without words has the priors.
     """
+    own = {c: _free(docs, c) for c in ("_buckets", "_logs", "_scores", "_top", "_exp", "_total")}
     buckets = word_buckets(F.col(text_col), len(likely[0]))
-    first = docs.withColumn("_buckets", buckets)
-    n = F.size("_buckets").cast("double")
+    first = docs.withColumn(own["_buckets"], buckets)
+    n = F.size(own["_buckets"]).cast("double")
     scale = F.lit(TRUST) / (F.lit(TRUST) + n)
 
     def evidence(k):
         table = _numbers(likely[k])
-        return F.lit(priors[k]) + scale * F.aggregate("_buckets", F.lit(0.0), lambda acc, b: acc + table[b])
+        return F.lit(priors[k]) + scale * F.aggregate(own["_buckets"], F.lit(0.0), lambda acc, b: acc + table[b])
 
     # the last domain is what the others leave open, since evidence sums to zero over the domains
     logs = [evidence(k) - F.lit(priors[k]) for k in range(len(priors) - 1)]
-    held = first.withColumn("_logs", F.array(*logs) if logs else F.expr("cast(array() as array<double>)"))
-    rest = F.lit(0.0) - F.aggregate("_logs", F.lit(0.0), lambda acc, x: acc + x)
-    scores = F.zip_with(F.concat("_logs", F.array(rest)), _numbers(priors), lambda x, p: x + p)
-    held = held.withColumn("_scores", scores).withColumn("_top", F.array_max("_scores"))
-    held = held.withColumn("_exp", F.transform("_scores", lambda x: F.exp(x - F.col("_top"))))
-    total = F.aggregate("_exp", F.lit(0.0), lambda acc, x: acc + x)
+    held = first.withColumn(own["_logs"], F.array(*logs) if logs else F.expr("cast(array() as array<double>)"))
+    rest = F.lit(0.0) - F.aggregate(own["_logs"], F.lit(0.0), lambda acc, x: acc + x)
+    scores = F.zip_with(F.concat(own["_logs"], F.array(rest)), _numbers(priors), lambda x, p: x + p)
+    held = held.withColumn(own["_scores"], scores).withColumn(own["_top"], F.array_max(own["_scores"]))
+    held = held.withColumn(own["_exp"], F.transform(own["_scores"], lambda x: F.exp(x - F.col(own["_top"]))))
+    total = F.aggregate(own["_exp"], F.lit(0.0), lambda acc, x: acc + x)
     return (
-        held.withColumn(size_col, F.size("_buckets").cast("long"))
-        .withColumn("_total", total)
-        .withColumn(out_col, F.transform("_exp", lambda x: x / F.col("_total")))
-        .drop("_buckets", "_logs", "_scores", "_top", "_exp", "_total")
+        held.withColumn(size_col, F.size(own["_buckets"]).cast("long"))
+        .withColumn(own["_total"], total)
+        .withColumn(out_col, F.transform(own["_exp"], lambda x: x / F.col(own["_total"])))
+        .drop(*own.values())
     )
 
 
@@ -122,15 +123,23 @@ def rate_of(posteriors: Column, steps: list[tuple[list[float], float]]) -> tuple
     return state["r"], state["y"]
 
 
-def fit_rates(members: DataFrame, shares: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[tuple[list[float], float]]:
-    """Rounds of accelerated projected gradient that bring the domains to ``shares`` of all tokens.
+def domain_shares(members: DataFrame, k: int) -> list[float]:
+    """Expected share of each domain in all tokens of ``members`` (posteriors, tokens); zeros without tokens."""
+    tokens = F.col("tokens").cast("double")
+    found = members.agg(F.sum(tokens).alias("all"), *[F.sum(tokens * F.col("posteriors")[i]).alias(f"s{i}") for i in range(k)]).first()
+    return [found[f"s{i}"] / found["all"] if found["all"] else 0.0 for i in range(k)]
+
+
+def fit_rates(members: DataFrame, wanted: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[tuple[list[float], float]]:
+    """Rounds of accelerated projected gradient that bring the domains to ``wanted`` shares of all present tokens.
 
-    ``members``: posteriors, tokens (stored). Minimises half the squared gap between rated and wanted totals, as
-    shares of all tokens, with steps scaled by a document's tokens, and ends when every gap is
-    below ``tolerance``. Shares that can't be met are approached as least squares do.
+    ``members``: posteriors, tokens (stored). Minimises half the squared gap between rated and wanted totals, weighted by
+    the inverse of the domains' Gram matrix, under which a full step is safe and few rounds are needed. Steps are
+    scaled by a document's tokens; the rounds end when every gap is below ``tolerance`` of all tokens. Shares that can't be met are approached as least squares do; a sum over one asks for more tokens
+    than there are, which takes rates above one.
     """
-    k = len(shares)
-    wanted = np.array(shares, float) / sum(shares)
+    k = len(wanted)
+    wanted = np.array(wanted, float)
     p = lambda i: F.col("posteriors")[i]
     tokens = F.col("tokens").cast("double")
     gram = members.agg(
@@ -140,7 +149,8 @@ def fit_rates(members: DataFrame, shares: list[float], rounds: int = ROUNDS, tol
     if not whole:
         return []
     matrix = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / whole
-    rate = 1.0 / max(float(np.linalg.eigvalsh(matrix).max()), 1e-12)
+    # a floor on the eigenvalues keeps domains that no document tells apart from exploding
+    inverse = np.linalg.inv(matrix + 1e-6 * np.trace(matrix) * np.eye(k))
     steps: list[tuple[list[float], float]] = []
     momentum = 1.0
     for _ in range(rounds):
@@ -152,7 +162,7 @@ def fit_rates(members: DataFrame, shares: list[float], rounds: int = ROUNDS, tol
             break
         slope = np.array([sums[f"y{i}"] for i in range(k)]) / whole - wanted
         after = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        steps.append(((rate * slope).tolist(), (momentum - 1) / after))
+        steps.append(((inverse @ slope).tolist(), (momentum - 1) / after))
         momentum = after
     return steps
 
@@ -162,7 +172,7 @@ def mix(
 ) -> DataFrame:
     """Rates for documents: ``id_col``, text_hash, tokens, posteriors (in the order of ``targets``), rate.
 
-    ``targets``: wanted share of all tokens per domain. One row per row of ``docs``.
+    ``targets``: wanted weight of each domain in all tokens. One row per row of ``docs``.
 
     Defined cases: null and blank texts have no tokens and the priors as posteriors; a null id gets a rate like any
     other; repeated rows get equal rates; without labels the posteriors are even and all rates are what the
@@ -177,5 +187,36 @@ def mix(
         ),
         "members",
     )
-    steps = fit_rates(members.select("tokens", "posteriors"), [targets[d] for d in domains])
+    total = sum(targets.values())
+    steps = fit_rates(members.select("tokens", "posteriors"), [targets[d] / total for d in domains])
     return members.withColumn("rate", rate_of(F.col("posteriors"), steps)[0])
+
+
+def resample(
+    docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, factors: dict[str, float], sample: int = SAMPLE
+) -> DataFrame:
+    """``docs`` with every row kept, dropped or repeated by its rate.
+
+    ``factors``: wanted expected tokens per domain, as a multiple of the present ones. A row with rate r comes
+    floor(r + u) times, where u in [0, 1) is a hash of its id and text. Cases are as in :func:`mix`.
+    """
+    domains = list(factors)
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    priors, likely = fit_domains(rows, labelled, id_col, text_col, domains, sample)
+    members = stored(
+        with_posteriors(rows, text_col, priors, likely, "posteriors", "tokens").select("tokens", "posteriors"), "members"
+    )
+    shares = domain_shares(members, len(domains))
+    steps = fit_rates(members, [factors[d] * s for d, s in zip(domains, shares)])
+    posteriors, tokens, copies = (_free(docs, c) for c in ("posteriors", "tokens", "copies"))
+    u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
+    rated = with_posteriors(docs, text_col, priors, likely, posteriors, tokens)
+    times = F.floor(rate_of(F.col(posteriors), steps)[0] + u).cast("int")
+    # array_repeat of nothing drops the row
+    return rated.withColumn(copies, F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"{name}_"
+    return name
