@@ -76,12 +76,12 @@ def _summary_sql(col):
 
 @query("summary_by_mode", _summary_sql("crash_mode"))
 def summary_by_mode(spark, sf):
-    return summary.category_summary(_cube(spark, sf), "crash_mode", d.MODES)
+    return summary.category_summary(_cube(spark, sf), "crash_mode", d.MODES).drop("study_id")
 
 
 @query("summary_by_severity", _summary_sql("crash_severity"))
 def summary_by_severity(spark, sf):
-    return summary.category_summary(_cube(spark, sf), "crash_severity", d.SEVERITIES)
+    return summary.category_summary(_cube(spark, sf), "crash_severity", d.SEVERITIES).drop("study_id")
 
 
 @query(
@@ -93,7 +93,7 @@ def summary_by_severity(spark, sf):
 def summary_sliced(spark, sf):
     cube = _cube(spark, sf)
     recent = cube.filter(F.col("crash_year") >= cube.agg(F.max("crash_year")).scalar() - 2)
-    return summary.category_summary(filters.slice_cube(recent, severity="K"), "crash_mode", d.MODES)
+    return summary.category_summary(filters.slice_cube(recent, severity="K"), "crash_mode", d.MODES).drop("study_id")
 
 
 @query(
@@ -123,7 +123,7 @@ _CLASS_NAMES = {c: c.lower().replace(" ", "_") for c in d.FUNCTIONAL_CLASSES}
 
 @query("mode_by_severity", _cross_sql("crash_severity", "crash_mode", _MODE_NAMES))
 def mode_by_severity(spark, sf):
-    return summary.cross_tab(_cube(spark, sf), "crash_severity", "crash_mode", d.MODES, d.SEVERITIES, totals=True)
+    return summary.cross_tab(_cube(spark, sf), "crash_severity", "crash_mode", d.MODES, d.SEVERITIES, totals=True).drop("study_id")
 
 
 @query("class_by_severity", _cross_sql("crash_severity", "functional_class", _CLASS_NAMES, "crash_mode = 'ped'"))
@@ -131,21 +131,26 @@ def class_by_severity(spark, sf):
     cube = filters.slice_cube(_cube(spark, sf), mode="ped")
     return summary.cross_tab(
         cube, "crash_severity", "functional_class", d.FUNCTIONAL_CLASSES, d.SEVERITIES, totals=True, names=_CLASS_NAMES
-    )
+    ).drop("study_id")
 
 
-_YEARS = [1994, 1995, 1996, 1997, 1998]
+_YEARS_BACK = list(range(d.STUDY_YEARS))
 
 
 @query(
     "severity_by_year",
-    f"""WITH {CUBE} SELECT crash_severity,
-    {", ".join(f"cast(coalesce(sum(CASE WHEN crash_year = {y} THEN crash_count END), 0) AS bigint) AS y{y}" for y in _YEARS)}
-    FROM cube_rows GROUP BY 1""",
+    f"""WITH {CUBE}, latest AS (SELECT max(crash_year) AS y FROM cube_rows) SELECT crash_severity,
+    {", ".join(f"cast(coalesce(sum(CASE WHEN crash_year = y - {b} THEN crash_count END), 0) AS bigint) AS back_{b}" for b in _YEARS_BACK)}
+    FROM cube_rows, latest GROUP BY 1""",
 )
 def severity_by_year(spark, sf):
-    names = {y: f"y{y}" for y in _YEARS}
-    return summary.cross_tab(_cube(spark, sf), "crash_severity", "crash_year", _YEARS, d.SEVERITIES, names=names)
+    """Years counted back from the latest one, so the columns hold whatever years the table has."""
+    cube = _cube(spark, sf)
+    back = cube.agg(F.max("crash_year")).scalar() - F.col("crash_year")
+    names = {b: f"back_{b}" for b in _YEARS_BACK}
+    return summary.cross_tab(
+        cube.withColumn("years_back", back), "crash_severity", "years_back", _YEARS_BACK, d.SEVERITIES, names=names
+    ).drop("study_id")
 
 
 @query(
@@ -160,7 +165,7 @@ def severity_by_class_complete(spark, sf):
     cube = filters.keep_domain(filters.slice_cube(_cube(spark, sf), mode="bike"), {"crash_severity": ["K", "A"]})
     return summary.cross_tab(
         cube, "crash_severity", "functional_class", d.FUNCTIONAL_CLASSES, d.SEVERITIES, complete_rows=True, names=_CLASS_NAMES
-    )
+    ).drop("study_id")
 
 
 @query(
@@ -170,17 +175,80 @@ def severity_by_class_complete(spark, sf):
     WHERE value IN (SELECT crash_severity FROM cube_rows)""",
 )
 def filter_options(spark, sf):
-    return summary.filter_options(_cube(spark, sf), "crash_severity", d.SEVERITY_LABELS)
+    return summary.filter_options(_cube(spark, sf), "crash_severity", d.SEVERITY_LABELS).drop("study_id")
 
 
 @query("year_range", f"WITH {CUBE} SELECT min(crash_year) AS min_year, max(crash_year) AS max_year FROM cube_rows")
 def year_range(spark, sf):
-    return summary.year_range(_cube(spark, sf))
+    return summary.year_range(_cube(spark, sf)).drop("study_id")
+
+
+_TWO = "cast(CASE WHEN functional_class IN ('Local Road', 'Expressway') THEN 2 ELSE 1 END AS int)"
+
+
+def _two_studies(cube):
+    """The cube as that of two studies, told apart by class; the second one lacks its latest year."""
+    two = cube.withColumn("study_id", F.expr(_TWO))
+    return two.filter((F.col("study_id") == 1) | (F.col("crash_year") < cube.agg(F.max("crash_year")).scalar()))
+
+
+TWO_STUDIES = f"""{CUBE}, two AS (SELECT {_TWO} AS study_id, c.* FROM cube_rows c
+    WHERE {_TWO} = 1 OR crash_year < (SELECT max(crash_year) FROM cube_rows))"""
+
+
+@query(
+    "multi_study_summary",
+    f"""WITH {TWO_STUDIES}, s AS (SELECT study_id, crash_mode, sum(crash_count) AS n FROM two GROUP BY 1, 2)
+    SELECT study_id, crash_mode, cast(n AS bigint) AS total_crashes,
+      round_even(n / (SELECT sum(n) FROM s t WHERE t.study_id = s.study_id) * 100.0, 1) AS percent_of_total FROM s""",
+)
+def multi_study_summary(spark, sf):
+    return summary.category_summary(_two_studies(_cube(spark, sf)), "crash_mode", d.MODES)
+
+
+@query("multi_study_years", f"WITH {TWO_STUDIES} SELECT study_id, min(crash_year) AS min_year, max(crash_year) AS max_year FROM two GROUP BY 1")
+def multi_study_years(spark, sf):
+    return summary.year_range(_two_studies(_cube(spark, sf)))
+
+
+@query(
+    "multi_study_cross_tab",
+    f"""WITH {TWO_STUDIES}, r AS (
+      SELECT study_id, crash_severity, {", ".join(f"sum(CASE WHEN crash_mode = '{m}' THEN crash_count ELSE 0 END) AS {m}" for m in d.MODES)} FROM two GROUP BY 1, 2
+      UNION ALL SELECT study_id, 'All', {", ".join(f"sum(CASE WHEN crash_mode = '{m}' THEN crash_count ELSE 0 END) AS {m}" for m in d.MODES)} FROM two GROUP BY 1)
+    SELECT study_id, crash_severity, {", ".join(f"cast({m} AS bigint) AS {m}" for m in d.MODES)}, cast({" + ".join(d.MODES)} AS bigint) AS total,
+      {", ".join(f"coalesce(round_even({m} / nullif({' + '.join(d.MODES)}, 0) * 100.0, 1), 0) AS {m}_pct" for m in d.MODES)} FROM r""",
+)
+def multi_study_cross_tab(spark, sf):
+    return summary.cross_tab(_two_studies(_cube(spark, sf)), "crash_severity", "crash_mode", d.MODES, d.SEVERITIES, totals=True)
 
 
 # ---------------------------------------------------------------- report tables
 
 
+@query(
+    "multi_study_proportions",
+    f"""WITH {BASE}, two AS (SELECT cast(1 + crash_id % 2 AS int) AS study_id, crash_severity FROM fx_crashes),
+    n AS (SELECT study_id, crash_severity, count(*) AS n FROM two GROUP BY 1, 2)
+    SELECT study_id, crash_severity, cast(n AS double) AS total_count,
+      round(n / (SELECT sum(n) FROM n t WHERE t.study_id = n.study_id), 8) AS proportion FROM n""",
+)
+def multi_study_proportions(spark, sf):
+    two = fx.crashes(spark, sf).withColumn("study_id", (1 + F.col("crash_id") % 2).cast("int"))
+    return summary.proportions(two, "crash_severity").select("study_id", "crash_severity", "total_count", _r("proportion", 8))
+
+
+@query(
+    "multi_study_latest",
+    f"""WITH {BASE}, two AS (SELECT cast(1 + crash_id % 2 AS int) AS study_id, crash_id, crash_year FROM fx_crashes)
+    SELECT study_id, crash_id, crash_year FROM (SELECT *, row_number() OVER (PARTITION BY study_id
+      ORDER BY crash_year DESC NULLS LAST, crash_id DESC) AS r FROM two) t WHERE r <= 50""",
+)
+def multi_study_latest(spark, sf):
+    two = fx.crashes(spark, sf).withColumn("study_id", (1 + F.col("crash_id") % 2).cast("int"))
+    return ranking.latest(two, 50).select("study_id", "crash_id", "crash_year")
+
+
 @query(
     "severity_proportions",
     f"""WITH {BASE} SELECT crash_severity, cast(count(*) AS double) AS total_count,
@@ -398,11 +466,10 @@ def _studies(spark, sf):
     coalesce(window_length_ratio, 5) AS window_length_ratio, coalesce(crash_join_distance, 50) AS crash_join_distance,
     coalesce(top_streets_threshold, 10) AS top_streets_threshold, wk AS weight_k, ck AS cost_k, 384000 AS cost_b,
     round(CASE WHEN coalesce(window_length_ratio, 5) <> 0 THEN coalesce(sliding_window_length, 0.5e0) / coalesce(window_length_ratio, 5) END, 6) AS short_window_length
-    FROM studies WHERE coalesce(window_length_ratio, 5) <> 0""",
+    FROM studies""",
 )
 def study_params(spark, sf):
-    ok = _studies(spark, sf).filter(F.coalesce("window_length_ratio", F.lit(5)) != 0)
-    p = tables.study_params(ok)
+    p = tables.study_params(_studies(spark, sf))
     return p.select(
         "study_id", "sliding_window_length", "window_length_ratio", "crash_join_distance", "top_streets_threshold",
         F.col("crash_weights")["K"].alias("weight_k"), F.col("crash_costs")["K"].alias("cost_k"),
@@ -462,20 +529,20 @@ def natural_breaks(spark, sf):
     return classify.natural_breaks(_long_scores(spark, sf), "score", ["crash_mode"], 5)
 
 
-_BREAKS = [1.0, 3.0, 6.0, 10.0, 1000.0]
-
-
 @query(
     "assign_class",
     f"""WITH {SCREENING}, {SHORT}, {SHORT_SCORES},
-    l AS ({" UNION ALL ".join(f"SELECT start_x, start_y, segment_sequence, '{m}' AS crash_mode, {d.score_column(m)} AS score FROM short_scores" for m in d.MODES)})
-    SELECT start_x, start_y, cast(segment_sequence AS int) AS segment_sequence, crash_mode, score,
-      CASE WHEN score < 1 THEN NULL WHEN score <= 3 THEN 0 WHEN score <= 6 THEN 1 WHEN score <= 10 THEN 2 WHEN score <= 1000 THEN 3 END AS class_no
-    FROM l WHERE score > 0""",
+    l AS ({" UNION ALL ".join(f"SELECT start_x, start_y, segment_sequence, '{m}' AS crash_mode, {d.score_column(m)} AS score FROM short_scores" for m in d.MODES)}),
+    b AS (SELECT crash_mode, cast(sum(score) AS double) / count(*) AS mean, cast(max(score) AS double) AS top FROM l WHERE score > 0 GROUP BY crash_mode)
+    SELECT start_x, start_y, cast(segment_sequence AS int) AS segment_sequence, l.crash_mode, score,
+      CASE WHEN score <= mean THEN 0 WHEN score <= (mean + top) / 2 THEN 1 ELSE 2 END AS class_no
+    FROM l JOIN b ON l.crash_mode = b.crash_mode WHERE score > 0""",
 )
 def assign_class(spark, sf):
+    """Classes between the least, the mean and the largest score of each mode, so every score has one."""
     scores = _long_scores(spark, sf)
-    limits = scores.select("crash_mode").distinct().withColumn("breaks", F.array(*[F.lit(b) for b in _BREAKS]))
+    low, mean, top = F.min("score").cast("double"), F.sum("score").cast("double") / F.count("score"), F.max("score").cast("double")
+    limits = scores.groupBy("crash_mode").agg(F.array(low, mean, (mean + top) / 2, top).alias("breaks"))
     return classify.assign_class(scores, limits, "score", ["crash_mode"], ["start_x", "start_y", "segment_sequence"])
 
 

@@ -21,9 +21,4 @@ def to_int_rounded(col: Column) -> Column:
 
     Rounds to 4 digits first so that the order in which a sum was added cannot tip a half.
     """
-    return F.bround(F.round(col, 4), 0).cast("int")
-
-
-def round_half_up(col: Column, digits: int) -> Column:
-    """Decimal rounding, halves away from zero, returned as DOUBLE."""
-    return F.round(col.cast("decimal(28,10)"), digits).cast("double")
+    return F.bround(F.round(col, 4), 0).cast("bigint")

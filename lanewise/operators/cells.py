@@ -18,15 +18,15 @@ POINT_CELL_M = 100.0
 AREA_CELL_M = 1000.0
 
 
-def _cell(value: Column, size: float) -> Column:
+def _cell(value: Column, size: float | Column) -> Column:
     return F.floor(value / size)
 
 
-def point_cells(points: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
+def point_cells(points: DataFrame, size: float | Column, x: str = "x", y: str = "y") -> DataFrame:
     return points.withColumn("gx", _cell(F.col(x), size)).withColumn("gy", _cell(F.col(y), size))
 
 
-def edge_cells(edges: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+def edge_cells(edges: DataFrame, size: float | Column, margin: float | Column = 0.0) -> DataFrame:
     """List each straight edge under the cells within ``margin`` of it.
 
     Column by column along x, then only the rows the edge reaches inside that column, so
@@ -51,24 +51,28 @@ def within_distance(
     edges: DataFrame,
     points: DataFrame,
     d: float | str,
-    max_d: float | None = None,
     cell: float | None = None,
     salt_on: tuple[str, ...] = ("x", "y"),
 ) -> DataFrame:
     """Pairs of straight edge and point no further apart than ``d`` (inclusive).
 
     ``edges`` needs ``study_id, x0, y0, x1, y1``; ``points`` needs ``study_id, x, y``. ``d`` is a
-    number or a column of ``points`` (then ``max_d`` bounds it). Each pair comes out once with
+    number or a column that both sides have with one value per study; cells then follow each
+    study's own distance. Each pair comes out once with
 
     * ``dist``: distance,
     * ``near_m``: where along the edge the nearest point lies,
     * ``reach_lo``, ``reach_hi``: the stretch of the edge that lies within ``d``.
     """
     limit = F.col(d) if isinstance(d, str) else F.lit(float(d))
-    margin = float(max_d if isinstance(d, str) else d)
-    size = cell or max(POINT_CELL_M, 2 * margin)
+    if isinstance(d, str):
+        margin, size = F.col(d), F.greatest(F.lit(cell or POINT_CELL_M), 2 * F.col(d))
+    else:
+        margin, size = float(d), cell or max(POINT_CELL_M, 2 * float(d))
     listed = edge_cells(edges, size, margin)
     placed = point_cells(points, size)
+    if isinstance(d, str):
+        placed = placed.drop(d)
     pairs = salted_join(placed, listed, CELL, list(salt_on)).drop("gx", "gy")
 
     length = g.distance("x0", "y0", "x1", "y1")

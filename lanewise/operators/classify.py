@@ -2,84 +2,88 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import salted_join
 
-EXACT_VALUES = 4096
-
-
-def _best_breaks(value: np.ndarray, top: np.ndarray, weight: np.ndarray, k: int) -> list[float]:
-    """Optimal 1-D classes of weighted values: least squares within classes, exact."""
-    n = len(value)
-    k = max(1, min(k, n))
-    w, wv, wv2 = (np.concatenate([[0.0], np.cumsum(a)]) for a in (weight, weight * value, weight * value**2))
-
-    def cost(i, j):  # classes value[i:j]
-        s = w[j] - w[i]
-        return (wv2[j] - wv2[i]) - (wv[j] - wv[i]) ** 2 / np.where(s > 0, s, 1.0)
-
-    best = cost(np.zeros(n + 1, dtype=int), np.arange(n + 1))
-    cuts = []
-    for c in range(2, k + 1):
-        nxt, cut = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range(c, n + 1):
-            i = np.arange(c - 1, j)
-            total = best[i] + cost(i, j)
-            p = int(np.argmin(total))
-            nxt[j], cut[j] = total[p], i[p]
-        best = nxt
-        cuts.append(cut)
-    ends, j = [n], n
-    for cut in reversed(cuts):
-        j = int(cut[j])
-        ends.append(j)
-    return [float(top[e - 1]) for e in sorted(ends)]
-
-
-def natural_breaks(df: DataFrame, value: str, group: list[str], k: int = 5) -> DataFrame:
-    """Class limits per group: ``group..., breaks ARRAY<DOUBLE>``, lowest value first.
+DIGITS = 3
+
+
+def _solver(group: list[str], k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Function from one group's pooled values (v, top, n) to its class limits.
 
-    Equal values are counted in Spark over all rows and the classes are solved on the
-    (value, count) list. Up to 4,096 distinct values per group the classes are optimal;
-    beyond that, values agreeing in three significant digits are pooled first (with
-    their mean, count and maximum), which bounds the list however many rows there are.
+    It imports what it needs, so that workers run it without this package.
     """
-    values = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    exact = values.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = exact.groupBy(*group).agg(F.count(F.lit(1)).alias("_distinct"), F.min("v").alias("_low"))
-    digits = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.when(F.col("v") != 0, F.col("v"))))) - 2)
-    pooled = F.when(
-        F.col("_distinct") > EXACT_VALUES, F.coalesce(F.round(F.col("v") / digits) * digits, F.lit(0.0))
-    ).otherwise(F.col("v"))
-    bins = (
-        salted_join(exact, sizes, group, ["v"], sizes=sizes.select(*group, F.col("_distinct").alias("_rows")))
-        .groupBy(*group, "_low", pooled.alias("_bin"))
-        .agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.max("v").alias("top"))
-    )
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        import pandas as pd
+
         pdf = pdf.sort_values("v")
         v, top, n = (pdf[c].to_numpy(dtype=float) for c in ("v", "top", "n"))
-        if len(v) > 2 * EXACT_VALUES:  # many decades: pool neighbours of equal weight
-            slot = np.minimum((np.cumsum(n) - n) * EXACT_VALUES // n.sum(), EXACT_VALUES - 1)
-            first = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1])
-            size = np.add.reduceat(n, first)
-            v, top, n = np.add.reduceat(n * v, first) / size, np.maximum.reduceat(top, first), size
-        limits = [float(pdf["_low"].iloc[0]), *_best_breaks(v, top, n, k)]
-        kept = [limits[0]]
-        for b in limits[1:]:
-            if abs(b - kept[-1]) > 1e-9:
-                kept.append(b)
-        if len(kept) < 2:
-            kept.append(kept[0] + 1e-6)
-        return pd.DataFrame({**{g: [pdf[g].iloc[0]] for g in group}, "breaks": [kept]})
+        size = len(v)
+        weight, first, second = (np.concatenate([[0.0], np.cumsum(a)]) for a in (n, n * v, n * v * v))
+
+        def spread(i, j):
+            """Squared deviation from the mean within the values i to j - 1."""
+            held = weight[j] - weight[i]
+            return second[j] - second[i] - (first[j] - first[i]) ** 2 / np.where(held > 0, held, 1.0)
 
+        # best[j]: least spread of the first j values in the classes so far. The best last class of j
+        # values never starts before that of fewer values, so halving the ends halves the starts to try.
+        best = spread(np.zeros(size + 1, int), np.arange(size + 1))
+        starts = []
+        for c in range(2, min(k, size) + 1):
+            after, start = np.full(size + 1, np.inf), np.zeros(size + 1, int)
+            todo = [(c, size, c - 1, size - 1)]
+            while todo:
+                low, high, least, most = todo.pop()
+                if low > high:
+                    continue
+                j = (low + high) // 2
+                i = np.arange(least, min(most, j - 1) + 1)
+                total = best[i] + spread(i, j)
+                at = int(np.argmin(total))
+                after[j], start[j] = total[at], i[at]
+                todo += [(low, j - 1, least, start[j]), (j + 1, high, start[j], most)]
+            best = after
+            starts.append(start)
+        ends = [size]
+        for start in reversed(starts):
+            ends.append(int(start[ends[-1]]))
+        limits = sorted(float(top[e - 1]) for e in ends)
+        # maxima of classes differ; only the lowest value can be a maximum as well
+        lowest = float(pdf["_low"].iloc[0])
+        if limits[0] != lowest or len(limits) == 1:
+            limits.insert(0, lowest)
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] for g in group}, "breaks": [limits]})
+
+    return solve
+
+
+def natural_breaks(df: DataFrame, value: str, group: list[str], k: int = 5, digits: int = DIGITS) -> DataFrame:
+    """Class limits per group: ``group..., breaks ARRAY<DOUBLE>``, lowest value first.
+
+    Values that agree in ``digits`` significant digits are pooled in Spark over all rows, with
+    their mean, count and maximum, and the classes of the pools have the least squared
+    deviation. The rule is the same at every size; there are at most ``9 * 10 ** (digits - 1)`` pools per
+    decade and sign. A class that holds the lowest value alone is merged into the next one; a group of
+    one value has it as both limits.
+    """
+    values = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.when(F.col("v") != 0, F.col("v"))))) - (digits - 1))
+    pool = F.coalesce(F.round(F.col("v") / unit), F.lit(0.0))
+    pools = values.groupBy(*group, pool.alias("_pool"), unit.alias("_unit")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("v"), F.max("v").alias("top"), F.min("v").alias("least")
+    )
+    lowest = pools.groupBy(*group).agg(F.min("least").alias("_low"))
+    bins = pools.join(lowest, group)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*group).schema)
-    return bins.groupBy(*group).applyInPandas(solve, f"{schema}, breaks array<double>")
+    return bins.groupBy(*group).applyInPandas(_solver(group, k), f"{schema}, breaks array<double>")
 
 
 def assign_class(df: DataFrame, breaks: DataFrame, value: str, group: list[str], salt_on: list[str]) -> DataFrame:

@@ -18,6 +18,8 @@ from ..session import cut_lineage
 from .cells import edge_cells
 from .skew import salted_join
 
+NODE_DIGITS = 6  # crossings are placed to a micrometre
+
 NODE_CELL_M = 200.0
 
 
@@ -78,13 +80,13 @@ def crossing_marks(pieces: DataFrame, keys: list[str], cell: float = NODE_CELL_M
     u = (qx * ry - qy * rx) / F.when(det != 0, det)
     tol = 1e-9
     meets = t.between(-tol, 1 + tol) & u.between(-tol, 1 + tol)
-    # Snap to an end of either edge, so that a junction is one and the same node.
+    # Snap to an end of either edge, or to a fixed grid, so that a junction of any edges is one and the same node.
     at = (
         F.when(F.abs(t) <= tol, g.point("ax", "ay"))
         .when(F.abs(t - 1) <= tol, g.point("bx", "by"))
         .when(F.abs(u) <= tol, g.point("oax", "oay"))
         .when(F.abs(u - 1) <= tol, g.point("obx", "oby"))
-        .otherwise(g.point(c["ax"] + t * rx, c["ay"] + t * ry))
+        .otherwise(g.point(F.round(c["ax"] + t * rx, NODE_DIGITS), F.round(c["ay"] + t * ry, NODE_DIGITS)))
     )
     in_line = (det == 0) & (qx * ry - qy * rx == 0)
     cuts = F.when(meets, F.array(at)).when(

@@ -51,19 +51,17 @@ def top_corridors(sliding: DataFrame, mode: str, n: int = d.TOP_STREETS) -> Data
 
 
 def top_segments(costs: DataFrame, mode: str, n: int = d.TOP_STREETS) -> DataFrame:
-    """The ``n`` most expensive segments of one mode."""
+    """The ``n`` most expensive segments of one mode in each study."""
     col = f"{mode}_cost"
-    return (
-        costs.filter(F.col(f"show_{mode}"))
-        .select("road_name", "functional_class", col, "short_window_id")
-        .orderBy(F.desc(col), F.asc("short_window_id"))
-        .limit(n)
-    )
+    shown = costs.filter(F.col(f"show_{mode}")).select("study_id", "road_name", "functional_class", col, "short_window_id")
+    order = [F.desc(col), F.asc("short_window_id")]
+    return top_per_group(shown, ["study_id"], order, n, ["short_window_id"]).drop("rank").orderBy("study_id", *order)
 
 
 def latest(crashes: DataFrame, n: int = d.PRIORITY_MARKERS) -> DataFrame:
-    """The ``n`` latest crashes, years missing last."""
-    return crashes.orderBy(F.desc_nulls_last("crash_year"), F.desc("crash_id")).limit(n)
+    """The ``n`` latest crashes of each study, years missing last."""
+    order = [F.desc_nulls_last("crash_year"), F.desc("crash_id")]
+    return top_per_group(crashes, ["study_id"], order, n, ["crash_id"]).drop("rank").orderBy("study_id", *order)
 
 
 def priority_flag(crashes: DataFrame, n: int = d.PRIORITY_MARKERS) -> DataFrame:

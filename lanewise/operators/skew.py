@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 2000
+HOT_KEYS = 100_000
 HOT_ROWS = 200_000
 
 
@@ -15,16 +15,14 @@ def key_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hot_keys(sizes: DataFrame, keys: list[str], most: int, rows: int) -> DataFrame:
-    """The largest keys with more than ``rows`` rows and how many ways to split each.
+    """All keys with more than ``rows`` rows and more than ``1/most`` of all rows, and how many ways to split each.
 
-    At most ``most`` keys are returned whatever the input, which is what makes broadcasting
-    the list safe; a key left out holds less than ``1/most`` of all rows.
+    By counting, fewer than ``most`` keys can hold more than that share, which is what makes
+    broadcasting the list safe; no key is cut off.
     """
-    return (
-        sizes.filter(F.col("_rows") > rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(most)
-        .select(*keys, F.ceil(F.col("_rows") / float(rows)).cast("int").alias("_splits"))
+    total = sizes.agg(F.sum("_rows")).scalar()
+    return sizes.filter(F.col("_rows") > F.greatest(F.lit(float(rows)), total / float(most))).select(
+        *keys, F.ceil(F.col("_rows") / float(rows)).cast("int").alias("_splits")
     )
 
 

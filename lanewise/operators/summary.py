@@ -11,6 +11,7 @@ from .cells import within_distance
 from .filters import drop_omitted, last_n_years, mapping_table
 from .network import line_edges
 
+STUDY = ("study_id",)
 CUBE = ["crash_year", "crash_mode", "crash_severity", "functional_class"]
 
 
@@ -59,23 +60,28 @@ def percent(part: Column, total: Column, digits: int = 1) -> Column:
     return F.coalesce(F.bround(part / F.when(total != 0, total) * 100.0, digits), F.lit(0.0))
 
 
-def category_summary(cube: DataFrame, col: str, order: list) -> DataFrame:
-    """Crashes and share of total per category, in display order.
+def with_total(sums: DataFrame, value: str, by: tuple) -> DataFrame:
+    """Adds ``_total``: the sum of ``value`` over each study (or all rows without ``by``).
 
-    The total comes from the grouped result, so no window gathers the rows in one task.
+    It comes from the grouped rows, so no window gathers a study's rows in one task.
     """
-    sums = cube.groupBy(col).agg(F.sum("crash_count").alias("total_crashes")).filter(F.col(col).isNotNull())
-    total = sums.agg(F.sum("total_crashes")).scalar()
-    return order_by_dim(
-        sums.withColumn("percent_of_total", percent(F.col("total_crashes"), total)), col, order
-    )
+    if not by:
+        return sums.withColumn("_total", sums.agg(F.sum(value)).scalar())
+    return sums.join(sums.groupBy(*by).agg(F.sum(value).alias("_total")), list(by))
+
+
+def category_summary(cube: DataFrame, col: str, order: list, by: tuple = STUDY) -> DataFrame:
+    """Crashes and share of the study's total per category, in display order."""
+    sums = cube.groupBy(*by, col).agg(F.sum("crash_count").alias("total_crashes")).filter(F.col(col).isNotNull())
+    shares = with_total(sums, "total_crashes", by).withColumn("percent_of_total", percent(F.col("total_crashes"), F.col("_total")))
+    return shares.drop("_total").orderBy(*by, order_of(F.col(col), order), F.col(col))
 
 
 def cross_tab(
     cube: DataFrame, row: str, col: str, values: list, rows: list, totals: bool = False, complete_rows: bool = False,
-    names: dict | None = None, value: str = "crash_count",
+    names: dict | None = None, value: str = "crash_count", by: tuple = STUDY,
 ) -> DataFrame:
-    """Rows by columns with counts; optional row total, percentages and an all-rows line.
+    """Rows by columns with counts per study; optional row total, percentages and an all-rows line.
 
     Columns are a fixed list, so the schema does not depend on the data; cells without a
     column value count nowhere.
@@ -86,9 +92,12 @@ def cross_tab(
         F.coalesce(F.sum(F.when(F.col(col) == v, F.col(value))), F.lit(0)).cast("bigint").alias(names[v]) for v in values
     ]
     if not totals:
-        out = kept.groupBy(row).agg(*sums)
+        out = kept.groupBy(*by, row).agg(*sums)
     else:
-        out = kept.rollup(row).agg(*sums, F.grouping(row).alias("_all"))
+        levels = [F.grouping(c).alias(f"_every_{c}") for c in by]
+        out = kept.rollup(*by, row).agg(*sums, F.grouping(row).alias("_all"), *levels)
+        for c in by:  # no line over several studies
+            out = out.filter(F.col(f"_every_{c}") == 0).drop(f"_every_{c}")
         out = out.withColumn(row, F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.col(row))).drop("_all")
         total = sum((F.col(names[v]) for v in values), F.lit(0))
         out = out.withColumn("total", total.cast("bigint")).filter(F.col(row) != "All").unionByName(
@@ -96,28 +105,29 @@ def cross_tab(
         )
         out = out.withColumns({f"{names[v]}_pct": percent(F.col(names[v]), F.col("total")) for v in values})
     if complete_rows:
-        wanted = cube.sparkSession.createDataFrame([(r,) for r in rows], f"{row} string")
-        out = wanted.join(out, row, "left").na.fill(0)
-    return order_by_dim(out, row, [*rows, "All"])
+        each = F.explode(F.array(*[F.lit(r) for r in rows])).alias(row)
+        wanted = cube.select(*by).distinct().select(*by, each) if by else cube.sparkSession.range(1).select(each)
+        out = wanted.join(out, [*by, row], "left").na.fill(0, list(names.values()))
+    return out.orderBy(*by, order_of(F.col(row), [*rows, "All"]), F.col(row))
 
 
-def filter_options(cube: DataFrame, col: str, labels: dict[str, str]) -> DataFrame:
-    """Codes present in the data with their labels, in the order of ``labels``."""
+def filter_options(cube: DataFrame, col: str, labels: dict[str, str], by: tuple = STUDY) -> DataFrame:
+    """Codes present in each study with their labels, in the order of ``labels``."""
     dim = mapping_table(cube.sparkSession, labels).select(
         F.col("raw").alias("value"), F.col("mapped").alias("label"), "position"
     )
-    present = cube.select(F.col(col).alias("value")).distinct()
-    return dim.join(present, "value", "left_semi").orderBy("position")
+    present = cube.select(*by, F.col(col).alias("value")).distinct()
+    return present.join(F.broadcast(dim), "value").orderBy(*by, "position")
 
 
-def year_range(cube: DataFrame) -> DataFrame:
-    return cube.agg(F.min("crash_year").alias("min_year"), F.max("crash_year").alias("max_year"))
+def year_range(cube: DataFrame, by: tuple = STUDY) -> DataFrame:
+    return cube.groupBy(*by).agg(F.min("crash_year").alias("min_year"), F.max("crash_year").alias("max_year"))
 
 
-def observed_vs_adjusted(posterior: DataFrame, mode: str) -> DataFrame:
-    """Observed and blended totals per severity for one mode; only severities that exist."""
+def observed_vs_adjusted(posterior: DataFrame, mode: str, by: tuple = STUDY) -> DataFrame:
+    """Observed and blended totals per study and severity for one mode; only severities that exist."""
     have = [s for s in d.SEVERITIES if {f"{mode}_{s.lower()}_obs", f"adj_{mode}_{s.lower()}"} <= set(posterior.columns)]
-    sums = posterior.agg(
+    sums = posterior.groupBy(*by).agg(
         *[F.sum(F.coalesce(f"{mode}_{s.lower()}_obs", F.lit(0.0))).alias(f"o_{s}") for s in have],
         *[F.sum(F.coalesce(f"adj_{mode}_{s.lower()}", F.lit(0.0))).alias(f"a_{s}") for s in have],
     )
@@ -132,44 +142,50 @@ def observed_vs_adjusted(posterior: DataFrame, mode: str) -> DataFrame:
             for s in have
         ]
     )
-    return sums.select(F.explode(rows).alias("r")).select("r.*")
+    return sums.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
 
 
-def proportions(df: DataFrame, col: str, value: Column | None = None, name: str = "total_count") -> DataFrame:
-    """Count (or sum) per category and its share of the total."""
+def proportions(
+    df: DataFrame, col: str, value: Column | None = None, name: str = "total_count", by: tuple = STUDY
+) -> DataFrame:
+    """Count (or sum) per category and its share of the study's total."""
     metric = F.count(F.lit(1)).cast("double") if value is None else F.coalesce(F.sum(value), F.lit(0.0))
-    sums = df.groupBy(col).agg(metric.alias(name))
-    total = sums.agg(F.sum(name)).scalar()
-    return sums.withColumn("proportion", F.coalesce(F.col(name) / F.when(total != 0, total), F.lit(0.0)))
+    sums = with_total(df.groupBy(*by, col).agg(metric.alias(name)), name, by)
+    total = F.col("_total")
+    return sums.withColumn("proportion", F.coalesce(F.col(name) / F.when(total != 0, total), F.lit(0.0))).drop("_total")
 
 
-def cost_summary(crashes: DataFrame, costs: dict[str, float]) -> DataFrame:
-    """Unit cost, count and share per severity; severities without crashes show 0."""
-    table = crashes.sparkSession.createDataFrame(
-        [(s, float(costs[s])) for s in d.SEVERITIES if costs.get(s) is not None], "crash_severity string, crash_cost double"
-    )
-    shares = proportions(crashes, "crash_severity")
-    return table.join(shares, "crash_severity", "left").na.fill(0.0, ["total_count", "proportion"])
+def cost_summary(crashes: DataFrame, costs: dict[str, float], by: tuple = STUDY) -> DataFrame:
+    """Unit cost, count and share per study and severity; severities without crashes show 0."""
+    listed = [(s, float(costs[s])) for s in d.SEVERITIES if costs.get(s) is not None]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("crash_severity"), F.lit(c).alias("crash_cost")) for s, c in listed]))
+    table = crashes.select(*by).distinct().select(*by, each.alias("c")).select(*by, "c.*")
+    shares = proportions(crashes, "crash_severity", by=by)
+    return table.join(shares, [*by, "crash_severity"], "left").na.fill(0.0, ["total_count", "proportion"])
 
 
 def mapping_report(
-    mapping: DataFrame, metric: DataFrame, standard: str, order: list | None = None, value: str = "total_count"
+    mapping: DataFrame, metric: DataFrame, standard: str, order: list | None = None, value: str = "total_count", by: tuple = STUDY
 ) -> DataFrame:
-    """Source codes per standard value with its metric and share.
+    """Source codes per study and standard value with its metric and share.
 
     Standard values without a source code stand for themselves; codes without data show 0.
-    ``mapping`` is ``(raw, mapped, position)`` and is small: one row per code.
+    ``mapping`` is ``(raw, mapped, position)`` and is small: one row per code. ``metric`` comes from :func:`proportions`.
     """
     grouped = mapping.groupBy(F.col("mapped").alias(standard)).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "raw"))), lambda r: r["raw"]), "\n").alias("_codes")
     )
-    out = metric.join(grouped, standard, "full_outer").select(
+    if by:  # every study gets every code
+        codes = grouped.agg(F.collect_list(F.struct(standard, "_codes"))).scalar()
+        grouped = metric.select(*by).distinct().select(*by, F.explode(codes).alias("c")).select(*by, "c.*")
+    out = metric.join(grouped, [*by, standard], "full_outer").select(
+        *by,
         F.coalesce("_codes", standard).alias("dataset_values"),
         standard,
         F.coalesce(value, F.lit(0.0)).alias(value),
         F.coalesce("proportion", F.lit(0.0)).alias("proportion"),
     )
-    return order_by_dim(out, standard, order) if order else out
+    return out.orderBy(*by, order_of(F.col(standard), order), F.col(standard)) if order else out
 
 
 def key_profile(df: DataFrame, col: str) -> DataFrame:

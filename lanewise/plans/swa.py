@@ -16,9 +16,6 @@ from ..operators.network import dissolve_roads, dissolved_lines
 from ..session import cut_lineage
 
 
-MAX_JOIN_FT = 250  # upper end of the allowed join distance
-
-
 @dataclass(frozen=True)
 class SwaParams:
     """Window length in miles, windows per length, join distance in feet, severity weights."""
@@ -62,7 +59,7 @@ def _study_columns(studies: DataFrame) -> DataFrame:
     return studies.select(
         "study_id",
         window.alias("window_m"),
-        (window / F.col("window_length_ratio")).alias("step_m"),
+        F.try_divide(window, F.col("window_length_ratio")).alias("step_m"),
         (F.col("crash_join_distance") * d.METERS_PER_FOOT).alias("join_m"),
         "crash_weights",
     )
@@ -88,7 +85,7 @@ def scored_windows(edges: DataFrame, crashes: DataFrame, params: SwaParams | Dat
         hits = within_distance(placed, points, params.join_m)
     else:
         own = _study_columns(params).select("study_id", "join_m")
-        hits = within_distance(placed, points.join(own, "study_id"), "join_m", MAX_JOIN_FT * d.METERS_PER_FOOT)
+        hits = within_distance(placed.join(own, "study_id"), points.join(own, "study_id"), "join_m")
     keys = [*line, "window_no"]
     once = (
         k.windows_reached(hits, "window_m", "step_m")

@@ -8,14 +8,17 @@ from pyspark.sql import types as T
 
 from .. import domain as d
 from ..operators.summary import order_of
+from ..session import cut_lineage
 
 
 def write_result(df: DataFrame, path: str, key: list[str] | None = None) -> None:
     """Replace the results of the studies present in ``df``; other studies stay.
 
-    With ``key``, a repeated or missing key fails the write before anything is replaced.
+    With ``key``, a repeated or missing key fails the write before anything is replaced. The rows
+    are computed once: what is checked is what is written.
     """
     if key:
+        df = cut_lineage(df)
         keys = ["study_id", *key]
         missing = F.lit(False)
         for c in keys:
@@ -110,5 +113,5 @@ def write_geojson(features: DataFrame, path: str) -> None:
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """One CSV file; summaries hold one row per category, so one task is enough."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """One CSV file; the rows are made in parallel and only their writing is one task."""
+    df.repartition(1).write.mode("overwrite").csv(path, header=True)

@@ -86,7 +86,8 @@ def default_params() -> dict:
 def study_params(studies: DataFrame, defaults: dict | None = None) -> DataFrame:
     """Parameters per study, defaults filling each missing field and map entry.
 
-    The short window length, where not stored, follows from length and ratio.
+    The short window length, where not stored, follows from length and ratio; it is null for a ratio of 0,
+    which :func:`~lanewise.operators.quality.check_params` reports.
     """
     out = studies
     for name, value in (defaults or default_params()).items():
@@ -98,6 +99,6 @@ def study_params(studies: DataFrame, defaults: dict | None = None) -> DataFrame:
         else:
             entry = {s: F.lit(v) for s, v in fixed.items()}
         out = out.withColumn(name, F.create_map(*[x for s, v in entry.items() for x in (F.lit(s), v)]))
-    derived = F.col("sliding_window_length") / F.col("window_length_ratio")
+    derived = F.try_divide(F.col("sliding_window_length"), F.col("window_length_ratio"))
     stored = F.col("short_window_length") if "short_window_length" in studies.columns else F.lit(None)
     return out.withColumn("short_window_length", F.coalesce(stored, derived))

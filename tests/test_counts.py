@@ -127,6 +127,20 @@ def _distance(px, py, x0, y0, x1, y1):
     return math.hypot(px - x0 - t * dx, py - y0 - t * dy), t * math.hypot(dx, dy)
 
 
+def test_each_study_has_its_own_distance(spark):
+    rng = random.Random(12)
+    far = {1: 5.0, 2: 180.0, 3: 900.0}
+    edges = [(s, i, *(rng.uniform(-900, 900) for _ in range(4)), far[s]) for s in far for i in range(25)]
+    points = [(s, i, rng.uniform(-900, 900), rng.uniform(-900, 900), far[s]) for s in far for i in range(40)]
+    got = within_distance(
+        spark.createDataFrame(edges, "study_id int, eid int, x0 double, y0 double, x1 double, y1 double, d double"),
+        spark.createDataFrame(points, "study_id int, pid int, x double, y double, d double"),
+        "d",
+    ).collect()
+    want = {(s, i, j) for s, i, *seg, _ in edges for t, j, x, y, _ in points if s == t and _distance(x, y, *seg)[0] <= far[s]}
+    assert len(got) == len(want) and {(r.study_id, r.eid, r.pid) for r in got} == want
+
+
 @pytest.mark.parametrize("hot_rows", [200_000, 5])
 def test_distance_join_against_all_pairs(spark, monkeypatch, hot_rows):
     """Slanted and long edges, points in clusters, with and without splitting of hot cells."""

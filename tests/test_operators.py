@@ -109,8 +109,18 @@ def test_natural_breaks_are_optimal(spark):
         assert total_cost(groups[n], got[n]) == pytest.approx(exhaustive(groups[n], 5)[0], abs=1e-6)
 
 
+@pytest.mark.parametrize("n", [4096, 4097])
+def test_natural_breaks_have_one_rule(spark, n):
+    """The limits don't jump with the number of distinct values."""
+    df = spark.range(n).select(F.lit("g").alias("grp"), (F.col("id") + 100_000.0).alias("v"))
+    (row,) = classify.natural_breaks(df, "v", ["grp"], 5).collect()
+    assert row.breaks[0] == 100_000 and row.breaks[-1] == 100_000 + n - 1 and row.breaks[1] == 100_499
+    fine = classify.natural_breaks(df, "v", ["grp"], 5, digits=6).first().breaks
+    assert fine[1:-1] == pytest.approx([100_000 + n * i / 5 for i in range(1, 5)], abs=2)
+
+
 def test_natural_breaks_pool_many_values(spark):
-    """More distinct values than are solved exactly: limits still separate the clusters."""
+    """Values that agree in three digits count as one: limits still separate the clusters."""
     df = spark.range(30000).select(
         F.lit("g").alias("grp"),
         (F.when(F.col("id") % 3 == 0, 100.0).when(F.col("id") % 3 == 1, 5000.0).otherwise(90000.0) + F.col("id") / 1000.0).alias("v"),
@@ -216,5 +226,5 @@ def test_export_types(spark):
 
 def test_summary_percent_halves_to_even(spark):
     cube = spark.createDataFrame([("K", 1), ("A", 799), (None, 5)], "crash_severity string, crash_count int")
-    got = summary.category_summary(cube, "crash_severity", d.SEVERITIES).collect()
+    got = summary.category_summary(cube, "crash_severity", d.SEVERITIES, by=()).collect()
     assert [(r.crash_severity, r.total_crashes, r.percent_of_total) for r in got] == [("K", 1, 0.1), ("A", 799, 99.9)]
