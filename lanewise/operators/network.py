@@ -242,42 +242,38 @@ _STATE = [
 
 
 def _double(state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Pointer doubling until only closed loops, if any, still have a next arc."""
+    """Pointer doubling until only closed loops, if any, still have a next arc.
+
+    Arcs that have reached their end leave the rounds: they are looked up, but not written again.
+    """
     open_arcs = F.count("next_piece").alias("open")
     low_sum = F.sum(F.when(F.col("next_piece").isNotNull(), F.col("_moved"))).alias("moved")
-    left = state.agg(open_arcs).first()["open"]
+    done, going = state.filter(F.col("next_piece").isNull()), state.filter(F.col("next_piece").isNotNull())
+    left = going.count()
     while left:
-        ahead = state.select(
+        ahead = done.unionByName(going).select(
             *[F.col(c).alias("_n" if c == "piece" else "_h" if c == "head" else f"n_{c}") for c in _STATE]
         )
-        joined = state.join(
-            ahead, (F.col("next_piece") == F.col("_n")) & (F.col("next_head") == F.col("_h")), "left"
-        )
-        has = F.col("_n").isNotNull()
-        state = cut_lineage(
+        joined = going.join(ahead, (F.col("next_piece") == F.col("_n")) & (F.col("next_head") == F.col("_h")))
+        moved = cut_lineage(
             joined.select(
                 "piece",
                 "head",
                 F.col("n_next_piece").alias("next_piece"),
                 F.col("n_next_head").alias("next_head"),
-                *[(F.col(c) + F.coalesce(F.col(f"n_{c}"), F.lit(0))).alias(c) for c in ("len", "hops", "votes")],
-                *[
-                    F.when(has, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
-                    for c in ("last_piece", "last_head", "end_x", "end_y")
-                ],
+                *[(F.col(c) + F.col(f"n_{c}")).alias(c) for c in ("len", "hops", "votes")],
+                *[F.col(f"n_{c}").alias(c) for c in ("last_piece", "last_head", "end_x", "end_y")],
                 F.least("low_piece", "n_low_piece").alias("low_piece"),
                 (F.col("n_low_piece") < F.col("low_piece")).cast("int").alias("_moved"),
             )
         )
-        now = state.agg(open_arcs, low_sum).first()
+        now = moved.agg(open_arcs, low_sum).first()
+        done = done.unionByName(moved.filter(F.col("next_piece").isNull()).select(*_STATE))
+        going = moved.filter(F.col("next_piece").isNotNull()).select(*_STATE)
         if now["open"] == left and not now["moved"]:
-            loops = state.filter(F.col("next_piece").isNotNull()).select(
-                "piece", "head", F.col("low_piece").alias("loop")
-            )
-            return state.filter(F.col("next_piece").isNull()).select(*_STATE), loops
+            return done, going.select("piece", "head", F.col("low_piece").alias("loop"))
         left = now["open"]
-        state = state.select(*_STATE)
-    return state, None
+    return done, None
 
 
 def _assemble(pieces: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,8 +18,12 @@ def swa_view(short: DataFrame) -> DataFrame:
     return flag_modes(short, "crash_score").withColumn("road_name", pg_initcap(F.col("road_name")))
 
 
-def merge_equal_scores(edges: DataFrame, short: DataFrame, step: float, node_crossings: bool = True) -> DataFrame:
-    """Stretches of road of equal name, class and scores, merged into lines edge by edge."""
+def merge_equal_scores(edges: DataFrame, short: DataFrame, step: float, node_crossings: bool = False) -> DataFrame:
+    """Stretches of road of equal name, class and scores, merged into lines edge by edge.
+
+    ``edges`` of :func:`~lanewise.operators.network.dissolve_roads` have their crossings as nodes already;
+    edges of another make need ``node_crossings``.
+    """
     scored = flag_modes(short, "crash_score").select(*ROAD, "segment_sequence", *d.SCORE_COLUMNS)
     pieces = cut_at_steps(edges, step).join(scored, [*ROAD, "segment_sequence"])
     keys = ["study_id", "road_name", "functional_class", *d.SCORE_COLUMNS]
