@@ -202,6 +202,64 @@ for _m in d.MODES:
     query(f"top_corridors_{_m}", _top_sql(_m))(_top(_m))
 
 
+def _ends(df):
+    """Both ends and the length of a line column, as checked."""
+    return df.withColumns(
+        {
+            "line_x0": F.round(F.element_at("geom", 1)["x"], 4),
+            "line_y0": F.round(F.element_at("geom", 1)["y"], 4),
+            "line_x1": F.round(F.element_at("geom", -1)["x"], 4),
+            "line_length": F.round(line_length(F.col("geom")), 4),
+        }
+    ).drop("geom")
+
+
+@query(
+    "sliding_window_lines",
+    f"""WITH {CHAINS}, {SLIDING} SELECT start_x, start_y, cast(window_no AS int) AS window_no,
+      round(start_x + start_distance_m, 4) AS line_x0, start_y AS line_y0, round(start_x + end_distance_m, 4) AS line_x1,
+      round(end_distance_m - start_distance_m, 4) AS line_length FROM sliding""",
+)
+def sliding_window_lines(spark, sf):
+    """Geometry of every sliding window, cut out of the stitched edges."""
+    stitched = edges(spark, sf)
+    lines = network.dissolved_lines(stitched)
+    windows = lrs.sliding_windows(lines, WINDOW, STEP)
+    cut = _ends(lrs.range_lines(windows, stitched, [*lrs.ROAD, "window_no"]))
+    return cut.join(lines.select(*lrs.ROAD, "start_x", "start_y"), lrs.ROAD).drop(*lrs.ROAD)
+
+
+@query(
+    "swa_view_lines",
+    f"""WITH {SCREENING}, {SHORT}, {SHORT_SCORES}
+    SELECT s.start_x, s.start_y, cast(s.segment_sequence AS int) AS segment_sequence, round(s.start_x + w.exact_start, 4) AS line_x0,
+      s.start_y AS line_y0, round(s.start_x + w.exact_end, 4) AS line_x1, round(w.exact_end - w.exact_start, 4) AS line_length
+    FROM short_scores s JOIN short_windows w USING (start_x, start_y, segment_sequence) WHERE {" OR ".join(f"s.{c} > 0" for c in d.SCORE_COLUMNS)}""",
+)
+def swa_view_lines(spark, sf):
+    _, _, short = screening(spark, sf)
+    v = views.swa_view(short, edges(spark, sf), STEP)
+    return _ends(v.select("start_x", "start_y", "segment_sequence", "geom"))
+
+
+@query(
+    "top_corridor_lines",
+    f"""WITH {SCREENING}, best AS (SELECT road_name, functional_class, max(ped_crash_score) AS crash_score FROM scored
+      WHERE ped_crash_score > 0 GROUP BY 1, 2)
+    SELECT crash_score, count(*) AS corridors, cast(count(*) AS bigint) AS with_line FROM best GROUP BY 1
+      ORDER BY crash_score DESC LIMIT 3""",
+)
+def top_corridor_lines(spark, sf):
+    """The three best scores: how many corridors, and how many of them have a line of their own length."""
+    _, sliding, _ = screening(spark, sf)
+    top = ranking.top_corridors(sliding, "ped", 1_000_000, edges(spark, sf))
+    fits = F.abs(line_length(F.col("geom")) - F.col("length")) < 1e-3
+    return (
+        top.groupBy("crash_score").agg(F.count(F.lit(1)).alias("corridors"), F.count_if(fits).alias("with_line"))
+        .orderBy(F.desc("crash_score")).limit(3)
+    )
+
+
 @query(
     "best_window_per_road",
     f"""WITH {SCREENING} SELECT road_name, functional_class, max(ped_crash_score) AS crash_score

@@ -131,6 +131,34 @@ def window_lines(pieces: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def range_lines(
+    ranges: DataFrame, edges: DataFrame, keys: list[str], start: str = "start_distance_m", end: str = "end_distance_m", bucket: float = 1000.0
+) -> DataFrame:
+    """Geometry of measured stretches: ``keys`` and ``geom``.
+
+    ``keys`` (the line's key among them) name a stretch. Stretches and edges meet on (line, measure bucket), so a
+    long line spreads over many keys; an edge counts in the bucket where it and the stretch first meet.
+    Only the rows of ``ranges`` are cut, so pass the ones that are kept.
+    """
+    wanted = ranges.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_to"))
+    buckets = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket)))
+    parts = edges.select(*ROAD, "m0", "m1", "x0", "y0", "x1", "y1").withColumn("_bucket", buckets("m0", "m1"))
+    met = wanted.withColumn("_bucket", buckets("_from", "_to")).join(parts, [*ROAD, "_bucket"])
+    lo, hi = F.greatest("m0", "_from"), F.least("m1", "_to")
+    inside = met.filter((hi - lo > NOISE_M) & (F.floor(lo / bucket) == F.col("_bucket")))
+    span = F.col("m1") - F.col("m0")
+
+    def at(axis, m):
+        return F.when(m == F.col("m0"), F.col(f"{axis}0")).when(m == F.col("m1"), F.col(f"{axis}1")).otherwise(
+            F.col(f"{axis}0") + (m - F.col("m0")) / span * (F.col(f"{axis}1") - F.col(f"{axis}0"))
+        )
+
+    cut = inside.select(
+        *keys, lo.alias("m0"), at("x", lo).alias("x0"), at("y", lo).alias("y0"), at("x", hi).alias("x1"), at("y", hi).alias("y1")
+    )
+    return window_lines(cut, keys)
+
+
 def lrs_overlap(
     left: DataFrame,
     right: DataFrame,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import domain as d
 from ..functions.text import pg_initcap
+from .lrs import ROAD, range_lines
 from .skew import key_sizes, salted_join, top_per_group
 
 
@@ -42,11 +43,17 @@ def best_per_road(sliding: DataFrame, mode: str) -> DataFrame:
     )
 
 
-def top_corridors(sliding: DataFrame, mode: str, n: int = d.TOP_STREETS) -> DataFrame:
-    """The ``n`` best corridors of each study by score, then length; names capitalised."""
+def top_corridors(sliding: DataFrame, mode: str, n: int = d.TOP_STREETS, edges: DataFrame | None = None) -> DataFrame:
+    """The ``n`` best corridors of each study by score, then length; names capitalised.
+
+    With the stitched ``edges``, each corridor carries its line in ``geom``.
+    """
     best = best_per_road(sliding, mode)
     order = [F.desc("crash_score"), F.desc("length"), F.asc_nulls_last("road_name"), F.asc("functional_class")]
     top = top_per_group(best, ["study_id"], order, n, ["road_name", "functional_class"])
+    if edges is not None:
+        keys = [*ROAD, "window_no"]
+        top = top.join(range_lines(top, edges, keys), keys, "left")
     return top.withColumn("road_name", pg_initcap(F.col("road_name")))
 
 

@@ -9,13 +9,21 @@ from .. import domain as d
 from ..functions.text import pg_initcap
 from ..operators.estimates import int_costs
 from ..operators.filters import flag_modes
-from ..operators.lrs import ROAD, cut_at_steps
+from ..operators.lrs import ROAD, cut_at_steps, window_lines
 from ..operators.network import merge_lines
 
 
-def swa_view(short: DataFrame) -> DataFrame:
-    """Short windows with any score above zero, flags per mode, names capitalised."""
-    return flag_modes(short, "crash_score").withColumn("road_name", pg_initcap(F.col("road_name")))
+def with_lines(view: DataFrame, edges: DataFrame, step) -> DataFrame:
+    """Adds the line (``geom``) of each short window of ``view``; only its windows are kept of the cut edges."""
+    keys = [*ROAD, "segment_sequence"]
+    pieces = cut_at_steps(edges, step).join(view.select(*keys), keys, "left_semi")
+    return view.join(window_lines(pieces, keys), keys, "left")
+
+
+def swa_view(short: DataFrame, edges: DataFrame | None = None, step=None) -> DataFrame:
+    """Short windows with any score above zero, flags per mode, names capitalised; their lines if ``edges`` are given."""
+    shown = flag_modes(short, "crash_score").withColumn("road_name", pg_initcap(F.col("road_name")))
+    return shown if edges is None else with_lines(shown, edges, step)
 
 
 def merge_equal_scores(edges: DataFrame, short: DataFrame, step: float, node_crossings: bool = False) -> DataFrame:
@@ -31,7 +39,10 @@ def merge_equal_scores(edges: DataFrame, short: DataFrame, step: float, node_cro
     return flag_modes(merged, "crash_score").withColumn("road_name", pg_initcap(F.col("road_name")))
 
 
-def cost_view(posterior: DataFrame, min_cost: float = d.CRASH_COSTS["O"]) -> DataFrame:
-    """Segments whose cost exceeds the threshold for any mode; whole-number costs."""
+def cost_view(
+    posterior: DataFrame, min_cost: float = d.CRASH_COSTS["O"], edges: DataFrame | None = None, step=None
+) -> DataFrame:
+    """Segments whose cost exceeds the threshold for any mode; whole-number costs; their lines if ``edges`` are given."""
     flagged = flag_modes(posterior, "cost", min_cost, prefix="total_")
-    return int_costs(flagged).withColumn("road_name", pg_initcap(F.col("road_name")))
+    shown = int_costs(flagged).withColumn("road_name", pg_initcap(F.col("road_name")))
+    return shown if edges is None else with_lines(shown, edges, step)

@@ -202,3 +202,37 @@ def test_lrs_overlap_matches_all_pairs(spark):
         if a[1] == b[1] and min(a[4], b[4]) > max(a[3], b[3])
     }
     assert have == want and got.count() == len(want)
+
+
+def test_range_lines_on_a_bent_road(spark):
+    """Stretches of a slanted, bent line keep their length and pass through its corners."""
+    corners = [(0.0, 0.0), (300.0, 400.0), (300.0, 1400.0), (1500.0, 500.0)]
+    rows, m = [], 0.0
+    for (x0, y0), (x1, y1) in zip(corners, corners[1:]):
+        n = ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+        rows.append((1, "k", m, m + n, x0, y0, x1, y1))
+        m += n
+    edges = spark.createDataFrame(rows, "study_id int, dissolved_pkey string, m0 double, m1 double, x0 double, y0 double, x1 double, y1 double")
+    wanted = [(1, "k", i, a, b) for i, (a, b) in enumerate([(0.0, m), (100.0, 700.0), (500.0, 1500.0), (999.0, 2001.0), (2900.0, m)])]
+    ranges = spark.createDataFrame(wanted, "study_id int, dissolved_pkey string, n int, start_distance_m double, end_distance_m double")
+    got = {r.n: [(p.x, p.y) for p in r.geom] for r in lrs.range_lines(ranges, edges, ["study_id", "dissolved_pkey", "n"]).collect()}
+    assert got[0] == corners
+    assert got[2] == [corners[1], corners[2]]
+    assert got[1][0] == pytest.approx((60, 80)) and got[1][1] == corners[1] and got[1][-1] == pytest.approx((300, 600))
+    for _, _, n, a, b in wanted:
+        size = sum(((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5 for (x0, y0), (x1, y1) in zip(got[n], got[n][1:]))
+        assert size == pytest.approx(b - a)
+
+
+def test_lines_through_one_point_share_a_node(spark, make_lines):
+    """Any number of lines through one interior point are cut there once."""
+    rng = random.Random(3)
+    for lines in (3, 5):
+        x, y = rng.uniform(-50, 50), rng.uniform(-50, 50)
+        rows = []
+        for i in range(lines):
+            a, n = rng.uniform(0, 3.14), rng.uniform(40, 90)
+            dx, dy = n * math.cos(a), n * math.sin(a)
+            rows.append((i, "main", [(x - dx, y - dy), (x + dx * 0.7, y + dy * 0.7)]))
+        got = network.dissolved_lines(network.dissolve_roads(make_lines(rows))).collect()
+        assert len(got) == 2 * lines and min(r.length_meters for r in got) > 1
