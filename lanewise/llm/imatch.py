@@ -44,26 +44,16 @@ def lexicon(docs: DataFrame, text_col: str, low: float = LOW, high: float = HIGH
     return band.select("term", mask.alias("mask"))
 
 
-def _digits(found: Column) -> Column:
-    """Fingerprint of sorted (term, mask) structs."""
-
-    def one(k):
-        own = F.filter(found, lambda t: F.getbit(t["mask"], k) == 1)
-        return F.when(F.size(own) == 0, F.lit(BLANK)).otherwise(
-            F.substring(F.md5(F.array_join(F.transform(own, lambda t: t["term"]), " ").cast("binary")), 1, 4)
-        )
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), "")
+def _digits(terms_: Column) -> Column:
+    """Four digits of the terms of one subset."""
+    whole = F.md5(F.array_join(F.sort_array(terms_), " ").cast("binary"))
+    return F.when(F.size(terms_) == 0, F.lit(BLANK)).otherwise(F.substring(whole, 1, 4))
 
 
 def _labelled(which: int):
     return lambda term: F.struct(F.lit(which).alias("which"), term.alias("term"))
 
 
-def _is(which: int):
-    return lambda found: found["which"] == which
-
-
 def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], lexicon_: DataFrame, keep: list[str]) -> DataFrame:
     """Fingerprints of several text columns of rows that ``keys`` identify.
 
@@ -77,27 +67,25 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], lexico
         *[F.md5(F.coalesce(c, F.lit("")).cast("binary")).alias(f"_md5_{i}") for i, c in enumerate(texts)],
         F.concat(
             F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("string").alias("term"))),
-            *[
-                F.transform(terms(F.col(c)), _labelled(i))
-                for i, c in enumerate(texts)
-            ],
+            *[F.transform(terms(F.col(c)), _labelled(i)) for i, c in enumerate(texts)],
         ).alias("_all"),
     )
     others = [*keep, *[f"_md5_{i}" for i in range(len(texts))]]
     spread = marked.select(*keys, *others, F.explode("_all").alias("e")).select(*keys, *others, "e.*")
     met = spread.join(F.broadcast(lexicon_), "term", "left").filter("which < 0 or mask is not null")
-    # the other columns ride on the one marker row of each group
-    grouped = met.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("which") < 0, F.col(c))).alias(c) for c in others],
-        F.array_sort(F.collect_list(F.when(F.col("which") >= 0, F.struct("which", "term", "mask")))).alias("_found"),
+    # one group per text; the other columns ride on a marker row of their own
+    lists = [F.collect_list(F.when(F.getbit("mask", F.lit(k)) == 1, F.col("term"))).alias(f"_s{k}") for k in range(SUBSETS)]
+    carried = [F.max(F.when(F.col("which") < 0, F.col(c))).alias(c) for c in others]
+    by_text = met.groupBy(*keys, "which").agg(*carried, *lists)
+    print_ = F.concat(*[_digits(F.col(f"_s{k}")) for k in range(SUBSETS)])
+    prints = by_text.select(*keys, "which", *others, print_.alias("_print"))
+    whole = prints.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in others],
+        *[F.max(F.when(F.col("which") == i, F.col("_print"))).alias(name) for i, name in enumerate(texts.values())],
+    )
+    return whole.select(
+        *keys, *keep, *[F.coalesce(name, f"_md5_{i}").alias(name) for i, name in enumerate(texts.values())]
     )
-    out = grouped
-    for i, name in enumerate(texts.values()):
-        own = F.filter("_found", _is(i))
-        out = out.withColumn(f"_own_{i}", own).withColumn(
-            name, F.when(F.size(f"_own_{i}") == 0, F.col(f"_md5_{i}")).otherwise(_digits(F.col(f"_own_{i}")))
-        )
-    return out.select(*keys, *keep, *texts.values())
 
 
 def likeness(a: Column, b: Column) -> Column:
