@@ -20,6 +20,7 @@ import heapq
 import math
 import re
 import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,9 +34,11 @@ from .words import slices
 BLANK = "▁"
 SAMPLES = 2
 SHARPNESS = 1.0
-EARLY = 96
+EARLY = 256
+LEAST = 1e-15  # a sibling subtree of less mass counts as empty
 SLICE = 4 << 20
 CACHE_UNITS = 250_000
+BUILD_UNITS = 50_000
 # -log of the smallest exponential variable that a 53-bit uniform number can give
 REACH = 38.0
 
@@ -64,10 +67,30 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.pieces[piece.replace(BLANK, " ")] = i
                 self.bytes[i] = piece.replace(BLANK, " ").encode()
-        self.longest = max(map(len, self.pieces))
         order = sorted(self.pieces.values(), key=lambda i: (-model.get_score(i), i))
         self.weights = dict(zip(order, (-sharpness * math.log(r + 10) for r in range(len(order)))))
         self.byte_weight = -sharpness * math.log(len(order) + 10)
+        # by length: sorted hashes of all beginnings of pieces, and the piece that each one is (or -1)
+        known: list[dict[int, int]] = [{} for _ in range(max(map(len, self.pieces)) + 1)]
+        for piece, number in self.pieces.items():
+            h = 0
+            for n, c in enumerate(piece, 1):
+                h = _joined(h, ord(c))
+                known[n][h] = number if n == len(piece) else known[n].get(h, -1)
+        self.begins = []
+        for k in known[1:]:
+            keys = np.array(sorted(k), np.uint64)
+            self.begins.append((keys, np.array([k[h] for h in keys.tolist()], np.int64)))
+        self.weight_of = np.zeros(len(model))
+        self.weight_of[list(self.weights)] = list(self.weights.values())
+
+
+def _joined(h, c):
+    """Hash of a string from that of the string without its last character."""
+    if isinstance(h, int):
+        return (h * 0x9E3779B97F4A7C15 + c + 1) % (1 << 64)
+    with np.errstate(over="ignore"):
+        return h * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1)
 
 
 class Lattices:
@@ -83,70 +106,94 @@ class Lattices:
 
     def clear(self):
         self.first: dict[str, int] = {}
-        self.lists = ([], [], [], [], [])
         # edge bounds of the states; cumulative and own probability, next state and emission bounds of edges; piece ids
-        self.arrays = (np.zeros(1, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+        self.arrays = (np.zeros(1, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(1, np.int32), np.zeros(0, np.int32))
 
     def starts(self, units: list[str]) -> np.ndarray:
         """First state of each unit."""
         if len(self.first) > CACHE_UNITS:
             self.clear()
-        new = set(units) - self.first.keys()
-        if new:
-            for unit in new:
-                self._build(unit)
-            self._extend()
+        new = list(set(units) - self.first.keys())
+        for at in range(0, len(new), BUILD_UNITS):
+            self._add(new[at : at + BUILD_UNITS])
         return np.fromiter(map(self.first.__getitem__, units), np.int64, len(units))
 
-    def _build(self, unit: str):
+    def _add(self, units: list[str]):
+        """Build the lattices of new units, all characters at a time."""
         voc = self.vocabulary
-        states, probs, nexts, sizes, ids = self.lists
-        base = len(states) + len(self.arrays[0]) - 1
-        n = len(unit)
-        mass = [0.0] * (n + 1)
-        out: list[list] = [[] for _ in range(n)]
-        for i in range(n - 1, -1, -1):
-            edges = []
-            for j in range(i + 1, min(n, i + voc.longest) + 1):
-                piece = voc.pieces.get(unit[i:j])
-                if piece is not None:
-                    edges.append((voc.weights[piece] + mass[j], j, (piece,)))
-            if unit[i] not in voc.pieces:
-                raw = unit[i].encode("utf-8", "surrogatepass")
-                edges.append((voc.byte_weight * len(raw) + mass[i + 1], i + 1, tuple(voc.byte_ids[b] for b in raw)))
-            top = max(e[0] for e in edges)
-            mass[i] = top + math.log(sum(math.exp(e[0] - top) for e in edges))
-            out[i] = edges
-        for i, edges in enumerate(out):
-            states.append(len(edges))
-            for weight, j, pieces in edges:
-                probs.append(math.exp(weight - mass[i]))
-                nexts.append(base + j if j < n else -1)
-                sizes.append(len(pieces))
-                ids.extend(pieces)
-        self.first[unit] = base
-
-    def _extend(self):
-        """Append the new states to the arrays."""
-        degrees, probs, nexts, sizes, ids = (np.array(x, t) for x, t in zip(self.lists, (np.int64, np.float64, np.int64, np.int64, np.int32)))
-        for x in self.lists:
-            x.clear()
-        old = self.arrays
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        rest = np.repeat(ends, sizes) - np.arange(len(points))  # characters from each place to its unit's end
+        froms, steps, pieces = [], [], []
+        alive, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        for n, (keys, number) in enumerate(voc.begins, 1):
+            use = rest[alive] >= n
+            alive, h = alive[use], h[use]
+            if not len(alive):
+                break
+            h = _joined(h, points[alive + n - 1])
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            use = keys[at] == h
+            alive, h, at = alive[use], h[use], at[use]
+            whole = number[at] >= 0
+            froms.append(alive[whole])
+            steps.append(np.full(int(whole.sum()), n))
+            pieces.append(number[at[whole]])
+        lone = np.ones(len(points), bool)
+        if froms:
+            lone[froms[0]] = False
+        lone = np.flatnonzero(lone)  # characters that are no piece
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[lone].tolist()]
+        froms.append(lone)
+        steps.append(np.ones(len(lone), np.int64))
+        pieces.append(-1 - np.arange(len(lone)))
+        start, step, piece = (np.concatenate(x) for x in (froms, steps, pieces))
+        order = np.argsort(start, kind="stable")
+        start, step, piece = start[order], step[order], piece[order]
+        is_byte = piece < 0
+        count = np.ones(len(piece), np.int64)
+        count[is_byte] = [len(raw[-1 - k]) for k in piece[is_byte].tolist()]
+        weight = np.where(is_byte, voc.byte_weight * count, voc.weight_of[piece])
+        ids = np.repeat(piece, count)
+        ids[np.repeat(is_byte, count)] = [voc.byte_ids[b] for k in piece[is_byte].tolist() for b in raw[-1 - k]]
+        after = np.where(step == rest[start], -1, start + step)
+
+        # log-mass of all ways on from each place, by its distance to the end; the last slot is the end
+        degrees = np.bincount(start, minlength=len(points))
+        first = np.cumsum(degrees) - degrees
+        mass, share = np.zeros(len(points) + 1), np.zeros(len(start))
+        by_rest = np.argsort(rest, kind="stable")
+        for places in np.split(by_rest, np.flatnonzero(np.diff(rest[by_rest])) + 1):
+            d = degrees[places]
+            edges = _stretches(first[places], d)
+            cuts = np.cumsum(d) - d
+            value = weight[edges] + mass[after[edges]]
+            top = np.maximum.reduceat(value, cuts)
+            mass[places] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, d)), cuts))
+            share[edges] = np.exp(value - np.repeat(mass[places], d))
         bounds = np.cumsum(degrees)
-        sums = np.cumsum(probs)
-        before = np.concatenate([[0.0], sums])[bounds - degrees]
-        cum = sums - np.repeat(before, degrees)
+        sums = np.cumsum(share)
+        cum = sums - np.repeat(sums[first] - share[first], degrees)
         cum[bounds - 1] = 2.0  # the last edge takes what rounding leaves
+        old = self.arrays
+        base = len(old[0]) - 1
+        self.first.update(zip(units, (base + ends - sizes).tolist()))
         self.arrays = (
             np.concatenate([old[0], old[0][-1] + bounds]),
             np.concatenate([old[1], cum]),
-            np.concatenate([old[2], probs]),
-            np.concatenate([old[3], nexts]),
-            np.concatenate([old[4], old[4][-1] + np.cumsum(sizes)]),
-            np.concatenate([old[5], ids]),
+            np.concatenate([old[2], share]),
+            np.concatenate([old[3], np.where(after < 0, -1, base + after).astype(np.int32)]),
+            np.concatenate([old[4], (old[4][-1] + np.cumsum(count)).astype(np.int32)]),
+            np.concatenate([old[5], ids.astype(np.int32)]),
         )
 
 
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of the stretches that start and size give, in turn."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 @lru_cache(maxsize=2)
 def lattices(path: str, sharpness: float) -> Lattices:
     return Lattices(path, sharpness)
@@ -177,7 +224,7 @@ def _walk(held: Lattices, state: np.ndarray, seed: np.ndarray, word: np.ndarray)
             late = late[u[late] >= cum[edge[late]]]
         owners.append(alive)
         taken.append(edge)
-        state = nexts[edge]
+        state = nexts[edge].astype(np.int64)
         going = state >= 0
         alive, state = alive[going], state[going]
         step += 1
@@ -188,115 +235,149 @@ def _walk(held: Lattices, state: np.ndarray, seed: np.ndarray, word: np.ndarray)
     return np.concatenate(taken)[order], np.bincount(owner, minlength=len(seed))
 
 
+def _uniform_one(seed: int, step: int) -> float:
+    """:func:`_uniform` of one place, word 0."""
+    x = (seed + step * 0xD1B54A32D192ED03) % (1 << 64)
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+    x ^= x >> 31
+    return ((x >> 11) + 0.5) * 2.0**-53
+
+
+def _truncated(bound, location, u):
+    """Gumbel variables at ``location``, given that they are below ``bound``."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return -np.logaddexp(-bound, np.log(-np.log(u)) - location)
+
+
+@dataclass
 class _Path:
-    """Edges of a segmentation, and the subtrees that branch off it.
+    """A segmentation: its edges, the unit that each lies in, its log-probability and perturbed value."""
 
-    ``prefix``: log-probability before each of its edges. ``off``: bound of the subtree of siblings at each early
-    edge, with the set of edges no longer in it.
-    """
+    edges: np.ndarray
+    words: np.ndarray
+    log_prob: float
+    bound: float
 
-    __slots__ = ("edges", "words", "states", "bound", "log_prob", "taken")
 
+@dataclass
+class _Node:
+    """The subtree to walk next: it leaves ``parent`` at its edge number ``place`` by another ``edge``."""
 
-def _truncated(bound: float, location, u):
-    """Gumbel variables at ``location``, given that they are below ``bound``."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(-bound, np.log(-np.log(u)) - location)
+    bound: float
+    parent: _Path | None = None
+    place: int = -1
+    edge: int = -1
+    before: float = 0.0  # log-probability up to and with that edge
 
 
 class _Search:
-    """A* over one document's segmentations; :func:`sample_batch` walks the paths it asks for."""
+    """A* over one document's segmentations; :func:`sample_batch` walks the paths it asks for.
+
+    The queue holds bounds of sibling subtrees: (-bound, path, edge number, log-probability before it, edges taken).
+    """
 
-    def __init__(self, held: Lattices, key: int, starts: np.ndarray, k: int):
-        self.held, self.key, self.starts, self.k = held, key, starts, k
+    def __init__(self, held: Lattices, key: int, starts: np.ndarray):
+        self.held, self.key, self.starts = held, key, starts
         self.queue: list = []
         self.paths: list[_Path] = []
-        u = float(_uniform(np.array([key], np.uint64), np.zeros(1, np.uint64), 1 << 40)[0])
-        self.next = (-math.log(-math.log(u)), None, 0, 0.0, None)
+        self.next: _Node | None = _Node(-math.log(-math.log(_uniform_one(key, 1 << 40))))
 
-    def seed(self, what: int) -> np.uint64:
-        return np.uint64(xxhash.xxh64_intdigest(what.to_bytes(8, "little"), self.key & 0xFFFFFFFFFFFFFFFF))
+    def seed(self, what: int) -> int:
+        return xxhash.xxh64_intdigest(what.to_bytes(8, "little"), self.key)
 
-    def ask(self):
-        """Start of the next path to walk: (state within a unit or -1, first whole unit)."""
-        bound, parent, place, _, edge = self.next
-        if parent is None:
+    def ask(self) -> tuple[int, int]:
+        """Start of the next path to walk: state within a unit (or -1), first whole unit."""
+        node = self.next
+        if node.parent is None:
             return -1, 0
-        return int(self.held.arrays[3][edge]), int(parent.words[place]) + 1
-
-    def take(self, edges: np.ndarray, words: np.ndarray):
-        """The walked edges (after the branching one) and the unit that each lies in."""
-        bounds, _, probs, _, _, _ = self.held.arrays
-        bound, parent, place, _, edge = self.next
-        path = _Path()
-        fixed = 0
-        if parent is not None:
-            fixed = place + 1
-            edges = np.concatenate([parent.edges[:place], [edge], edges])
-            words = np.concatenate([parent.words[: place + 1], words])
-        path.edges, path.words, path.bound = edges, words, bound
-        logs = np.log(probs[edges])
-        ends = np.cumsum(logs)
-        path.log_prob = float(ends[-1]) if len(ends) else 0.0
-        number = len(self.paths)
-        self.paths.append(path)
-        rest = slice(fixed, len(edges))
-        where = np.arange(fixed, len(edges))
-        if len(where):
-            prefix = ends[rest] - logs[rest]
-            self._push(number, path, where, prefix)
-        self._pop()
-
-    def _push(self, number: int, path: _Path, where: np.ndarray, prefix: np.ndarray):
-        """Bounds of the sibling subtrees of each edge; those that can't be reached are left out.
-
-        Prefixes only fall, and no bound exceeds its location by more than ``REACH``; so once a
-        location is that far below the best bounds wanted, later edges can't matter.
-        """
-        probs = self.held.arrays[2]
-        seed = np.full(len(where), self.seed(number + 1))
-        done = 0
-        best: list[float] = []
-        while done < len(where):
-            part = slice(done, done + (EARLY if not done else 16 * EARLY))
-            left = 1.0 - probs[path.edges[where[part]]]
-            use = np.flatnonzero(left > 1e-15)
+        return int(self.held.arrays[3][node.edge]), int(node.parent.words[node.place]) + 1
+
+    def take(self, edges: np.ndarray, words: np.ndarray, log_sum: float):
+        """Add the path of the walked edges after the node's own."""
+        node = self.next
+        if node.parent is not None:
+            edges = np.concatenate([node.parent.edges[: node.place], [node.edge], edges])
+            words = np.concatenate([node.parent.words[: node.place + 1], words])
+        self.paths.append(_Path(edges, words, node.before + log_sum, node.bound))
+
+    def push(self, value: float, place: int, before: float):
+        """Queue the siblings of edge number ``place`` of the newest path."""
+        number = len(self.paths) - 1
+        heapq.heappush(self.queue, (-value, number, place, before, (int(self.paths[number].edges[place]),)))
+
+    def push_rest(self, fixed: int, done: int, before: float, k: int, best: list[float]):
+        """Queue what the early edges left open; see :func:`_push_early`."""
+        path, probs = self.paths[-1], self.held.arrays[2]
+        seed = np.uint64(self.seed(len(self.paths)))
+        at = fixed + done
+        while at < len(path.edges) and not (len(best) > k and before + REACH < best[k]):
+            p = probs[path.edges[at : at + 16 * EARLY]]
+            logs = np.log(p)
+            prefix = before + np.cumsum(logs) - logs
+            use = np.flatnonzero(1.0 - p > LEAST)
             if len(use):
-                at = where[part][use]
-                u = _uniform(seed[part][use], at.astype(np.uint64), 1 << 41)
-                values = _truncated(path.bound, prefix[part][use] + np.log(left[use]), u)
-                for i in np.argsort(-values)[: self.k + 1].tolist():
-                    heapq.heappush(self.queue, (-float(values[i]), number, int(at[i]), float(prefix[part][use[i]]), (int(path.edges[at[i]]),)))
-                best = sorted([*best, *values.tolist()], reverse=True)[: self.k + 1]
-            done = part.stop
-            if done < len(where) and len(best) > self.k and prefix[min(done, len(where) - 1)] + REACH < best[-1]:
-                break
-
-    def _pop(self):
+                u = _uniform(np.full(len(use), seed), (at + use).astype(np.uint64), 1 << 41)
+                values = _truncated(path.bound, prefix[use] + np.log(1.0 - p[use]), u)
+                for i in np.argsort(-values)[: k + 1].tolist():
+                    self.push(float(values[i]), at + int(use[i]), float(prefix[use[i]]))
+                best = sorted([*best, *values.tolist()], reverse=True)[: k + 1]
+            before += float(logs.sum())
+            at += len(p)
+
+    def pop(self):
         """Choose the best subtree of siblings and the child that holds its maximum."""
         self.next = None
         if not self.queue:
             return
-        value, number, place, prefix, used = heapq.heappop(self.queue)
-        bound, path = -value, self.paths[number]
-        first, last = self._siblings(path.edges[place])
-        probs = self.held.arrays[2]
-        rest = [e for e in range(first, last) if e not in used]
-        weights = probs[rest]
+        value, number, place, before, used = heapq.heappop(self.queue)
+        path = self.paths[number]
+        bounds, _, probs, _, _, _ = self.held.arrays
+        state = int(np.searchsorted(bounds, path.edges[place], "right")) - 1
+        rest = [e for e in range(int(bounds[state]), int(bounds[state + 1])) if e not in used]
+        weights = [float(probs[e]) for e in rest]
+        total = sum(weights)
         stamp = self.seed((number + 1 << 32) + (place << 8) + len(used) + (1 << 60))
-        u = float(_uniform(np.array([stamp]), np.zeros(1, np.uint64), 1)[0]) * weights.sum()
-        edge = rest[min(int(np.searchsorted(np.cumsum(weights), u, "right")), len(rest) - 1)]
-        left = float(weights.sum() - probs[edge])
-        if len(rest) > 1 and left > 1e-15:
-            u = _uniform(np.array([stamp]), np.zeros(1, np.uint64), 2)
-            lower = float(_truncated(bound, prefix + math.log(left), u)[0])
-            heapq.heappush(self.queue, (-lower, number, place, prefix, (*used, edge)))
-        self.next = (bound, path, place, prefix, edge)
-
-    def _siblings(self, edge: int) -> tuple[int, int]:
-        bounds = self.held.arrays[0]
-        state = int(np.searchsorted(bounds, edge, "right")) - 1
-        return int(bounds[state]), int(bounds[state + 1])
+        u, at = _uniform_one(stamp, 1) * total, 0
+        while at < len(rest) - 1 and u >= weights[at]:
+            u -= weights[at]
+            at += 1
+        left = total - weights[at]
+        if len(rest) > 1 and left > LEAST:
+            lower = float(_truncated(-value, before + math.log(left), _uniform_one(stamp, 2)))
+            heapq.heappush(self.queue, (-lower, number, place, before, (*used, rest[at])))
+        self.next = _Node(-value, path, place, rest[at], before + math.log(weights[at]))
+
+
+def _push_early(searches: list[_Search], fixed: list[int], edges: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: np.ndarray, k: int):
+    """Queue the siblings of the first ``EARLY`` walked edges of the newest paths, all documents at a time.
+
+    The best k + 1 of them are enough, as no more are ever taken. Prefixes only fall, and no bound exceeds its
+    location by more than ``REACH``; so later edges matter only if they come within that of the last bound kept.
+    """
+    probs = searches[0].held.arrays[2]
+    column = np.arange(EARLY)
+    inside = column < sizes[:, None]
+    p = np.where(inside, probs[edges[np.minimum(starts[:, None] + column, len(edges) - 1)]], 1.0)
+    logs = np.log(p)
+    ends = np.cumsum(logs, axis=1)
+    prefix = before[:, None] + ends - logs
+    place = np.array(fixed)[:, None] + column
+    seeds = np.array([s.seed(len(s.paths)) for s in searches], np.uint64)[:, None]
+    u = _uniform(np.broadcast_to(seeds, place.shape), place, 1 << 41)
+    left = 1.0 - p
+    with np.errstate(divide="ignore"):
+        values = _truncated(np.array([s.paths[-1].bound for s in searches])[:, None], prefix + np.log(left), u)
+    values = np.where(left > LEAST, values, -np.inf)
+    order = np.argsort(-values, axis=1, kind="stable")[:, : k + 1]
+    best = np.take_along_axis(values, order, axis=1)
+    whole = before + ends[:, -1]
+    for s, at, columns, found, n, after, row in zip(searches, fixed, order.tolist(), best.tolist(), sizes.tolist(), whole.tolist(), prefix):
+        kept = [v for v in found if v > -math.inf]
+        for c, v in zip(columns, kept):
+            s.push(v, at + c, float(row[c]))
+        if n > EARLY:
+            s.push_rest(at, EARLY, after, k, kept)
 
 
 def sample_batch(held: Lattices, keys: list[int], texts: list[str], k: int):
@@ -307,40 +388,45 @@ def sample_batch(held: Lattices, keys: list[int], texts: list[str], k: int):
     """
     cuts = [_UNIT.findall(" " + t) if t else [] for t in texts]
     starts = np.split(held.starts([u for c in cuts for u in c]), np.cumsum([len(c) for c in cuts])[:-1])
-    searches = [_Search(held, key, s, k) for key, s in zip(keys, starts)]
+    searches = [_Search(held, key, s) for key, s in zip(keys, starts)]
+    _, _, probs, _, emitted, ids = held.arrays
     for number in range(k):
-        states, seeds, words, owners, firsts = [], [], [], [], []
-        for i, s in enumerate(searches):
-            if s.next is None:
-                continue
+        open_ = [s for s in searches if s.next is not None]
+        if not open_:
+            break
+        states, seeds, words, counts_of = [], [], [], []
+        for s in open_:
             inside, unit = s.ask()
-            whole = s.starts[unit:]
-            own = np.concatenate([[inside], whole]) if inside >= 0 else whole
+            own = np.concatenate([[inside], s.starts[unit:]]) if inside >= 0 else s.starts[unit:]
             first = unit - 1 if inside >= 0 else unit
             states.append(own)
             words.append(np.arange(first, first + len(own)))
-            seeds.append(np.full(len(own), s.seed(number + (1 << 50))))
-            owners.append(i)
-            firsts.append(len(own))
-        if not owners:
-            break
+            seeds.append(s.seed(number + (1 << 50)))
+            counts_of.append(len(own))
+        many = np.array(counts_of)
         word = np.concatenate(words)
-        edges, counts = _walk(held, np.concatenate(states).astype(np.int64), np.concatenate(seeds), word)
+        edges, counts = _walk(held, np.concatenate(states).astype(np.int64), np.repeat(np.array(seeds, np.uint64), many), word)
         unit = np.repeat(word, counts)
-        per = np.add.reduceat(np.append(counts, 0), np.cumsum(firsts) - firsts) * (np.array(firsts) > 0)
-        at = np.cumsum(per)
-        for i, lo, hi in zip(owners, (at - per).tolist(), at.tolist()):
-            searches[i].take(edges[lo:hi], unit[lo:hi])
-    _, _, _, _, emitted, ids = held.arrays
+        sizes = np.add.reduceat(np.append(counts, 0), np.cumsum(many) - many) * (many > 0)
+        ends = np.cumsum(sizes)
+        logs = np.append(np.log(probs[edges]), 0.0)
+        sums = np.where(sizes > 0, np.add.reduceat(logs, ends - sizes), 0.0)
+        before = np.array([s.next.before for s in open_])
+        fixed = [s.next.place + 1 for s in open_]
+        for s, lo, hi, total in zip(open_, (ends - sizes).tolist(), ends.tolist(), sums.tolist()):
+            s.take(edges[lo:hi], unit[lo:hi], total)
+        if len(edges):
+            _push_early(open_, fixed, edges, ends - sizes, sizes, before, k)
+        if number < k - 1:
+            for s in open_:
+                s.pop()
     out = []
     for s in searches:
-        level = s.next[0] if s.next is not None else -math.inf
+        level = -s.queue[0][0] if s.queue else -math.inf
         rows = []
         for p in s.paths:
-            size = emitted[p.edges + 1] - emitted[p.edges]
-            ends = np.cumsum(size)
-            at = np.arange(int(size.sum())) + np.repeat(emitted[p.edges] - ends + size, size)
-            rows.append((ids[at], p.log_prob, p.bound, _log_inclusion(p.log_prob - level)))
+            size = (emitted[p.edges + 1] - emitted[p.edges]).astype(np.int64)
+            rows.append((ids[_stretches(emitted[p.edges], size)], p.log_prob, p.bound, _log_inclusion(p.log_prob - level)))
         out.append(rows)
     return out
 
@@ -399,7 +485,7 @@ def decode_flat(voc: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[by
     store = np.frombuffer(b"".join(voc.bytes), np.uint8)
     size = sizes[ids]
     ends = np.cumsum(size)
-    raw = store[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[ids] - ends + size, size)].tobytes()
+    raw = store[_stretches(starts[ids], size)].tobytes()
     cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
     return [raw[a + 1 : b] if raw[a : a + 1] == b" " else raw[a:b] for a, b in zip(cuts, cuts[1:])]
 

@@ -394,6 +394,9 @@ def one_of_each_group(docs: DataFrame, id_col: str, text_col: str, leaf: int = G
     roots = merge_stars(trie_links(classes.select("node", "word", "more"), WORD_BITS, leaf, SHINGLE_BITS))
     grouped = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.hash")
-    held = docs.withColumn("_text_hash", F.xxhash64(text_col)).alias("d")
-    met = held.join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (F.col("d._text_hash") == F.col("k.hash")))
-    return met.select("d.*").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    mark = "_text_hash"
+    while mark in docs.columns:
+        mark += "_"
+    held = docs.withColumn(mark, F.xxhash64(text_col)).alias("d")
+    met = held.join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (F.col(f"d.{mark}") == F.col("k.hash")))
+    return met.select("d.*").dropDuplicates([id_col, mark]).drop(mark)

@@ -107,13 +107,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     """Train on ``sample`` labelled rows at most, chosen by a hash of their id, over their whole texts.
 
     Rows of ``labels`` with a null id or label are ignored; of several labels of an id the larger one
-    counts. Without labelled rows every class of nothing is left: the scores are then 0.5.
+    counts. Without labelled rows the scores are 0.5.
     """
     seen = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     # only rows that have a document count against the bound
     known = seen.join(docs.select(id_col).distinct(), id_col, "left_semi")
     chosen = known.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), id_col).limit(sample)
-    rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), "_label")
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), "_label")
 
     def bags(batches):
         for batch in slices(batches, 1):
