@@ -13,11 +13,14 @@ summed on the driver; nothing else passes it.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,35 +37,38 @@ CHECKSUMS = 0x80
 
 FRAME_TOKENS = 1 << 16
 LEVEL = 1
-CACHE_WORDS = 400_000
+CACHE_PIECES = 400_000
 
 _caches: dict[str, WordCache] = {}
 
 
 class WordCache:
-    """Token ids of the words met so far in this worker.
+    """Token ids of the pieces of words met so far in this worker.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in turn. The cache starts anew once it holds ``CACHE_WORDS`` words.
+    words in turn. For the tokenizers whose rules are known (:func:`known_split`) a plain Latin word is cut into the pieces that the
+    library's own pre-tokenizer would make, and the library's model encodes each distinct piece once; all other words go
+    through the library whole. The cache starts anew once it holds ``CACHE_PIECES`` pieces.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.split = known_split(json.loads(self.tokenizer.to_str()))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self):
-        self.place: dict[str, int] = {}
+        # a line end separates words and has no ids
+        self.place: dict[str, int] = {"\n": 0}
         self.flat, self.starts, self.sizes = (np.zeros(1 << 16, t) for t in (np.uint32, np.int64, np.int64))
         self.used = 0
 
-    def places(self, words: list[str]) -> np.ndarray:
-        if len(self.place) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self.place]
+    def _places(self, pieces: list[str], encode) -> np.ndarray:
+        new = list(set(pieces) - self.place.keys())
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ids = encode(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             total, at = int(sizes.sum()), len(self.place)
             self.flat = _grown(self.flat, self.used + total)
@@ -72,23 +78,94 @@ class WordCache:
             self.sizes[at : at + len(new)] = sizes
             self.used += total
             self.place.update(zip(new, range(at, at + len(new))))
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+
+    def _model(self, pieces: list[str]) -> list[list[int]]:
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTE_LEVEL))] for p in pieces]
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] for w in words], add_special_tokens=False)]
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of distinct words: all in one array, and each word's start and size in it."""
+        if len(self.place) > CACHE_PIECES:
+            self.clear()
+        plain = np.zeros(len(words), bool)
+        if self.split is not None and len(words):
+            plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+            for token in self.special:
+                plain = plain & ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        places = []
+        if plain.any():
+            own = words.filter(pa.array(plain))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "\n")[0].as_py()
+            at = self._places(self.split.findall(joined.lower() + "\n"), self._model)
+            ends = np.cumsum(self.sizes[at])[at == 0]
+            sizes[plain] = np.diff(ends, prepend=0)
+            places.append(at)
+        if not plain.all():
+            at = self._places(["\n" + w for w in words.filter(pa.array(~plain)).to_pylist()], self._whole)
+            sizes[~plain] = self.sizes[at]
+            places.append(at)
+        at = np.concatenate([np.zeros(0, np.int64), *places])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return self.flat[_spread(self.starts[at], self.sizes[at])], starts, sizes
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts in turn, ``end`` after each, and the ids per text."""
         words, codes, counts = words_of(text, lower=False)
-        places = self.places(words.to_pylist())
-        starts, sizes = np.append(self.starts[places], -1), np.append(self.sizes[places], 1)
-        codes, counts = with_ends(codes, counts, len(places))
-        size = sizes[codes]
-        ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[codes] - ends + size, size)
-        ids = self.flat[np.maximum(at, 0)]
-        ids[ends[codes == len(places)] - 1] = end
-        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        flat, starts, sizes = self.word_ids(words)
+        flat, starts, sizes = np.append(flat, np.uint32(end)), np.append(starts, len(flat)), np.append(sizes, 1)
+        codes, counts = with_ends(codes, counts, len(words))
+        ids = flat[_spread(starts[codes], sizes[codes])]
+        before = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(before)
 
 
+# Words of printable ASCII without the apostrophe, and of precomposed Latin letters and signs: no normal
+# form changes them, and each letter has one lower-case letter.
+PLAIN = r"^[\x21-\x26\x28-\x7E\x{A1}-\x{AC}\x{AE}-\x{12F}\x{131}-\x{24F}]+$"
+
+
+def known_split(spec: dict):
+    """Pattern of the pieces of plain words, or None for a tokenizer of other rules.
+
+    Known are: normal form C, white space to blanks, lower case; then runs of letters, single digits and runs of other
+    signs (contractions need an apostrophe); then byte-level signs.
+    """
+    normal = spec.get("normalizer") or {}
+    cut = spec.get("pre_tokenizer") or {}
+    steps = [(n.get("type"), n.get("pattern")) for n in normal.get("normalizers", [])]
+    parts = cut.get("pretokenizers", [])
+    if steps != [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)] or [p.get("type") for p in parts] != ["Split", "ByteLevel"]:
+        return None
+    kinds = parts[0].get("pattern", {}).get("Regex", "").split("|")
+    if [k for k in kinds if not k.startswith("'")] != ["[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"]:
+        return None
+    if not parts[0].get("invert") or parts[0].get("behavior") != "Removed" or parts[1].get("add_prefix_space") or parts[1].get("use_regex"):
+        return None
+    return regex.compile(r"\n|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _byte_level() -> dict[int, int]:
+    """Sign of every byte: printable ones stand for themselves, the rest follow from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + n for n, b in enumerate(rest)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of the stretches that start and size give, in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def _grown(a: np.ndarray, need: int) -> np.ndarray:
     return a if need <= len(a) else np.concatenate([a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)])
 

@@ -21,6 +21,8 @@ def ids_of(text):
 def test_words_in_turn_equal_whole_texts(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     texts += [None, "", " ", "a b c", "é ́e", "İstanbul ΣΑΣ Σ", "it's  'twas\tn't", "漢字 かな 한글", "​ x\u0085y", "😀👍🏽 ok"]
+    texts += ["J̌A ǰa A\u030a", "a\xa0b", "ǅ Ǆ ŉ ſt", "don't o'Clock'LL", "1234.5,6", "<|endoftext|> x<|startoftext|>y", "soft\xadhyphen", "²½ ¼x", "ªº µ", "ß.ÿ"]
+    texts += ["".join(map(chr, range(0x21, 0x250))), " ".join(map(chr, range(0x21, 0x250))), "\x00\x01\x1f\x7f\x80 x"]
     ids, counts = WordCache(PATH).encode(pa.array(texts), 2)
     for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
         assert got.tolist() == ids_of(text)
