@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanewise import domain as d
+from lanewise.functions import geometry as g
 from lanewise.functions.geometry import line_length
 from lanewise.functions.text import pg_initcap
 from lanewise.operators import classify, filters, quality, ranking, summary
@@ -751,6 +752,91 @@ def upload_crashes(spark, sf):
     return c.groupBy("crash_severity", "crash_mode").agg(F.count(F.lit(1)).alias("crashes"))
 
 
+@query(
+    "parse_line_features",
+    f"""WITH {BASE} SELECT outcome, count(*) AS features, cast(sum(n) AS bigint) AS vertices, round(sum(x), 4) AS x_sum, count(road_name) AS named FROM (
+      SELECT CASE WHEN road_id % 7 IN (0, 1) THEN 'no geometry' WHEN road_id % 7 = 2 THEN 'geometry type not allowed' ELSE 'kept' END AS outcome,
+        CASE WHEN road_id % 7 = 6 THEN 4 WHEN road_id % 7 > 2 THEN 2 END AS n,
+        CASE WHEN road_id % 7 > 2 THEN x0 END * CASE WHEN road_id % 7 = 6 THEN 2 ELSE 1 END AS x,
+        CASE WHEN road_id % 7 > 0 THEN road_name END AS road_name FROM fx_roads) t GROUP BY 1""",
+)
+def parse_line_features(spark, sf):
+    """One GeoJSON feature per row: broken text, no geometry, points, lines and lines of two parts."""
+    r, kind = fx.derived(spark, sf, "fx_roads"), F.col("road_id") % 7
+    pair = lambda x, y: F.concat(F.lit("["), F.col(x).cast("string"), F.lit(","), F.col(y).cast("string"), F.lit("]"))
+    line = F.concat(F.lit("["), pair("x0", "y0"), F.lit(","), pair("x1", "y1"), F.lit("]"))
+    geometry = (
+        F.when(kind == 1, F.lit("null"))
+        .when(kind == 2, F.concat(F.lit('{"type":"Point","coordinates":'), pair("x0", "y0"), F.lit("}")))
+        .when(kind == 6, F.concat(F.lit('{"type":"MultiLineString","coordinates":['), line, F.lit(","), line, F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"type":"LineString","coordinates":'), line, F.lit("}")))
+    )
+    named = F.to_json(F.struct("road_name"))
+    text = F.concat(F.lit('{"type":"Feature","properties":'), named, F.lit(',"geometry":'), geometry, F.lit("}"))
+    parsed = features.parse_features(
+        r.select(F.when(kind == 0, F.lit("{broken")).otherwise(text).alias("value")), geom_types=["LineString", "MultiLineString"], properties=["road_name"]
+    )
+    kept = features.lines(parsed.rows.withColumn("_id", F.monotonically_increasing_id())).groupBy("_id").agg(
+        F.sum(F.size("geom")).alias("n"), F.sum(F.element_at("geom", 1)["x"]).alias("x"), F.first("road_name").alias("road_name")
+    )
+    good = kept.select(F.lit("kept").alias("outcome"), F.col("n").cast("bigint").alias("n"), "x", "road_name")
+    bad = parsed.rejects.select(
+        F.col("reason").alias("outcome"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x"), "road_name"
+    )
+    return good.unionByName(bad).groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("features"), F.sum("n").alias("vertices"), F.round(F.sum("x"), 4).alias("x_sum"), F.count("road_name").alias("named")
+    )
+
+
+@query(
+    "parse_polygon_features",
+    f"""WITH {BASE} SELECT geoid, cast(CASE WHEN cast(geoid AS int) % 2 = 0 THEN 2 ELSE 1 END AS int) AS parts, round(bx0, 4) AS x_min,
+      round((bx1 - bx0) * (by1 - by0) * CASE WHEN cast(geoid AS int) % 2 = 0 THEN 2 ELSE 1 END, 4) AS area FROM fx_block_groups""",
+)
+def parse_polygon_features(spark, sf):
+    """Polygons and polygons of two parts read from GeoJSON text."""
+    b = fx.block_groups(spark, sf)
+    rings = F.to_json(F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+    even = F.col("geoid").cast("int") % 2 == 0
+    geometry = F.when(
+        even, F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), rings, F.lit(","), rings, F.lit("]}"))
+    ).otherwise(F.concat(F.lit('{"type":"Polygon","coordinates":'), rings, F.lit("}")))
+    text = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("geoid")), F.lit(',"geometry":'), geometry, F.lit("}"))
+    parsed = features.parse_features(b.select(text.alias("value")), geom_types=["Polygon", "MultiPolygon"], properties=["geoid"])
+    box = g.bbox(F.element_at("rings", 1))
+    parts = features.polygons(parsed.rows).select("geoid", box.alias("b"))
+    area = (F.col("b.xmax") - F.col("b.xmin")) * (F.col("b.ymax") - F.col("b.ymin"))
+    return parts.groupBy("geoid").agg(
+        F.count(F.lit(1)).cast("int").alias("parts"), F.round(F.min("b.xmin"), 4).alias("x_min"), F.round(F.sum(area), 4).alias("area")
+    )
+
+
+@query(
+    "parse_lookup",
+    """SELECT p_brand AS code, count(*) AS n, count(CASE WHEN p_size % 5 > 0 THEN 1 END) AS parsed,
+      cast(sum(CASE WHEN p_size % 5 > 0 THEN p_size END) AS double) AS total FROM part GROUP BY 1""",
+)
+def parse_lookup(spark, sf):
+    """Lookup rows from CSV text; some numbers are missing, some are words."""
+    size = F.col("p_size").cast("string")
+    rate = F.when(F.col("p_size") % 10 == 0, F.lit("n/a")).when(F.col("p_size") % 5 == 0, F.lit("")).otherwise(size)
+    text = F.concat(F.lit('"'), F.col("p_brand"), F.lit('",'), rate)
+    parsed = tables.parse_lookup(fx.read(spark, sf, "part").select(text.alias("value")), ["code", "rate"], ["rate"])
+    return parsed.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count("rate").alias("parsed"), F.sum("rate").alias("total"))
+
+
+@query(
+    "repeated_crash_ids",
+    f"""WITH {BASE} SELECT crash_mode, count(DISTINCT crash_id - crash_id % 3) AS crashes FROM fx_crashes WHERE crash_id % 3 = 0 GROUP BY 1""",
+)
+def repeated_crash_ids(spark, sf):
+    """Every third crash twice, once moved far away: one row per id stays, the one near a road."""
+    c = fx.crashes(spark, sf).filter(F.col("crash_id") % 3 == 0)
+    moved = c.withColumn("x", F.col("x") + 1e7).withColumn("crash_mode", F.col("crash_mode"))
+    found = summary.nearest_road(c.unionByName(moved), fx.roads(spark, sf), JOIN)
+    return found.groupBy("crash_mode").agg(F.count(F.lit(1)).alias("crashes"))
+
+
 @query(
     "feature_checks",
     """SELECT coalesce(reason, 'kept') AS outcome, count(*) AS features, round(sum(lon), 4) AS lon_sum FROM (

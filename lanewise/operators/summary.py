@@ -18,16 +18,25 @@ CUBE = ["crash_year", "crash_mode", "crash_severity", "functional_class"]
 def nearest_road(crashes: DataFrame, roads: DataFrame, join_m: float) -> DataFrame:
     """Nearest road within reach of each crash; crashes without one keep nulls.
 
-    Ties go to the lowest ``road_id``.
+    Ties go to the lowest ``road_id``. Of rows that repeat a ``crash_id`` the one nearest to its road stays.
     """
     edges = line_edges(drop_omitted(roads, "functional_class").select("study_id", "road_id", "functional_class", "geom"))
     hits = within_distance(edges, crashes.select("study_id", "crash_id", "x", "y"), join_m, salt_on=("crash_id",))
+    place = ["study_id", "crash_id", "x", "y"]
     best = (
-        hits.groupBy("study_id", "crash_id")
+        hits.groupBy(*place)
         .agg(F.min(F.struct("dist", "road_id", "functional_class")).alias("_b"))
-        .select("study_id", "crash_id", "_b.dist", "_b.road_id", "_b.functional_class")
+        .select(*place, "_b.dist", "_b.road_id", "_b.functional_class")
+    )
+    found = crashes.join(best, place, "left").select(*crashes.columns, "dist", "road_id", "functional_class")
+    rest = [c for c in found.columns if c not in ("study_id", "crash_id")]
+    nearer = F.struct(F.col("dist").isNull(), "dist", "x", "y")
+    one = found.filter(F.col("crash_id").isNotNull()).groupBy("study_id", "crash_id").agg(
+        F.min_by(F.struct(*rest), nearer).alias("_r")
+    )
+    return one.select("study_id", "crash_id", "_r.*").select(*found.columns).unionByName(
+        found.filter(F.col("crash_id").isNull())
     )
-    return crashes.join(best, ["study_id", "crash_id"], "left")
 
 
 def mileage_by_class(roads: DataFrame) -> DataFrame:

@@ -32,27 +32,37 @@ def read_features(
 ) -> Features:
     """Read features and set aside rows without a geometry or of another type.
 
-    ``geojsonl`` has one feature per line and splits across tasks; ``geojson`` is one collection
-    per file, so a task reads a whole file. ``parquet`` and ``csv`` need ``geometry`` as GeoJSON text or
+    ``geojsonl`` has one feature per line and splits across tasks; use it for large input. ``geojson`` is one
+    collection per file, which one task reads whole. ``parquet`` and ``csv`` need ``geometry`` as GeoJSON text or
     ``lon``/``lat`` columns. A dataset without a coordinate system is refused.
     """
     if crs is None:
         raise ValueError("the feature dataset has no coordinate system")
     if fmt == "geojsonl":
-        raw = spark.read.text(path).select(F.from_json("value", FEATURE).alias("f"))
-    elif fmt == "geojson":
+        return parse_features(spark.read.text(path), crs, geom_types, properties)
+    if fmt == "geojson":
         raw = spark.read.schema(f"features array<{FEATURE}>").json(path, multiLine=True).select(
             F.explode("features").alias("f")
         )
     else:
         table = spark.read.parquet(path) if fmt == "parquet" else spark.read.csv(path, header=True)
         return check_features(_with_geometry(table), geom_types, crs)
-    flat = raw.select(
+    return check_features(_flat(raw, properties), geom_types, crs)
+
+
+def parse_features(
+    texts: DataFrame, crs: int = 4326, geom_types: list[str] = (), properties: list[str] = (), text_col: str = "value"
+) -> Features:
+    """Features of rows that hold one GeoJSON feature each; text that is none is rejected without properties."""
+    return check_features(_flat(texts.select(F.from_json(text_col, FEATURE).alias("f")), properties), geom_types, crs)
+
+
+def _flat(raw: DataFrame, properties: list[str]) -> DataFrame:
+    return raw.select(
         *[F.element_at("f.properties", F.lit(n)).alias(n) for n in properties],
         F.col("f.geometry.type").alias("geom_type"),
         F.col("f.geometry.coordinates").alias("coordinates"),
     )
-    return check_features(flat, geom_types, crs)
 
 
 def _with_geometry(table: DataFrame) -> DataFrame:

@@ -24,6 +24,12 @@ def load_lookup(spark: SparkSession, path: str, numeric: list[str]) -> DataFrame
     return to_numeric(spark.read.csv(path, header=True), numeric)
 
 
+def parse_lookup(lines: DataFrame, columns: list[str], numeric: list[str], text_col: str = "value") -> DataFrame:
+    """Lookup from rows of CSV text without a header; short rows have nulls, numbers that do not parse become null."""
+    row = F.from_csv(text_col, ", ".join(f"`{c}` string" for c in columns))
+    return to_numeric(lines.select(row.alias("r")).select("r.*"), numeric)
+
+
 def to_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in cols})
 
