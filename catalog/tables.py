@@ -790,7 +790,7 @@ def parse_line_features(spark, sf):
 
 @query(
     "parse_polygon_features",
-    f"""WITH {BASE} SELECT geoid, cast(CASE WHEN cast(geoid AS int) % 2 = 0 THEN 2 ELSE 1 END AS int) AS parts, round(bx0, 4) AS x_min,
+    f"""WITH fx_block_groups AS ({fx.BLOCK_GROUPS}) SELECT geoid, cast(CASE WHEN cast(geoid AS int) % 2 = 0 THEN 2 ELSE 1 END AS int) AS parts, round(bx0, 4) AS x_min,
       round((bx1 - bx0) * (by1 - by0) * CASE WHEN cast(geoid AS int) % 2 = 0 THEN 2 ELSE 1 END, 4) AS area FROM fx_block_groups""",
 )
 def parse_polygon_features(spark, sf):
