@@ -4,7 +4,7 @@ Messages point at their parents. Iterated self-joins that double the reach of ev
 give each message its root, depth and the summed score of its branch in log2(depth) rounds.
 The best leaves of every tree are then walked back to the root by halving strides over the
 stored pointers, so a path is listed in as many rows as it has messages, never as arrays that
-grow on the way. Each chosen path is formatted as one text in which control strings of the
+grow on the way. Messages and stretches that are done leave the rounds. Each chosen path is formatted as one text in which control strings of the
 messages are escaped; a reader gets turns and the loss mask back.
 """
 
@@ -53,27 +53,29 @@ def branch_scores(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth")
     )
     state = stored(state, "replies")
-    pointers = []
     size = state.count()
+    done, open_ = state.filter("up is null"), state.filter("up is not null")
+    pointers = []
     # a pointer that is still open after log2(size) rounds lies on a cycle
     for _ in range(max(1, size).bit_length() + 1):
-        if state.filter("up is not null").isEmpty():
+        if open_.isEmpty():
             break
-        pointers.append(state.filter("up is not null").select("tree", "node", "up"))
-        far = state.select(
+        pointers.append(open_.select("tree", "node", "up"))
+        far = done.unionByName(open_).select(
             "tree", F.col("node").alias("up"), F.col("up").alias("f_up"), F.col("score").alias("f_score"), F.col("depth").alias("f_depth")
         )
-        state = stored(
-            state.join(far, ["tree", "up"], "left").select(
+        moved = stored(
+            open_.join(far, ["tree", "up"]).select(
                 "tree",
                 "node",
                 F.col("f_up").alias("up"),
-                (F.col("score") + F.coalesce("f_score", F.lit(0.0))).alias("score"),
-                (F.col("depth") + F.coalesce("f_depth", F.lit(0))).alias("depth"),
+                (F.col("score") + F.col("f_score")).alias("score"),
+                (F.col("depth") + F.col("f_depth")).alias("depth"),
             ),
             "replies",
         )
-    return state.filter("up is null").drop("up"), pointers
+        done, open_ = done.unionByName(moved.filter("up is null")), moved.filter("up is not null")
+    return done.drop("up"), pointers
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -93,25 +95,18 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     stretches = leaves.select("tree", "rank", "node", F.col("depth").alias("position"), F.col("depth").alias("size"))
     for k in range(len(pointers) - 1, -1, -1):
         step = 1 << k
-        up = pointers[k].withColumnRenamed("up", "far")
-        long = F.col("size") > step
-        stretches = stretches.join(up, ["tree", "node"], "left").select(
-            "tree",
-            "rank",
-            F.explode(
-                F.when(
-                    long,
-                    F.array(
-                        F.struct(F.col("node"), F.col("position"), F.lit(step).cast("long").alias("size")),
-                        F.struct(
-                            F.col("far").alias("node"),
-                            (F.col("position") - step).alias("position"),
-                            (F.col("size") - step).alias("size"),
-                        ),
-                    ),
-                ).otherwise(F.array(F.struct("node", "position", "size")))
-            ).alias("s"),
-        ).select("tree", "rank", "s.*")
+        stretches = stored(stretches, "paths")
+        halves = F.array(
+            F.struct(F.col("node"), F.col("position"), F.lit(step).cast("long").alias("size")),
+            F.struct(
+                F.col("up").alias("node"),
+                (F.col("position") - step).alias("position"),
+                (F.col("size") - step).alias("size"),
+            ),
+        )
+        long = stretches.filter(F.col("size") > step).join(pointers[k], ["tree", "node"])
+        cut = long.select("tree", "rank", F.explode(halves).alias("s")).select("tree", "rank", "s.*")
+        stretches = stretches.filter(F.col("size") <= step).unionByName(cut)
     return stretches.drop("size")
 
 
