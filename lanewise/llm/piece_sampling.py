@@ -22,9 +22,11 @@ import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +36,12 @@ from .words import slices
 BLANK = "▁"
 SAMPLES = 2
 SHARPNESS = 1.0
-EARLY = 256
+EARLY = 512
 LEAST = 1e-15  # a sibling subtree of less mass counts as empty
-SLICE = 4 << 20
+SLICE = 2 << 20
+SLICE_ROWS = 1000
 CACHE_UNITS = 250_000
-BUILD_UNITS = 50_000
+BUILD_UNITS = 20_000
 # -log of the smallest exponential variable that a 53-bit uniform number can give
 REACH = 38.0
 
@@ -93,30 +96,54 @@ def _joined(h, c):
         return h * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1)
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str, sharpness: float) -> Vocabulary:
+    return Vocabulary(path, sharpness)
+
+
 class Lattices:
-    """Lattices of the units met so far, as states with edges.
+    """Lattices of the units met so far, as states with edges; each task has its own.
 
     A state is a place in a unit. Its edges have the probability of going that way given the
     state, the next state (-1 at the unit's end) and the piece ids they emit.
     """
 
     def __init__(self, path: str, sharpness: float):
-        self.vocabulary = Vocabulary(path, sharpness)
+        self.vocabulary = vocabulary(path, sharpness)
+        self.room: list[np.ndarray] | None = None
         self.clear()
 
     def clear(self):
         self.first: dict[str, int] = {}
         # edge bounds of the states; cumulative and own probability, next state and emission bounds of edges; piece ids
-        self.arrays = (np.zeros(1, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(1, np.int32), np.zeros(0, np.int32))
+        kinds = (np.int64, np.float64, np.float64, np.int32, np.int32, np.int32)
+        if self.room is None:  # pages count when they are first written
+            self.room = [np.empty(n, t) for n, t in zip((12 * CACHE_UNITS, *(30 * CACHE_UNITS,) * 5), kinds)]
+        self.room[0][0] = self.room[4][0] = 0
+        self.arrays = tuple(r[:n] for r, n in zip(self.room, (1, 0, 0, 0, 1, 0)))
 
-    def starts(self, units: list[str]) -> np.ndarray:
-        """First state of each unit."""
+    def starts(self, texts: list[str]) -> list[np.ndarray]:
+        """First states of the units of each text: words with the blanks before them, and blanks at the end.
+
+        Texts whose words stand between single blanks, the common case, are cut by Arrow.
+        """
         if len(self.first) > CACHE_UNITS:
             self.clear()
-        new = list(set(units) - self.first.keys())
+        rows = pa.array(texts, pa.string())
+        odd = pc.or_(pc.match_substring(rows, "  "), pc.or_(pc.starts_with(rows, " "), pc.ends_with(rows, " ")))
+        odd = pc.or_(odd, pc.equal(rows, "")).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(rows.filter(pa.array(~odd)), " ")
+        coded = cut.flatten().dictionary_encode()
+        known = [" " + w for w in coded.dictionary.to_pylist()]
+        own = {int(i): _UNIT.findall(" " + texts[i]) if texts[i] else [] for i in np.flatnonzero(odd)}
+        new = [u for u in dict.fromkeys(chain(known, *own.values())) if u not in self.first]
         for at in range(0, len(new), BUILD_UNITS):
             self._add(new[at : at + BUILD_UNITS])
-        return np.fromiter(map(self.first.__getitem__, units), np.int64, len(units))
+        of = np.fromiter(map(self.first.__getitem__, known), np.int64, len(known))
+        found = of[coded.indices.to_numpy(zero_copy_only=False)]
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        plain = iter(np.split(found, ends[:-1]) if len(ends) else [])
+        return [np.array([self.first[u] for u in own[i]], np.int64) if bad else next(plain) for i, bad in enumerate(odd.tolist())]
 
     def _add(self, units: list[str]):
         """Build the lattices of new units, all characters at a time."""
@@ -148,9 +175,14 @@ class Lattices:
         froms.append(lone)
         steps.append(np.ones(len(lone), np.int64))
         pieces.append(-1 - np.arange(len(lone)))
-        start, step, piece = (np.concatenate(x) for x in (froms, steps, pieces))
-        order = np.argsort(start, kind="stable")
-        start, step, piece = start[order], step[order], piece[order]
+        # edges by place, shorter ones first: every list holds a place once at most
+        degrees = np.bincount(np.concatenate(froms), minlength=len(points))
+        first = np.cumsum(degrees) - degrees
+        free, start, step, piece = first.copy(), *(np.zeros(int(degrees.sum()), np.int64) for _ in range(3))
+        for place, size, number in zip(froms, steps, pieces):
+            at = free[place]
+            free[place] += 1
+            start[at], step[at], piece[at] = place, size, number
         is_byte = piece < 0
         count = np.ones(len(piece), np.int64)
         count[is_byte] = [len(raw[-1 - k]) for k in piece[is_byte].tolist()]
@@ -160,10 +192,8 @@ class Lattices:
         after = np.where(step == rest[start], -1, start + step)
 
         # log-mass of all ways on from each place, by its distance to the end; the last slot is the end
-        degrees = np.bincount(start, minlength=len(points))
-        first = np.cumsum(degrees) - degrees
         mass, share = np.zeros(len(points) + 1), np.zeros(len(start))
-        by_rest = np.argsort(rest, kind="stable")
+        by_rest = np.argsort(rest.astype(np.uint16) if int(rest.max()) < 1 << 16 else rest, kind="stable")
         for places in np.split(by_rest, np.flatnonzero(np.diff(rest[by_rest])) + 1):
             d = degrees[places]
             edges = _stretches(first[places], d)
@@ -179,14 +209,18 @@ class Lattices:
         old = self.arrays
         base = len(old[0]) - 1
         self.first.update(zip(units, (base + ends - sizes).tolist()))
-        self.arrays = (
-            np.concatenate([old[0], old[0][-1] + bounds]),
-            np.concatenate([old[1], cum]),
-            np.concatenate([old[2], share]),
-            np.concatenate([old[3], np.where(after < 0, -1, base + after).astype(np.int32)]),
-            np.concatenate([old[4], (old[4][-1] + np.cumsum(count)).astype(np.int32)]),
-            np.concatenate([old[5], ids.astype(np.int32)]),
-        )
+        added = (old[0][-1] + bounds, cum, share, np.where(after < 0, -1, base + after), old[4][-1] + np.cumsum(count), ids)
+        self.arrays = tuple(self._appended(i, len(old[i]), new) for i, new in enumerate(added))
+
+    def _appended(self, i: int, used: int, new: np.ndarray) -> np.ndarray:
+        """Array ``i`` with ``new`` after its ``used`` values; its room grows by half at least."""
+        need = used + len(new)
+        if need > len(self.room[i]):
+            grown = np.empty(max(need, used + (used >> 1)), self.room[i].dtype)
+            grown[:used] = self.room[i][:used]
+            self.room[i] = grown
+        self.room[i][used:need] = new
+        return self.room[i][:need]
 
 
 def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -194,11 +228,6 @@ def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-@lru_cache(maxsize=2)
-def lattices(path: str, sharpness: float) -> Lattices:
-    return Lattices(path, sharpness)
-
-
 def _uniform(seed: np.ndarray, word: np.ndarray, step) -> np.ndarray:
     """Numbers in (0, 1) from hashes of their place."""
     with np.errstate(over="ignore"):
@@ -356,7 +385,7 @@ def _push_early(searches: list[_Search], fixed: list[int], edges: np.ndarray, st
     location by more than ``REACH``; so later edges matter only if they come within that of the last bound kept.
     """
     probs = searches[0].held.arrays[2]
-    column = np.arange(EARLY)
+    column = np.arange(min(EARLY, int(sizes.max())))
     inside = column < sizes[:, None]
     p = np.where(inside, probs[edges[np.minimum(starts[:, None] + column, len(edges) - 1)]], 1.0)
     logs = np.log(p)
@@ -386,9 +415,7 @@ def sample_batch(held: Lattices, keys: list[int], texts: list[str], k: int):
     Samples come in the order of their perturbed log-probabilities. The inclusion score is the log of the probability
     that the segmentation's perturbed value exceeds the (k+1)-th largest one.
     """
-    cuts = [_UNIT.findall(" " + t) if t else [] for t in texts]
-    starts = np.split(held.starts([u for c in cuts for u in c]), np.cumsum([len(c) for c in cuts])[:-1])
-    searches = [_Search(held, key, s) for key, s in zip(keys, starts)]
+    searches = [_Search(held, key, s) for key, s in zip(keys, held.starts(texts))]
     _, _, probs, _, emitted, ids = held.arrays
     for number in range(k):
         open_ = [s for s in searches if s.next is not None]
@@ -457,8 +484,8 @@ def sample_pieces(
     kind = rows.schema[id_col].dataType
 
     def run(batches):
-        held = lattices(model_path, sharpness)
-        for batch in slices(batches, 1, SLICE):
+        held = Lattices(model_path, sharpness)
+        for batch in slices(batches, 1, SLICE, SLICE_ROWS):
             given = batch[0].to_pylist()
             keys = [xxhash.xxh64_intdigest("" if g is None else str(g), seed) for g in given]
             found = sample_batch(held, keys, [t or "" for t in batch[1].to_pylist()], k)
@@ -497,10 +524,10 @@ def decode_pieces(rows: DataFrame, ids_col: str, model_path: str, out_col: str =
     from pyspark.sql.types import StringType, StructField, StructType
 
     def run(batches):
-        voc = lattices(model_path, SHARPNESS).vocabulary
+        voc = vocabulary(model_path, SHARPNESS)
         for batch in batches:
             col = batch[at]
-            counts = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = decode_flat(voc, col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             decoded = [t.decode("utf-8", "replace") if ok else None for t, ok in zip(texts, col.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, out_col])

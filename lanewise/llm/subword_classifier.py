@@ -26,6 +26,8 @@ EPOCHS = 6
 RATE = 0.5
 SAMPLE = 3000
 CACHE_WORDS = 300_000
+PART = 20_000
+SLICE = 4 << 20
 ACCEPT = 0.3
 
 
@@ -116,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), "_label")
 
     def bags(batches):
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             words, codes, counts = words_of(batch[1], lower=False)
             ids, sizes = features(words.to_pylist(), buckets)
             ends = np.cumsum(sizes)
@@ -156,8 +158,9 @@ class _Words:
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.place) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
+        fresh = [w for w in words if w not in self.place]
+        for first in range(0, len(fresh), PART):
+            new = fresh[first : first + PART]
             at = len(self.place)
             ids, sizes = features(new, len(self.model.shares), self.model.grams)
             starts = np.cumsum(sizes) - sizes
@@ -185,7 +188,7 @@ def score(docs: DataFrame, model: Classifier, text_col: str, label: int = 1, out
 
     def run(batches):
         held = _Words(shipped.value)
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, SLICE):
             words, codes, counts = words_of(batch[at], lower=False)
             places = held.places(words.to_pylist())
             sums = np.zeros((len(counts), held.sums.shape[1]))

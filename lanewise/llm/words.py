@@ -9,15 +9,16 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8 << 20
 
 
-def slices(batches, column: int, most: int = SLICE_BYTES):
-    """Cut record batches where the bytes of a text column reach ``most``; a longer text stands alone."""
+def slices(batches, column: int, most: int = SLICE_BYTES, rows: int = 1 << 30):
+    """Cut record batches where the bytes of a text column reach ``most`` or the rows ``rows``; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
         for lo, hi in zip(*_runs(part)):
-            yield batch.slice(lo, hi - lo)
+            for at in range(lo, hi, rows):
+                yield batch.slice(at, min(rows, hi - at))
 
 
 def _runs(values: np.ndarray):
