@@ -8,7 +8,8 @@ is a rotation in which the first j quarters differ in at most j * max_bits / 4 b
 has only that budget on its way, and together they miss nothing.
 
 The upper levels are walked by Spark: a row says that a fingerprint takes part in a node pair,
-and rows of node pairs with more than ``leaf`` fingerprints step down until none is left. The
+and rows of node pairs with more than ``leaf`` fingerprints step down until none is left; whole words that
+more rows share are compared block by block. The
 lower levels are walked in numpy within a leaf pair, which returns a spanning star per local
 component instead of all pairs, and passes over node pairs that are one component already. Stars
 are merged by alternating large-star and small-star rounds, each written to the shared folder.
@@ -207,7 +208,7 @@ def join_nodes(words: np.ndarray, more: np.ndarray | None, left: int | None, dep
 
 def _leaf_links(depth: int, max_bits: int, max_more: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, low, high = (int(k.as_py()) for k in key)
+        low, high = (int(k.as_py()) for k in key[1:3])
         words, side = table["word"].to_numpy().view(np.uint64), table["side"].to_numpy()
         order = np.lexsort((words, side))
         more = table["more"].to_pylist()
@@ -222,6 +223,18 @@ def _leaf_links(depth: int, max_bits: int, max_more: int):
     return run
 
 
+def _blocks_met(rows: DataFrame, leaf: int) -> DataFrame:
+    """Rows of whole node pairs of more than ``leaf`` rows, put into all pairs of blocks of about half as many rows.
+
+    Words have no bits left to step down by here, so every two rows meet by their block numbers, pair_low and pair_high. Equal
+    words lie together in every trie, of which the first is enough.
+    """
+    blocks = F.ceil(F.col("n") / max(1, leaf // 2)).cast("long")
+    its = rows.filter((F.col("low") != F.col("high")) | (F.col("trie") == 0)).withColumn("own", F.pmod(F.xxhash64("node"), blocks))
+    met = its.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return met.withColumn("pair_low", F.least("own", "other")).withColumn("pair_high", F.greatest("own", "other"))
+
+
 def trie_links(prints: DataFrame, max_bits: int = 3, leaf: int = LEAF, max_more: int = 0) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within ``max_bits``.
 
@@ -264,9 +277,18 @@ def trie_links(prints: DataFrame, max_bits: int = 3, leaf: int = LEAF, max_more:
             .groupBy(*keys)
             .applyInArrow(_leaf_links(depth, max_bits, max_more), "u long, v long")
         )
-        rows = rows.filter(F.col("n") > leaf).drop("n")
-        if depth >= 64 or rows.isEmpty():
+        rows = rows.filter(F.col("n") > leaf)
+        if rows.isEmpty():
+            break
+        if depth >= 64:
+            links.append(
+                _blocks_met(rows, min(leaf, LEAF))
+                .select(*keys, "pair_low", "pair_high", "side", "word", "node", "more")
+                .groupBy(*keys, "pair_low", "pair_high")
+                .applyInArrow(_leaf_links(depth, max_bits, max_more), "u long, v long")
+            )
             break
+        rows = rows.drop("n")
         width = min(STEP, 64 - depth)
     out = links[0]
     for further in links[1:]:

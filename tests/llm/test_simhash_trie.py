@@ -119,6 +119,23 @@ def test_links_with_more_bits(spark):
     assert got == {frozenset(i for i in range(len(words)) if find(i) == r) for r in map(find, range(len(words)))}
 
 
+def test_more_rows_in_a_word_than_a_leaf_holds(spark):
+    rng = random.Random(6)
+    word = rng.getrandbits(64)
+    base = [rng.getrandbits(128) for _ in range(4)]
+    words, more = [], []
+    for i in range(90):
+        words.append(word if i % 3 else word ^ 5)
+        more.append(base[i % 4] ^ 1 << rng.randrange(128))
+    for word_bits, groups in ((3, 4), (0, 8)):
+        packed = [m.to_bytes(16, "little") for m in more]
+        got = classes_of(spark, trie_links(frame_of(spark, words, packed), word_bits, 16, 4), words)
+        want = {}
+        for i in range(90):
+            want.setdefault((i % 4, word_bits or words[i]), set()).add(i)
+        assert len(want) == groups and got == {frozenset(v) for v in want.values()}
+
+
 def test_documents(spark, documents):
     rows = near_duplicates(documents, "doc_id", "text").collect()
     assert len(rows) == documents.count()
