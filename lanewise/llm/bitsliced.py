@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 SCALE = 256
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 96
-LIMIT = 1 << 24
 
 _INDEX = "block long, dim int, n int, ids binary, lows binary, widths binary, slices binary"
 _QUERIES = "slot long, first long, dim int, ids binary, vectors binary"
@@ -28,8 +27,9 @@ _HITS = "query_key long, query_id long, vec_id long, score long"
 
 
 def quantise(x: Column, scale: int = SCALE) -> Column:
-    """``floor(scale * x)`` of each component, held within +-2**24."""
-    step = lambda v: F.floor(F.greatest(F.least(v.cast("double") * scale, F.lit(float(LIMIT))), F.lit(-float(LIMIT))))
+    """``floor(scale * x)`` of each component; an error where that is no 64-bit integer."""
+    far = F.raise_error(F.lit("a scaled component does not fit into 64 bits")).cast("long")
+    step = lambda v: F.when(F.abs(v.cast("double") * scale) < 2.0**63, F.floor(v.cast("double") * scale)).otherwise(far)
     return F.transform(x, step)
 
 
@@ -43,14 +43,15 @@ def slice_block(values: np.ndarray):
     """Lowest value, bit width and stacked bitmaps (uint64 words) of each component."""
     n, dim = values.shape
     lows = values.min(axis=0) if dim else np.zeros(0, np.int64)
-    above = (values - lows).T
+    # differences of 64-bit integers fit into 64 unsigned bits
+    above = (values - lows).T.astype(np.int64).view(np.uint64)
     widths = np.array([int(r.max()).bit_length() for r in above], np.int32)
     words = -(-n // 64)
     out = np.zeros((int(widths.sum()), words * 8), np.uint8)
     at = 0
     for row, width in zip(above, widths):
         for bit in range(width):
-            packed = np.packbits((row >> bit & 1).astype(np.uint8), bitorder="little")
+            packed = np.packbits((row >> np.uint64(bit) & np.uint64(1)).astype(np.uint8), bitorder="little")
             out[at, : len(packed)] = packed
             at += 1
     return lows.astype(np.int64), widths, out.view(np.uint64)
@@ -197,9 +198,12 @@ def _search(batches, k: int):
                 free[np.searchsorted(ids, q_id) : np.searchsorted(ids, q_id, "right")] = 0
                 hits = top_rows(sums, np.packbits(free, bitorder="little").view(np.uint64), k)
                 word, bit = hits // 64, (hits % 64).astype(np.uint64)
-                scores = np.full(len(hits), base, np.int64)
+                kind = np.int64 if len(sums) < 62 and abs(base) < 1 << 62 else object
+                scores = np.full(len(hits), base, kind)
                 for w, s in enumerate(sums):
-                    scores += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << w
+                    scores += ((s[word] >> bit) & np.uint64(1)).astype(np.int64).astype(kind) << w
+                if any(not -(1 << 63) <= x < 1 << 63 for x in scores.tolist()):
+                    raise OverflowError("a score does not fit into 64 bits")
                 out["query_key"] += [(row["slot"] << 32) + row["first"] + i] * len(hits)
                 out["query_id"] += [q_id] * len(hits)
                 out["vec_id"] += ids[hits].tolist()
@@ -224,8 +228,8 @@ def top_inner_products(
     Defined cases: rows with a null id, a null vector or a null or non-finite component take no
     part; vectors of another length than the query's are no candidates; a query's candidates
     leave out all rows of its own id; a repeated query row is answered once for each row; fewer
-    than ``k`` candidates are all returned; an empty table gives no rows. Components beyond
-    +-65,536 count as that bound.
+    than ``k`` candidates are all returned; an empty table gives no rows. Scaled
+    components and the scores returned must fit into 64 bits, else the run fails.
 
     Queries and candidates meet in blocks: one equi-join on (block, slot), in which every
     block of the index meets every block of queries once; each meeting returns ``k`` rows a query.

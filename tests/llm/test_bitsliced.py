@@ -49,3 +49,17 @@ def test_equals_brute_force(spark, block):
     assert sorted(tuple(r) for r in got.collect()) == want
     empty = frame.limit(0)
     assert top_inner_products(empty, empty, "vec_id", "embedding").count() == 0
+
+
+def test_large_components(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice((-1, 1)) * 10.0 ** rng.uniform(4, 6.5) for _ in range(3)], 0, "x", "y") for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = top_inner_products(frame, frame.filter("vec_id % 10 = 0"), "vec_id", "embedding", 4, 25, 3)
+    assert sorted(tuple(r) for r in got.collect()) == plain(rows, set(range(0, 60, 10)), 4)
+    values = np.array([[-(1 << 62) - 5, 7], [1 << 62, -3], [(1 << 63) - 1, 0]])
+    lows, widths, slices = slice_block(values)
+    assert widths.tolist() == [64, 4] and lows.tolist() == [-(1 << 62) - 5, -3]
+    sums, base = add_slices(np.array([-3, 2]), lows, widths, slices)
+    got = [base + sum(int(s[0] >> np.uint64(i) & np.uint64(1)) << w for w, s in enumerate(sums)) for i in range(3)]
+    assert got == [-3 * a + 2 * b for a, b in values.tolist()]
