@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, imatch, kneser_ney, piece_sampling, reply_trees, simhash_trie, soft_mixing, subword_classifier, token_frames, url_rules
+from . import bitsliced, byte_pieces, imatch, kneser_ney, piece_sampling, reply_trees, simhash_trie, soft_mixing, subword_classifier, token_frames, url_rules
 from .shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,3 +283,16 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best rows by integer inner product for every fiftieth vector."""
     vectors = _table(spark, sf_dir, "embeddings")
     return bitsliced.top_inner_products(vectors, vectors.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5)
+
+
+@query()
+def op11_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all texts by byte-level BPE, and the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = byte_pieces.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return byte_pieces.decode(tokens, path).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -47,3 +47,9 @@ def words_of(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray,
 def with_ends(codes: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """``codes`` with ``end`` after each text, and the counts with it."""
     return np.insert(codes, np.cumsum(counts), end), counts + 1
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of the stretches that start and size give, in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
