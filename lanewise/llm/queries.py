@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, byte_pieces, imatch, kneser_ney, piece_sampling, reply_trees, simhash_trie, soft_mixing, subword_classifier, token_frames, url_rules
+from . import bitsliced, byte_pieces, imatch, kneser_ney, piece_sampling, reply_trees, simhash_trie, soft_mixing, spelling, subword_classifier, token_frames, url_rules
 from .shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,3 +296,10 @@ def op11_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their likeliest spellings."""
+    found = spelling.variants(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
