@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, byte_pieces, imatch, kneser_ney, piece_sampling, reply_trees, simhash_trie, soft_mixing, spelling, subword_classifier, token_frames, url_rules
+from . import bitsliced, byte_pieces, collocations, imatch, kneser_ney, piece_sampling, reply_trees, simhash_trie, soft_mixing, spelling, subword_classifier, token_frames, url_rules
 from .shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,6 +298,40 @@ def op11_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents
+), said AS (
+  SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda w: w <> '') AS words FROM pieces
+), totals AS (SELECT lang, sum(len(words)) AS n FROM said GROUP BY lang),
+sizes AS (SELECT unnest(range(1, 6)) AS size),
+starts AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM said, sizes WHERE len(words) >= size),
+known AS (SELECT lang, words[i : i + size - 1] AS phrase, count(*) AS f FROM starts GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, f AS a, unnest(range(1, len(phrase))) AS k FROM known WHERE len(phrase) > 1),
+rated AS (
+  SELECT c.lang, c.phrase, a, k, p.f AS l, q.f AS r, n, (1000::HUGEINT * a * n) // (p.f::HUGEINT * q.f) AS score
+  FROM cuts c JOIN known p ON p.lang = c.lang AND p.phrase = c.phrase[:k] JOIN known q ON q.lang = c.lang AND q.phrase = c.phrase[k + 1:]
+    JOIN totals t ON t.lang = c.lang
+), weakest AS (
+  SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM weakest w WHERE NOT EXISTS (
+    SELECT 1 FROM known o WHERE o.lang = w.lang AND len(o.phrase) > len(w.phrase) AND 100 * o.f >= 100 * w.a
+      AND contains(' ' || array_to_string(o.phrase, ' ') || ' ', ' ' || array_to_string(w.phrase, ' ') || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM kept
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query(_OP12)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language that belong together most."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"), "text", "lang")
+
+
 @query()
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all texts with their likeliest spellings."""
