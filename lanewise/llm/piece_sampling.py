@@ -37,11 +37,10 @@ BLANK = "▁"
 SAMPLES = 2
 SHARPNESS = 1.0
 EARLY = 512
-LEAST = 1e-15  # a sibling subtree of less mass counts as empty
-SLICE = 2 << 20
-SLICE_ROWS = 1000
-CACHE_UNITS = 250_000
-BUILD_UNITS = 20_000
+SLICE = 1 << 20
+SLICE_ROWS = 500
+CACHE_UNITS = 100_000
+BUILD_UNITS = 5_000
 # -log of the smallest exponential variable that a 53-bit uniform number can give
 REACH = 38.0
 
@@ -102,33 +101,46 @@ def vocabulary(path: str, sharpness: float) -> Vocabulary:
 
 
 class Lattices:
-    """Lattices of the units met so far, as states with edges; each task has its own.
+    """Lattices of the units met lately, as states with edges; each task has its own.
 
-    A state is a place in a unit. Its edges have the probability of going that way given the
-    state, the next state (-1 at the unit's end) and the piece ids they emit.
+    A state is a place in a unit. Its edges have the log-probability of going that way given the state, the log-mass of
+    the state's other edges, the next state (-1 at the unit's end) and the piece ids they emit. Units are held in two halves: once the
+    newer one has ``CACHE_UNITS / 2`` units the older one goes, and units of the half that is older now move over when they are met again.
     """
 
     def __init__(self, path: str, sharpness: float):
         self.vocabulary = vocabulary(path, sharpness)
-        self.room: list[np.ndarray] | None = None
-        self.clear()
-
-    def clear(self):
+        self.room, self.spare = self._rooms(), None
         self.first: dict[str, int] = {}
-        # edge bounds of the states; cumulative and own probability, next state and emission bounds of edges; piece ids
-        kinds = (np.int64, np.float64, np.float64, np.int32, np.int32, np.int32)
-        if self.room is None:  # pages count when they are first written
-            self.room = [np.empty(n, t) for n, t in zip((12 * CACHE_UNITS, *(30 * CACHE_UNITS,) * 5), kinds)]
-        self.room[0][0] = self.room[4][0] = 0
-        self.arrays = tuple(r[:n] for r, n in zip(self.room, (1, 0, 0, 0, 1, 0)))
+        self.arrays = self._none(self.room)
+        self.turn()
+
+    @staticmethod
+    def _rooms() -> list[np.ndarray]:
+        """Room for edge bounds of the states; cumulative and log-probability, next state and emission bounds of edges; piece ids; log-mass beside edges."""
+        kinds = (np.int64, np.float64, np.float64, np.int32, np.int32, np.int32, np.float64)
+        half = CACHE_UNITS // 2
+        room = [np.empty(n, t) for n, t in zip((12 * half, *(30 * half,) * 6), kinds)]  # pages count when they are first written
+        room[0][0] = room[4][0] = 0
+        return room
+
+    @staticmethod
+    def _none(room: list[np.ndarray]) -> tuple:
+        return tuple(r[:n] for r, n in zip(room, (1, 0, 0, 0, 1, 0, 0)))
+
+    def turn(self):
+        """The newer half becomes the older one."""
+        self.old_first, self.old_arrays = self.first, self.arrays
+        self.room, self.spare = self.spare or self._rooms(), self.room
+        self.first, self.arrays = {}, self._none(self.room)
 
     def starts(self, texts: list[str]) -> list[np.ndarray]:
         """First states of the units of each text: words with the blanks before them, and blanks at the end.
 
         Texts whose words stand between single blanks, the common case, are cut by Arrow.
         """
-        if len(self.first) > CACHE_UNITS:
-            self.clear()
+        if len(self.first) > CACHE_UNITS // 2:
+            self.turn()
         rows = pa.array(texts, pa.string())
         odd = pc.or_(pc.match_substring(rows, "  "), pc.or_(pc.starts_with(rows, " "), pc.ends_with(rows, " ")))
         odd = pc.or_(odd, pc.equal(rows, "")).to_numpy(zero_copy_only=False)
@@ -137,6 +149,8 @@ class Lattices:
         known = [" " + w for w in coded.dictionary.to_pylist()]
         own = {int(i): _UNIT.findall(" " + texts[i]) if texts[i] else [] for i in np.flatnonzero(odd)}
         new = [u for u in dict.fromkeys(chain(known, *own.values())) if u not in self.first]
+        self._keep([u for u in new if u in self.old_first])
+        new = [u for u in new if u not in self.first]
         for at in range(0, len(new), BUILD_UNITS):
             self._add(new[at : at + BUILD_UNITS])
         of = np.fromiter(map(self.first.__getitem__, known), np.int64, len(known))
@@ -145,6 +159,21 @@ class Lattices:
         plain = iter(np.split(found, ends[:-1]) if len(ends) else [])
         return [np.array([self.first[u] for u in own[i]], np.int64) if bad else next(plain) for i, bad in enumerate(odd.tolist())]
 
+    def _keep(self, units: list[str]):
+        """Move units over from the older half."""
+        bounds, cum, logs, nexts, emitted, ids, beside = self.old_arrays
+        at = np.fromiter(map(self.old_first.__getitem__, units), np.int64, len(units))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        places = _stretches(at, sizes)
+        degrees = bounds[places + 1] - bounds[places]
+        edges = _stretches(bounds[places], degrees)
+        count = (emitted[edges + 1] - emitted[edges]).astype(np.int64)
+        base = len(self.arrays[0]) - 1
+        own = base + np.cumsum(sizes) - sizes
+        after = nexts[edges] + np.repeat(own - at, bounds[at + sizes] - bounds[at])
+        kept = ids[_stretches(emitted[edges].astype(np.int64), count)]
+        self._append(units, own, degrees, cum[edges], logs[edges], np.where(nexts[edges] < 0, -1, after), count, kept, beside[edges])
+
     def _add(self, units: list[str]):
         """Build the lattices of new units, all characters at a time."""
         voc = self.vocabulary
@@ -192,7 +221,7 @@ class Lattices:
         after = np.where(step == rest[start], -1, start + step)
 
         # log-mass of all ways on from each place, by its distance to the end; the last slot is the end
-        mass, share = np.zeros(len(points) + 1), np.zeros(len(start))
+        mass, logs = np.zeros(len(points) + 1), np.zeros(len(start))
         by_rest = np.argsort(rest.astype(np.uint16) if int(rest.max()) < 1 << 16 else rest, kind="stable")
         for places in np.split(by_rest, np.flatnonzero(np.diff(rest[by_rest])) + 1):
             d = degrees[places]
@@ -201,15 +230,19 @@ class Lattices:
             value = weight[edges] + mass[after[edges]]
             top = np.maximum.reduceat(value, cuts)
             mass[places] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, d)), cuts))
-            share[edges] = np.exp(value - np.repeat(mass[places], d))
+            logs[edges] = value - np.repeat(mass[places], d)
         bounds = np.cumsum(degrees)
+        share = np.exp(logs)
         sums = np.cumsum(share)
         cum = sums - np.repeat(sums[first] - share[first], degrees)
         cum[bounds - 1] = 2.0  # the last edge takes what rounding leaves
+        base = len(self.arrays[0]) - 1
+        self._append(units, base + ends - sizes, degrees, cum, logs, np.where(after < 0, -1, base + after), count, ids, _beside(logs, first, degrees))
+
+    def _append(self, units, own, degrees, cum, logs, after, count, ids, beside):
         old = self.arrays
-        base = len(old[0]) - 1
-        self.first.update(zip(units, (base + ends - sizes).tolist()))
-        added = (old[0][-1] + bounds, cum, share, np.where(after < 0, -1, base + after), old[4][-1] + np.cumsum(count), ids)
+        self.first.update(zip(units, own.tolist()))
+        added = (old[0][-1] + np.cumsum(degrees), cum, logs, after, old[4][-1] + np.cumsum(count), ids, beside)
         self.arrays = tuple(self._appended(i, len(old[i]), new) for i, new in enumerate(added))
 
     def _appended(self, i: int, used: int, new: np.ndarray) -> np.ndarray:
@@ -223,6 +256,24 @@ class Lattices:
         return self.room[i][:need]
 
 
+def _beside(logs: np.ndarray, first: np.ndarray, degrees: np.ndarray) -> np.ndarray:
+    """Log of the summed ``exp(logs)`` of the other edges of each edge's state: sums from both sides, nothing is subtracted."""
+    out = np.full(len(logs), -np.inf)
+    for step in (1, -1):
+        so_far = np.full(len(first), -np.inf)
+        for n in range(int(degrees.max(initial=0))):
+            use = np.flatnonzero(degrees > n)
+            edges = first[use] + (n if step > 0 else degrees[use] - 1 - n)
+            out[edges] = np.logaddexp(out[edges], so_far[use])
+            so_far[use] = np.logaddexp(so_far[use], logs[edges])
+    return out
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
+
+
 def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of the stretches that start and size give, in turn."""
     return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
@@ -240,7 +291,7 @@ def _uniform(seed: np.ndarray, word: np.ndarray, step) -> np.ndarray:
 
 def _walk(held: Lattices, state: np.ndarray, seed: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Walk every unit from its state to its end; edges in turn and the edges per unit."""
-    bounds, cum, _, nexts, _, _ = held.arrays
+    bounds, cum, _, nexts, *_ = held.arrays
     owners, taken = [], []
     alive = np.arange(len(state))
     step = 0
@@ -337,22 +388,22 @@ class _Search:
 
     def push_rest(self, fixed: int, done: int, before: float, k: int, best: list[float]):
         """Queue what the early edges left open; see :func:`_push_early`."""
-        path, probs = self.paths[-1], self.held.arrays[2]
+        path, log_probs, beside = self.paths[-1], self.held.arrays[2], self.held.arrays[6]
         seed = np.uint64(self.seed(len(self.paths)))
         at = fixed + done
         while at < len(path.edges) and not (len(best) > k and before + REACH < best[k]):
-            p = probs[path.edges[at : at + 16 * EARLY]]
-            logs = np.log(p)
+            edges = path.edges[at : at + 16 * EARLY]
+            logs = log_probs[edges]
             prefix = before + np.cumsum(logs) - logs
-            use = np.flatnonzero(1.0 - p > LEAST)
+            use = np.flatnonzero(beside[edges] > -np.inf)
             if len(use):
                 u = _uniform(np.full(len(use), seed), (at + use).astype(np.uint64), 1 << 41)
-                values = _truncated(path.bound, prefix[use] + np.log(1.0 - p[use]), u)
+                values = _truncated(path.bound, prefix[use] + beside[edges[use]], u)
                 for i in np.argsort(-values)[: k + 1].tolist():
                     self.push(float(values[i]), at + int(use[i]), float(prefix[use[i]]))
                 best = sorted([*best, *values.tolist()], reverse=True)[: k + 1]
             before += float(logs.sum())
-            at += len(p)
+            at += len(edges)
 
     def pop(self):
         """Choose the best subtree of siblings and the child that holds its maximum."""
@@ -361,21 +412,22 @@ class _Search:
             return
         value, number, place, before, used = heapq.heappop(self.queue)
         path = self.paths[number]
-        bounds, _, probs, _, _, _ = self.held.arrays
+        bounds, _, log_probs, *_ = self.held.arrays
         state = int(np.searchsorted(bounds, path.edges[place], "right")) - 1
         rest = [e for e in range(int(bounds[state]), int(bounds[state + 1])) if e not in used]
-        weights = [float(probs[e]) for e in rest]
-        total = sum(weights)
+        logs = [float(log_probs[e]) for e in rest]
+        top = max(logs)
+        weights = [math.exp(x - top) for x in logs]
         stamp = self.seed((number + 1 << 32) + (place << 8) + len(used) + (1 << 60))
-        u, at = _uniform_one(stamp, 1) * total, 0
+        u, at = _uniform_one(stamp, 1) * sum(weights), 0
         while at < len(rest) - 1 and u >= weights[at]:
             u -= weights[at]
             at += 1
-        left = total - weights[at]
-        if len(rest) > 1 and left > LEAST:
-            lower = float(_truncated(-value, before + math.log(left), _uniform_one(stamp, 2)))
+        if len(rest) > 1:
+            left = _log_sum(logs[:at] + logs[at + 1 :])
+            lower = float(_truncated(-value, before + left, _uniform_one(stamp, 2)))
             heapq.heappush(self.queue, (-lower, number, place, before, (*used, rest[at])))
-        self.next = _Node(-value, path, place, rest[at], before + math.log(weights[at]))
+        self.next = _Node(-value, path, place, rest[at], before + logs[at])
 
 
 def _push_early(searches: list[_Search], fixed: list[int], edges: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: np.ndarray, k: int):
@@ -384,20 +436,19 @@ def _push_early(searches: list[_Search], fixed: list[int], edges: np.ndarray, st
     The best k + 1 of them are enough, as no more are ever taken. Prefixes only fall, and no bound exceeds its
     location by more than ``REACH``; so later edges matter only if they come within that of the last bound kept.
     """
-    probs = searches[0].held.arrays[2]
+    log_probs, beside = searches[0].held.arrays[2], searches[0].held.arrays[6]
     column = np.arange(min(EARLY, int(sizes.max())))
     inside = column < sizes[:, None]
-    p = np.where(inside, probs[edges[np.minimum(starts[:, None] + column, len(edges) - 1)]], 1.0)
-    logs = np.log(p)
+    walked = edges[np.minimum(starts[:, None] + column, len(edges) - 1)]
+    logs = np.where(inside, log_probs[walked], 0.0)
     ends = np.cumsum(logs, axis=1)
     prefix = before[:, None] + ends - logs
     place = np.array(fixed)[:, None] + column
     seeds = np.array([s.seed(len(s.paths)) for s in searches], np.uint64)[:, None]
     u = _uniform(np.broadcast_to(seeds, place.shape), place, 1 << 41)
-    left = 1.0 - p
-    with np.errstate(divide="ignore"):
-        values = _truncated(np.array([s.paths[-1].bound for s in searches])[:, None], prefix + np.log(left), u)
-    values = np.where(left > LEAST, values, -np.inf)
+    left = np.where(inside, beside[walked], -np.inf)
+    values = _truncated(np.array([s.paths[-1].bound for s in searches])[:, None], prefix + left, u)
+    values = np.where(left > -np.inf, values, -np.inf)
     order = np.argsort(-values, axis=1, kind="stable")[:, : k + 1]
     best = np.take_along_axis(values, order, axis=1)
     whole = before + ends[:, -1]
@@ -416,7 +467,7 @@ def sample_batch(held: Lattices, keys: list[int], texts: list[str], k: int):
     that the segmentation's perturbed value exceeds the (k+1)-th largest one.
     """
     searches = [_Search(held, key, s) for key, s in zip(keys, held.starts(texts))]
-    _, _, probs, _, emitted, ids = held.arrays
+    _, _, log_probs, _, emitted, ids, _ = held.arrays
     for number in range(k):
         open_ = [s for s in searches if s.next is not None]
         if not open_:
@@ -436,7 +487,7 @@ def sample_batch(held: Lattices, keys: list[int], texts: list[str], k: int):
         unit = np.repeat(word, counts)
         sizes = np.add.reduceat(np.append(counts, 0), np.cumsum(many) - many) * (many > 0)
         ends = np.cumsum(sizes)
-        logs = np.append(np.log(probs[edges]), 0.0)
+        logs = np.append(log_probs[edges], 0.0)
         sums = np.where(sizes > 0, np.add.reduceat(logs, ends - sizes), 0.0)
         before = np.array([s.next.before for s in open_])
         fixed = [s.next.place + 1 for s in open_]
@@ -477,11 +528,13 @@ def sample_pieces(
     Random numbers hang on ``id_col`` as text and ``seed``. Defined cases: a null or empty text
     has one segmentation, no pieces at all; a text with fewer than ``k`` segmentations gives all of
     them, with inclusion score 0 (probability one); rows that repeat an id and text repeat its samples; null ids
-    share one key; an empty table gives no rows; other columns are not read. ``decoded_crc32`` is taken of the
+    share one key; an empty table gives no rows; other columns are not read; ``id_col`` must not be named like an output. ``decoded_crc32`` is taken of the
     UTF-8 bytes that the ids decode to.
     """
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[id_col].dataType
+    if id_col in [c.split()[0] for c in _OUT.split(", ")]:
+        raise ValueError(f"the id column must not be named {id_col}")
 
     def run(batches):
         held = Lattices(model_path, sharpness)

@@ -1,5 +1,7 @@
 import math
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -105,3 +107,58 @@ def test_documents(spark, documents):
     assert sample_pieces(documents.limit(0), "doc_id", "text", PATH).count() == 0
     back = decode_pieces(spark.createDataFrame(rows), "ids", PATH).collect()
     assert all(r.decoded in texts[r.doc_id] for r in back)
+
+
+def test_small_siblings_are_not_lost():
+    # with sharp weights all but one segmentation together weigh less than rounding
+    held = Lattices(PATH, 60.0)
+    for text in ("the cat", "of the"):
+        voc = held.vocabulary
+        rows = sample_batch(held, [5], [text], 10_000)[0]
+        plain = Lattices(PATH, SHARPNESS).vocabulary
+        assert {tuple(r[0].tolist()) for r in rows} == set(segmentations(plain, text))
+        assert min(r[1] for r in rows) < -800
+        for ids, log_prob, *_ in rows[:5]:
+            best = rows[0][0].tolist()
+            weight = lambda x: sum(voc.weight_of[i] for i in x)
+            assert log_prob - rows[0][1] == pytest.approx(weight(ids.tolist()) - weight(best), rel=1e-9, abs=1e-9)
+
+
+def test_units_move_between_the_halves(held, monkeypatch):
+    from lanewise.llm import piece_sampling
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("étaoin漢", k=rng.randrange(1, 9))) for _ in range(40)) for _ in range(60)]
+    whole = sample_batch(held, list(range(60)), texts, 3)
+    monkeypatch.setattr(piece_sampling, "CACHE_UNITS", 120)
+    small = Lattices(PATH, SHARPNESS)
+    for _ in range(2):
+        for i, text in enumerate(texts):
+            got = sample_batch(small, [i], [text], 3)[0]
+            assert [r[0].tolist() for r in got] == [r[0].tolist() for r in whole[i]]
+            assert [r[1:] for r in got] == [pytest.approx(r[1:], rel=1e-9, abs=1e-9) for r in whole[i]]
+            assert len(small.first) <= 60 + 40
+
+
+_WORKER = """
+import random, sys
+import public_tokenizers
+from lanewise.llm import piece_sampling as p
+held = p.Lattices(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+rng = random.Random(1)
+most = 0
+for n in range(40):
+    texts = [" ".join("".join(rng.choices("etaoinshrdlué", k=rng.randrange(3, 12))) for _ in range(300)) for _ in range(400)]
+    assert sum(map(len, texts)) < p.SLICE
+    p.sample_batch(held, list(range(400)), texts, 2)
+    used = sum(int(l.split()[1]) for l in open("/proc/self/smaps_rollup") if l.startswith("Pss_Anon")) // 1024
+    most = max(most, used)
+print(most, len(held.first) + len(held.old_first))
+"""
+
+
+def test_memory_of_a_worker_is_bounded():
+    # 4.8 million words, nearly all of them distinct
+    done = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, timeout=600, check=True)
+    most, units = map(int, done.stdout.split())
+    assert most < 350 and units > 50_000
