@@ -1,13 +1,16 @@
 """Near copies by the Jaccard similarity of the texts' five-word shingles.
 
-Candidates come from MinHash bands of the shingle sets: two texts meet if all ``ROWS`` minima of one of ``BANDS`` bands agree,
-which at a similarity of 0.8 fails for 1 - 0.8 ** ROWS of a band only, for 7 pairs in 100,000 of all bands. Every link is then
-confirmed with the exact similarity of the two sets, so no group holds a link below ``SIMILARITY``.
-
-Rows that meet in a band are a cell. First a tree of the likeliest pairs of each cell is confirmed, which joins dense groups
-without all of their pairs. Then all pairs of a cell's rows that are still in different components and whose signatures
-agree in ``LEAST`` of the minima (0.8 less five deviations) are confirmed. Cells of more than ``CELL`` rows are cut into blocks; in the
-second step every two blocks meet, but for those within the cell's largest component.
+Rows are classes of equal shingle sets. The SimHash trie join links classes whose fingerprints of the distinct shingles differ in at most
+``BITS`` bits, which are the closest copies. All others meet by MinHash bands of the shingle sets: two texts meet if all ``ROWS`` minima of
+one of ``BANDS`` bands agree, which at a similarity of 0.8 fails for 1 - 0.8 ** ROWS of a band only, for 7 pairs in 100,000 of all bands. Every
+link is confirmed with the exact similarity of the two sets, so no group holds a link below ``SIMILARITY``.
+
+Rows that meet in a band are a cell. First the trie's links and a tree of the likeliest pairs of each cell are confirmed, which joins dense
+groups without all of their pairs. Then all pairs of a cell's rows that are still in different components and whose signatures
+agree in ``LEAST`` of the minima (0.8 less five deviations) are confirmed within the cell, in the first band that the two share; only the
+rows that have such a pair take their texts there, and only a forest of links comes out, so no step writes more rows than it takes.
+Cells of more than ``CELL`` rows are cut into blocks; in the second step every two blocks meet, but for those within the
+cell's largest component.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .simhash_trie import SEED, merge_stars
+from .simhash_trie import SEED, majority, merge_stars, trie_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 LEAST = 72
 CELL = 256
+#: Differing bits of fingerprints that the trie join links.
+BITS = 3
 CHUNK = 4096
 
 _rng = np.random.default_rng(SEED)
@@ -94,30 +99,31 @@ def tree(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
-def across(marks: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of different groups that agree in ``LEAST`` minima."""
+def across(marks: np.ndarray, keys: np.ndarray, group: np.ndarray, side: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of different groups and sides (a side of -1 meets all) that agree in ``LEAST`` minima and share ``band`` as their first."""
     u, v = [], []
     for i in range(len(marks) - 1):
-        later = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        later = i + 1 + np.flatnonzero((group[i + 1 :] != group[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
         later = later[(marks[later] == marks[i]).sum(axis=1) >= LEAST]
+        later = later[(keys[later] == keys[i]).argmax(axis=1) == band]
         u.append(np.full(len(later), i, np.int64))
         v.append(later)
     none = [np.zeros(0, np.int64)]
     return np.concatenate(u or none), np.concatenate(v or none)
 
 
-def _pairs(cells: DataFrame, all_: bool) -> DataFrame:
-    """Distinct pairs (u, v) that cells (cell, node, mark, group) give, each with one of its cells."""
+def _likely(cells: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of the trees of cells (cell, node, mark), each with one of its cells."""
 
     def run(batches):
         for batch in batches:
             sizes, flat = batch["rows"].value_lengths().to_numpy(), batch["rows"].flatten()
-            nodes, groups = flat.field("node").to_numpy(), flat.field("group").to_numpy()
-            marks = np.frombuffer(b"".join(flat.field("mark").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            nodes = flat.field("node").to_numpy()
+            marks = _signatures(flat.field("mark"))
             cell, us, vs, at = [], [], [], 0
             for key, n in zip(batch["cell"].to_pylist(), sizes.tolist()):
                 mine = slice(at, at + n)
-                u, v = across(marks[mine], groups[mine]) if all_ else tree(marks[mine])
+                u, v = tree(marks[mine])
                 cell.append(np.full(len(u), key, np.int64))
                 us.append(nodes[mine][u])
                 vs.append(nodes[mine][v])
@@ -125,16 +131,51 @@ def _pairs(cells: DataFrame, all_: bool) -> DataFrame:
             columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (cell, us, vs)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cell", "u", "v"])
 
-    held = cells.groupBy("cell").agg(F.collect_list(F.struct("node", "mark", "group")).alias("rows")).filter(F.size("rows") > 1)
+    held = cells.groupBy("cell").agg(F.collect_list(F.struct("node", "mark")).alias("rows")).filter(F.size("rows") > 1)
     found = held.mapInArrow(run, "cell long, u long, v long").filter("u <> v")
     return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("cell").alias("cell"))
 
 
-def _confirm(table: pa.Table) -> pa.Table:
-    """The pairs of a cell that are similar; pairs of one local component need no comparison."""
-    nodes = table["node"].to_pylist()
-    sets = {n: shingle_set(t) for n, t in zip(nodes, table["text"].to_pylist())}
-    root = {n: n for n in nodes}
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _bands(column) -> np.ndarray:
+    return np.array(column.to_pylist(), np.int64).reshape(-1, BANDS)
+
+
+_MEMBER = "cell long, band int, node long, group long, side int, mark binary, keys array<long>"
+
+
+def _paired(cells: DataFrame) -> DataFrame:
+    """The rows of cells that have a pair to confirm; columns of ``_MEMBER``."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        u, v = across(
+            _signatures(table["mark"]), _bands(table["keys"]), table["group"].to_numpy(), table["side"].to_numpy(), table["band"][0].as_py()
+        )
+        return table.take(pa.array(np.unique(np.concatenate([u, v]))))
+
+    return cells.select(*[c.split()[0] for c in _MEMBER.split(", ")]).groupBy("cell").applyInArrow(run, _MEMBER)
+
+
+def _joined(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v), a forest of each cell, among the pairs of its rows whose texts (node, text) are similar."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_pylist()
+        u, v = across(
+            _signatures(table["mark"]), _bands(table["keys"]), table["group"].to_numpy(), table["side"].to_numpy(), table["band"][0].as_py()
+        )
+        sets = [shingle_set(t) for t in table["text"].to_pylist()]
+        return _forest(nodes, sets, zip(u.tolist(), v.tolist()))
+
+    return rows.join(texts, "node").select(*[c.split()[0] for c in _MEMBER.split(", ")], "text").groupBy("cell").applyInArrow(run, "u long, v long")
+
+
+def _forest(nodes: list[int], sets: list[np.ndarray], pairs) -> pa.Table:
+    """The similar ones of the pairs of places; pairs of one local component need no comparison."""
+    root = list(range(len(nodes)))
 
     def find(x):
         while root[x] != x:
@@ -142,15 +183,22 @@ def _confirm(table: pa.Table) -> pa.Table:
         return x
 
     links = []
-    for u, others in zip(nodes, table["others"].to_pylist()):
-        for v in others:
-            a, b = find(u), find(v)
-            if a != b and similar(sets[u], sets[v]):
-                root[a] = b
-                links.append((u, v))
+    for u, v in pairs:
+        a, b = find(u), find(v)
+        if a != b and similar(sets[u], sets[v]):
+            root[a] = b
+            links.append((nodes[u], nodes[v]))
     return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
 
+def _confirm(table: pa.Table) -> pa.Table:
+    """The pairs of a cell that are similar; pairs of one local component need no comparison."""
+    nodes = table["node"].to_pylist()
+    place = {n: i for i, n in enumerate(nodes)}
+    pairs = [(place[u], place[v]) for u, others in zip(nodes, table["others"].to_pylist()) for v in others]
+    return _forest(nodes, [shingle_set(t) for t in table["text"].to_pylist()], pairs)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v) among ``pairs`` (cell, u, v) whose texts (node, text) are similar; a cell's are read once."""
     ends = pairs.select("cell", F.col("u").alias("node"), F.col("v").alias("other")).unionByName(
@@ -160,11 +208,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return asked.join(texts, "node").select("cell", "node", "others", "text").groupBy("cell").applyInArrow(_confirm, "u long, v long")
 
 
+def _of_stars(links: DataFrame, cell: int) -> DataFrame:
+    """Links of the trie join as pairs (cell, u, v): the links of one star's centre, a large star in several cells."""
+    stars = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    sizes = stars.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / cell).cast("long"))
+    return stars.join(sizes, "v").select(F.xxhash64("v", part).alias("cell"), "u", "v")
+
+
 def _met(rows: DataFrame, cell: int) -> DataFrame:
-    """Cells in which all rows of different groups meet that share a key. ``rows``: key, n, node, group."""
+    """Cells in which all rows of different groups meet that share a key. ``rows``: key, band, n, node, group.
+
+    Rows of one side of a cell meet in another cell, or are of one group; a side of -1 meets all.
+    """
     many = rows.groupBy("key").agg((F.min("group") < F.max("group")).alias("many")).filter("many").select("key")
     rows = rows.join(many, "key")
-    small = rows.filter(F.col("n") <= cell).select(F.col("key").alias("cell"), "node", "group")
+    small = rows.filter(F.col("n") <= cell).select(F.col("key").alias("cell"), "band", "node", "group", F.lit(-1).alias("side"))
     half = max(1, cell // 2)
     zero = F.lit(0).cast("long")
     hot = rows.filter(F.col("n") > cell)
@@ -178,11 +237,12 @@ def _met(rows: DataFrame, cell: int) -> DataFrame:
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("dense"), F.col("nd")).otherwise(F.col("nr"))))
     with_rest = dealt.withColumn("at", F.explode(F.sequence(zero, F.col("nr") - 1)))
     rest = F.xxhash64("key", F.lit("rest"), F.least("own", "at"), F.greatest("own", "at"))
+    side = F.when(F.col("dense"), 0).when(F.col("own") == F.col("at"), -1).otherwise((F.col("own") > F.col("at")).cast("int"))
     first = with_rest.select(
-        F.when(F.col("dense"), F.xxhash64("key", F.lit("dense"), "own", "at")).otherwise(rest).alias("cell"), "node", "group"
+        F.when(F.col("dense"), F.xxhash64("key", F.lit("dense"), "own", "at")).otherwise(rest).alias("cell"), "band", "node", "group", side.alias("side")
     )
     with_dense = dealt.filter(~F.col("dense")).withColumn("at", F.explode(F.sequence(zero, F.col("nd") - 1)))
-    second = with_dense.select(F.xxhash64("key", F.lit("dense"), "at", "own").alias("cell"), "node", "group")
+    second = with_dense.select(F.xxhash64("key", F.lit("dense"), "at", "own").alias("cell"), "band", "node", "group", F.lit(1).alias("side"))
     return small.unionByName(first).unionByName(second)
 
 
@@ -198,28 +258,31 @@ def one_of_each_group(docs: DataFrame, id_col: str, text_col: str, cell: int = C
 
     def run(batches):
         for batch in batches:
-            nodes, keys, marks = [], [], []
+            nodes, words, keys, marks = [], [], [], []
             for text in batch[2].to_pylist():
                 mine = shingle_set(text)
                 nodes.append(xxhash.xxh64_intdigest(mine.tobytes(), SEED))
+                words.append(majority(mine))
                 least = minima(mine)
                 keys.append(band_keys(least) if len(mine) else [])
                 marks.append((least & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch[0], batch[1], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["id", "hash", "node", "keys", "mark"],
+                [batch[0], batch[1], *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (nodes, words)), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(marks, pa.binary())],
+                names=["id", "hash", "node", "word", "keys", "mark"],
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col))
     kind = rows.schema["id"].dataType.simpleString()
-    marked = rows.mapInArrow(run, f"id {kind}, hash long, node long, keys array<long>, mark binary")
+    marked = rows.mapInArrow(run, f"id {kind}, hash long, node long, word long, keys array<long>, mark binary")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     # a class: equal sets of shingles; its number is a hash of them
-    classes = stored(marked.groupBy("node").agg(F.min(row).alias("least"), F.first("keys").alias("keys"), F.first("mark").alias("mark")), "classes")
-    spread = classes.select("node", F.explode("keys").alias("key"))
+    first = [F.first(c).alias(c) for c in ("word", "keys", "mark")]
+    classes = stored(marked.groupBy("node").agg(F.min(row).alias("least"), *first), "classes")
+    spread = classes.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(spread.join(sizes, "key"), "met")
-    signed = classes.select("node", "mark")
+    signed = classes.select("node", "mark", "keys")
 
     mark = "_text_hash"
     while mark in docs.columns:
@@ -229,16 +292,19 @@ def one_of_each_group(docs: DataFrame, id_col: str, text_col: str, cell: int = C
 
     blocks = F.ceil(F.col("n") / cell).cast("long")
     own = F.when(F.col("n") <= cell, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), blocks)))
-    likely = stored(_pairs(met.select(own.alias("cell"), "node", F.lit(0).cast("long").alias("group")).join(signed, "node"), False), "pairs")
+    prints = classes.select("node", "word", F.lit(None).cast("binary").alias("more"))
+    close = _of_stars(trie_links(prints, BITS), cell)
+    trees = _likely(met.select(own.alias("cell"), "node").join(signed.drop("keys"), "node")).select("cell", "u", "v")
+    likely = stored(close.unionByName(trees), "pairs")
     asked = likely.select(F.explode(F.array("u", "v")).alias("node")).unionByName(met.filter(F.col("n") > cell).select("node")).distinct()
     wanted = classes.join(asked, "node").select("node", "least.id", "least.hash").alias("k")
     texts = held.join(wanted, of_row).select("k.node", F.col(f"d.{text_col}").alias("text")).dropDuplicates(["node"])
     texts = stored(texts, "texts")
     links = stored(confirmed(likely, texts), "links")
     roots = stored(merge_stars(links), "roots")
-    grouped = met.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("group"))
-    open_ = _pairs(_met(stored(grouped, "grouped"), cell).join(signed, "node"), True).join(likely.select("u", "v"), ["u", "v"], "left_anti")
-    further = stored(confirmed(open_, texts), "links")
+    grouped = met.join(roots, "node", "left").select("key", "band", "n", "node", F.coalesce("root", "node").alias("group"))
+    open_ = _paired(_met(stored(grouped, "grouped"), cell).join(signed, "node"))
+    further = stored(_joined(stored(open_, "paired"), texts), "links")
     if not further.isEmpty():
         roots = merge_stars(links.unionByName(further))
     last = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -348,77 +348,9 @@ def near_duplicates(
     )
 
 
-# --- groups by the similarity of word shingles ------------------------------------------------
-
-SHINGLE = 5
-WORD_BITS = 7
-SHINGLE_BITS = 48  # of 256: cosine about 0.83, which texts with a Jaccard similarity of 0.8 exceed
-GROUP_LEAF = 4096
-
-
-def _majority(hashes: np.ndarray) -> bytes:
-    """SimHash of rows of 64-bit hashes (rows x words)."""
-    counts = np.zeros(hashes.shape[1] * 64, np.int64)
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of 64-bit hashes; 0 without any."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        raw = np.ascontiguousarray(hashes[at : at + CHUNK]).view(np.uint8)
-        counts += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes)).tobytes()
-
-
-def sketch(text: str | None, shingle: int = SHINGLE) -> tuple[int, bytes]:
-    """64-bit SimHash of a text's distinct words and 256-bit SimHash of its distinct shingles; zero without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0, bytes(32)
-    digest = xxhash.xxh64_digest
-    each = np.frombuffer(b"".join([digest(w, SEED) for w in set(words)]), "<u8")
-    n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    last = ends[min(shingle, len(words)) - 1 :].tolist()
-    whole = np.unique(np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, last)]), "<u8"))
-    with np.errstate(over="ignore"):
-        wide = whole[:, None] + np.arange(4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        wide = (wide ^ (wide >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        wide = (wide ^ (wide >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        wide ^= wide >> np.uint64(31)
-    return int.from_bytes(_majority(each[:, None]), "big"), _majority(wide)
-
-
-def one_of_each_group(docs: DataFrame, id_col: str, text_col: str, leaf: int = GROUP_LEAF) -> DataFrame:
-    """``docs`` with one row of each group of near copies.
-
-    Two texts are linked if the SimHashes of their distinct words differ in at most ``WORD_BITS`` of 64 bits, which the trie join
-    finds, and those of their distinct five-word shingles in at most ``SHINGLE_BITS`` of 256. A group is what links connect; its
-    row of the smallest id stays (null ids last, then the smaller text hash).
-
-    Defined cases: null and blank texts are copies of each other; fewer than five words are one shingle; of repeated rows
-    one stays; an empty table stays empty; all other columns are passed on.
-    """
-
-    def run(batches):
-        for batch in batches:
-            found = [sketch(t) for t in batch[2].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch[0], batch[1], pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)), pa.array([f[1] for f in found], pa.binary())],
-                names=["id", "hash", "word", "more"],
-            )
-
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col))
-    kind = rows.schema["id"].dataType.simpleString()
-    marked = rows.mapInArrow(run, f"id {kind}, hash long, word long, more binary")
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    # a class: equal sketches; its number is a hash of them
-    classes = stored(
-        marked.groupBy("word", "more").agg(F.min(first).alias("least")).withColumn("node", F.xxhash64("word", "more")), "classes"
-    )
-    roots = merge_stars(trie_links(classes.select("node", "word", "more"), WORD_BITS, leaf, SHINGLE_BITS))
-    grouped = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.hash")
-    mark = "_text_hash"
-    while mark in docs.columns:
-        mark += "_"
-    held = docs.withColumn(mark, F.xxhash64(text_col)).alias("d")
-    met = held.join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (F.col(f"d.{mark}") == F.col("k.hash")))
-    return met.select("d.*").dropDuplicates([id_col, mark]).drop(mark)
+        counts += np.unpackbits(np.ascontiguousarray(hashes[at : at + CHUNK]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")

@@ -95,3 +95,40 @@ def test_texts_below_the_similarity_stay(spark, documents):
     rows = [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, documents.schema)
     assert corpus_pipeline.drop_near_copies(spark, frame, "").count() == len(texts)
+
+
+def test_rows_out_grow_with_the_rows(spark):
+    # two large unlike groups that share bands, and many texts just below the similarity of one text
+    from pyspark.sql import functions as F
+
+    from lanewise.llm import near_copies
+
+    rng = random.Random(9)
+    counts = {}
+    for size in (60, 300):
+        words = words_of(rng, 100)
+        texts = [" ".join(words[:90] + words_of(rng, 14)) for _ in range(size)]
+        classes = [(i, minima(shingle_set(t))) for i, t in enumerate(texts)]
+        rows = [(7, 3, i, i, -1, bytes((m & 255).astype("uint8")), band_keys(m).tolist()) for i, m in classes]
+        cells = spark.createDataFrame(rows, near_copies._MEMBER)
+        paired = near_copies._paired(cells.withColumn("band", F.lit(0)))
+        links = near_copies._joined(paired, spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+        counts[size] = paired.count(), links.count()
+        assert counts[size][0] <= size and counts[size][1] < size
+    assert counts[300][0] > 60
+
+
+def test_trie_links_are_confirmed(spark, monkeypatch):
+    # without any bands the trie still finds the closest copies
+    from lanewise.llm import near_copies
+
+    rng = random.Random(2)
+    texts = []
+    for _ in range(10):
+        words = words_of(rng, 400)
+        texts += [" ".join(words), " ".join(words[:-1] + ["new"])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "tree", None)
+    monkeypatch.setattr(near_copies, "band_keys", lambda least: least[:0].view("int64"))
+    kept = {r.doc_id for r in one_of_each_group(frame, "doc_id", "text").collect()}
+    assert len(kept) < 15 and all(i in kept or i - 1 in kept for i in range(20))
