@@ -37,7 +37,9 @@ SHARD = 1 << 20
 #: Places tried at a time for a state's children, and how often, before they go to the end.
 TRIES, ROUNDS = 128, 8
 #: Ids per row of the encoded texts, and sums held by a task before they are given out.
-ROW_IDS, HOLD = 1 << 19, 1 << 21
+ROW_IDS, HOLD = 1 << 17, 1 << 20
+#: Bytes of text taken at a time.
+SLICE_BYTES = 2 << 20
 
 #: What ends a piece, as a class of a regular expression.
 PIECE_END = r"[.,;:!?\n-\r]"
@@ -75,7 +77,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """lang, word, n of all words of ``texts`` (lang, text)."""
 
     def run(batches):
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE_BYTES):
             words, codes, counts = _words(batch[1])
             langs, lang = _groups(batch[0])
             key = np.repeat(lang, counts) * len(words) + codes
@@ -171,7 +173,7 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``ids``: the texts as little-endian 32-bit word ids, 0 between runs; words without a frequent neighbour are left out."""
 
     def run(batches):
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE_BYTES):
             words, codes, counts = _words(batch[1])
             langs, lang = _groups(batch[0])
             lang = np.repeat(lang, counts)
