@@ -5,13 +5,14 @@ document posterior probabilities of the domains. A document's tokens count towar
 these shares. Rates, not negative and one at the start, are then fitted by accelerated
 projected-gradient least squares: a round sums the rated tokens per domain over all documents (a few
 numbers reach the driver), and every rate moves along its document's posteriors and is cut at
-zero. A rate is a function of the gradients so far, so rounds only read the stored posteriors and
+zero. A rate is a function of the gradients since it was last stored, so rounds only read stored rows and
 nothing is kept between them but one row of numbers each. SQL functions only.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-FEATURES = 4096
+FEATURES = 1 << 16  # with few buckets the rare words that tell domains apart share theirs with common ones
 SAMPLE = 10_000
-TRUST = 40.0  # words after which more evidence hardly counts
+TRUST = 400.0  # words after which more evidence hardly counts
 SMOOTH = 0.5
 ROUNDS = 200
 TOLERANCE = 1e-4
+EVERY = 8  # rounds after which rates are stored
 
 
 def word_buckets(text: Column, features: int = FEATURES) -> Column:
@@ -102,11 +104,12 @@ def with_posteriors(docs: DataFrame, text_col: str, priors: list[float], likely:
     )
 
 
-def rate_of(posteriors: Column, steps: list[tuple[list[float], float]]) -> tuple[Column, Column]:
-    """Rate and extrapolated rate after the given rounds (scaled gradient, momentum)."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def rate_of(posteriors: Column, steps: list[tuple[list[float], float]], start: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
+    """Rate and extrapolated rate after the given rounds (scaled gradient, momentum) from ``start``, one by default."""
+    r, y = start or (F.lit(1.0), F.lit(1.0))
     if not steps:
-        return F.lit(1.0), F.lit(1.0)
+        return r, y
+    start = F.struct(r.alias("r"), y.alias("y"))
     rounds = F.transform(
         F.split(F.lit(";".join(",".join(repr(float(v)) for v in [beta, *g]) for g, beta in steps)), ";"),
         lambda s: F.split(s, ",").cast("array<double>"),
@@ -135,7 +138,9 @@ def fit_rates(members: DataFrame, wanted: list[float], rounds: int = ROUNDS, tol
 
     ``members``: posteriors, tokens (stored). Minimises half the squared gap between rated and wanted totals, weighted by
     the inverse of the domains' Gram matrix, under which a full step is safe and few rounds are needed. Steps are
-    scaled by a document's tokens; the rounds end when every gap is below ``tolerance`` of all tokens. Shares that can't be met are approached as least squares do; a sum over one asks for more tokens
+    scaled by a document's tokens, and momentum starts anew whenever the weighted gap has grown. The rounds end when every gap is below
+    ``tolerance`` of all tokens, or when shares that can't be met are as near as least squares bring them (a step would move less than
+    ``tolerance`` of all tokens); a warning tells of rounds that ran out before. A sum over one asks for more tokens
     than there are, which takes rates above one.
     """
     k = len(wanted)
@@ -152,21 +157,38 @@ def fit_rates(members: DataFrame, wanted: list[float], rounds: int = ROUNDS, tol
     # a floor on the eigenvalues keeps domains that no document tells apart from exploding
     inverse = np.linalg.inv(matrix + 1e-6 * np.trace(matrix) * np.eye(k))
     steps: list[tuple[list[float], float]] = []
-    momentum = 1.0
+    fresh = 0
+    held = members.select("tokens", "posteriors", F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    momentum, before = 1.0, math.inf
     for _ in range(rounds):
-        r, y = rate_of(F.col("posteriors"), steps)
-        state = members.select("tokens", "posteriors", r.alias("r"), y.alias("y"))
+        r, y = rate_of(F.col("posteriors"), steps[fresh:], (F.col("r"), F.col("y")))
+        state = held.select("tokens", "posteriors", r.alias("r"), y.alias("y"))
         sums = state.agg(*[F.sum(tokens * F.col(c) * p(i)).alias(f"{c}{i}") for c in ("r", "y") for i in range(k)]).first()
         gap = np.array([sums[f"r{i}"] for i in range(k)]) / whole - wanted
         if np.abs(gap).max() < tolerance:
-            break
+            return steps
+        if len(steps) - fresh == EVERY:
+            held, fresh = stored(state, "rates"), len(steps)
+            if _movement(held, (inverse @ gap).tolist()) < tolerance * whole:
+                return steps
         slope = np.array([sums[f"y{i}"] for i in range(k)]) / whole - wanted
+        weighted = float(gap @ inverse @ gap)
+        momentum = 1.0 if weighted > before else momentum
+        before = weighted
         after = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         steps.append(((inverse @ slope).tolist(), (momentum - 1) / after))
         momentum = after
+    warnings.warn(f"after {rounds} rounds the domains are up to {np.abs(gap).max():.2g} of all tokens from their targets", stacklevel=2)
     return steps
 
 
+def _movement(state: DataFrame, slope: list[float]) -> float:
+    """Tokens that a step along ``slope`` moves: zero where no step brings the domains nearer."""
+    along = sum((F.lit(g) * F.col("posteriors")[i] for i, g in enumerate(slope)), F.lit(0.0))
+    moved = F.abs(F.col("r") - F.greatest(F.lit(0.0), F.col("r") - along))
+    return state.agg(F.sum(F.col("tokens") * moved).alias("all")).first()["all"]
+
+
 def mix(
     docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, targets: dict[str, float], sample: int = SAMPLE
 ) -> DataFrame:

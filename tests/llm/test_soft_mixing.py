@@ -94,3 +94,41 @@ def test_odd_tables(spark, documents):
     assert mix(documents.limit(0), labels, "doc_id", "text", TARGETS).count() == 0
     even = mix(documents, labels.limit(0), "doc_id", "text", {"a": 1.0, "b": 1.0}).collect()
     assert all(r.posteriors == pytest.approx([0.5, 0.5]) and r.rate == pytest.approx(1) for r in even)
+
+
+def test_stored_rounds_equal_a_plain_run(spark):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([2.0, 2.0, 2.0], 60)
+    n = rng.integers(1, 200, 60)
+    members = spark.createDataFrame([(x.tolist(), int(m)) for x, m in zip(p, n)], "posteriors array<double>, tokens long")
+    shares = (p * n[:, None]).sum(axis=0) / n.sum()
+    # within reach, but only after many rounds, and out of reach
+    for factors, met in (([0.5, 1.6, 0.9], True), ([3.0, 0.0, 0.0], False)):
+        wanted = shares * np.array(factors)
+        steps = fit_rates(members, wanted.tolist(), rounds=400)
+        r, y = np.ones(60), np.ones(60)
+        for g, beta in steps:
+            new = np.maximum(0, y - p @ np.array(g))
+            r, y = new, new + beta * (new - r)
+        gap = (r * n) @ p / n.sum() - wanted
+        assert (np.abs(gap).max() < 1e-4) == met
+        gram = (p * n[:, None]).T @ p / n.sum()
+        moved = np.abs(r - np.maximum(0, r - p @ np.linalg.solve(gram, gap)))
+        assert met or (len(steps) < 400 and (moved * n).sum() / n.sum() < 2e-4)
+    with pytest.warns(UserWarning, match="after 9 rounds"):
+        fit_rates(members, (shares * np.array([3.0, 0.0, 0.0])).tolist(), rounds=9)
+
+
+def test_rare_words_tell_domains_apart(spark):
+    rng = np.random.default_rng(3)
+    common = [f"w{i}" for i in range(20_000)]
+    rows = []
+    for i in range(600):
+        words = rng.choice(common, 200).tolist()
+        rows.append((i, " ".join(words + (["vile"] * 3 if i % 10 == 0 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "toxic" if i % 10 == 0 else "clean") for i in range(0, 600, 3)] + [(i, "toxic") for i in range(0, 600, 10)], "doc_id long, domain string")
+    from lanewise.llm.soft_mixing import resample
+
+    kept = {r.doc_id for r in resample(docs, labels, "doc_id", "text", {"clean": 1.0, "toxic": 0.25}).collect()}
+    assert sum(i % 10 != 0 for i in kept) > 0.9 * 540 and sum(i % 10 == 0 for i in kept) < 40
