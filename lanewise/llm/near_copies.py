@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 from .simhash_trie import SEED, majority, merge_stars, trie_links
+from .words import slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,6 +33,8 @@ CELL = 256
 #: Differing bits of fingerprints that the trie join links.
 BITS = 3
 CHUNK = 4096
+#: Bytes of text taken at a time.
+SLICE = 1 << 20
 
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -257,7 +260,7 @@ def one_of_each_group(docs: DataFrame, id_col: str, text_col: str, cell: int = C
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2, SLICE):
             nodes, words, keys, marks = [], [], [], []
             for text in batch[2].to_pylist():
                 mine = shingle_set(text)

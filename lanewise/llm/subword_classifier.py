@@ -25,9 +25,9 @@ DIM = 16
 EPOCHS = 6
 RATE = 0.5
 SAMPLE = 3000
-CACHE_WORDS = 300_000
-PART = 20_000
-SLICE = 4 << 20
+CACHE_WORDS = 120_000
+PART = 10_000
+SLICE = 2 << 20
 ACCEPT = 0.3
 
 
