@@ -246,18 +246,14 @@ def swa_view_lines(spark, sf):
     "top_corridor_lines",
     f"""WITH {SCREENING}, best AS (SELECT road_name, functional_class, max(ped_crash_score) AS crash_score FROM scored
       WHERE ped_crash_score > 0 GROUP BY 1, 2)
-    SELECT crash_score, count(*) AS corridors, cast(count(*) AS bigint) AS with_line FROM best GROUP BY 1
-      ORDER BY crash_score DESC LIMIT 3""",
+    SELECT crash_score, count(*) AS corridors, cast(count(*) AS bigint) AS with_line FROM best GROUP BY 1""",
 )
 def top_corridor_lines(spark, sf):
-    """The three best scores: how many corridors, and how many of them have a line of their own length."""
+    """Every score: how many corridors, and how many of them have a line of their own length."""
     _, sliding, _ = screening(spark, sf)
-    top = ranking.top_corridors(sliding, "ped", 1_000_000, edges(spark, sf))
+    top = ranking.top_corridors(sliding, "ped", 2**31 - 1, edges(spark, sf))
     fits = F.abs(line_length(F.col("geom")) - F.col("length")) < 1e-3
-    return (
-        top.groupBy("crash_score").agg(F.count(F.lit(1)).alias("corridors"), F.count_if(fits).alias("with_line"))
-        .orderBy(F.desc("crash_score")).limit(3)
-    )
+    return top.groupBy("crash_score").agg(F.count(F.lit(1)).alias("corridors"), F.count_if(fits).alias("with_line"))
 
 
 @query(
@@ -272,22 +268,42 @@ def best_window_per_road(spark, sf):
 
 
 
+def _in_two(df, y):
+    return df.withColumn("study_id", (1 + F.floor(y / 200) % 2).cast("int"))
+
+
+def _two_studies_roads(spark, sf):
+    return _in_two(fx.roads(spark, sf), F.element_at("geom", 1)["y"])
+
+
+def _two_studies_crashes(spark, sf):
+    """Even and odd rows of all crashes; those of the second study happened three years earlier."""
+    crashes = _in_two(fx.crashes(spark, sf), F.col("y"))
+    return crashes.withColumn("crash_year", F.col("crash_year") - F.when(F.col("study_id") == 2, 3).otherwise(0))
+
+
+@query(
+    "top_corridors_own_count",
+    f"""WITH {SCREENING}, best AS (SELECT cast(1 + cast(start_y / 200 AS int) % 2 AS int) AS study_id, road_name, functional_class,
+      max(ped_crash_score) AS crash_score FROM scored WHERE ped_crash_score > 0 GROUP BY 1, 2, 3)
+    SELECT study_id, cast(row_number() OVER (PARTITION BY study_id ORDER BY crash_score DESC) AS int) AS rank, crash_score FROM best
+    QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY crash_score DESC) <= CASE study_id WHEN 1 THEN 10 ELSE 17 END""",
+)
+def top_corridors_own_count(spark, sf):
+    """Two studies: the first has the usual number of corridors, the second its own."""
+    r = swa.run_swa(_two_studies_roads(spark, sf), _two_studies_crashes(spark, sf), swa.SwaParams())
+    studies = spark.range(1, 3).select(F.col("id").cast("int").alias("study_id"), F.when(F.col("id") == 2, 17).alias("top_streets_threshold"))
+    return ranking.top_corridors(r.sliding, "ped", studies=studies).select("study_id", "rank", "crash_score")
+
+
 @query(
     "multi_study_scores",
     f"""WITH {SCREENING} SELECT cast(1 + cast(start_y / 200 AS int) % 2 AS int) AS study_id, functional_class,
       cast(sum(ped_k) AS bigint) AS ped_k, cast(sum(mv_crash_score) AS bigint) AS mv_crash_score FROM scored GROUP BY 1, 2""",
 )
 def multi_study_scores(spark, sf):
-    """Two studies in one job: even and odd rows of roads, each with its crashes."""
-
-    def split(df, y):
-        return df.withColumn("study_id", (1 + F.floor(y / 200) % 2).cast("int"))
-
-    roads = split(fx.roads(spark, sf), F.element_at("geom", 1)["y"])
-    crashes = split(fx.crashes(spark, sf), F.col("y"))
-    newest = fx.crashes(spark, sf).agg(F.max("crash_year")).scalar()
-    crashes = crashes.filter(F.col("crash_year") > newest - 5)
-    r = swa.run_swa(roads, crashes, swa.SwaParams(years=None))
+    """Two studies in one job: even and odd rows of roads, each with all of its crashes and its own latest year."""
+    r = swa.run_swa(_two_studies_roads(spark, sf), _two_studies_crashes(spark, sf), swa.SwaParams())
     return r.sliding.groupBy("study_id", "functional_class").agg(
         F.sum("ped_k").alias("ped_k"), F.sum("mv_crash_score").alias("mv_crash_score")
     )
@@ -312,14 +328,7 @@ def _own_params_sql():
 
 @query("multi_study_own_params", _own_params_sql())
 def multi_study_own_params(spark, sf):
-    """Two studies in one job, each with its own windows, join distance and weights."""
-
-    def split(df, y):
-        return df.withColumn("study_id", (1 + F.floor(y / 200) % 2).cast("int"))
-
-    crashes = fx.crashes(spark, sf)
-    # The latest year of all crashes counts for both studies, as in the check.
-    crashes = crashes.filter(F.col("crash_year") > crashes.agg(F.max("crash_year")).scalar() - 5)
+    """Two studies in one job, each with its own windows, join distance, weights and latest year."""
     own = F.create_map(*[x for s, w in _OWN.items() for x in (F.lit(s), F.lit(w))])
     studies = spark.range(1, 3).select(
         F.col("id").cast("int").alias("study_id"),
@@ -328,8 +337,7 @@ def multi_study_own_params(spark, sf):
         F.when(F.col("id") == 2, 100).alias("crash_join_distance"),
         F.when(F.col("id") == 2, own).alias("crash_weights"),
     )
-    roads = split(fx.roads(spark, sf), F.element_at("geom", 1)["y"])
-    r = swa.run_swa(roads, split(crashes, F.col("y")), study_params(studies))
+    r = swa.run_swa(_two_studies_roads(spark, sf), _two_studies_crashes(spark, sf), study_params(studies))
     return r.sliding.groupBy("study_id", "functional_class").agg(
         F.count(F.lit(1)).alias("windows"), F.sum("ped_k").alias("ped_k"), F.sum("mv_crash_score").alias("mv_crash_score")
     )

@@ -443,6 +443,54 @@ def check_inputs(spark, sf):
     )
 
 
+_STUDY_OF = "(1 + cast(floor({} / 200) AS int) % 2)"
+_STUDY_CHECK = _CHECK.replace("SELECT", "SELECT study_id,", 1)
+
+
+@query(
+    "multi_study_checks",
+    f"""WITH {BASE}, {fx.cte('fx_area')}, all_studies AS (SELECT cast(unnest(range(1, 4)) AS int) AS study_id),
+    r0 AS (SELECT *, {_STUDY_OF.format('y0')} AS study_id FROM (SELECT x0, x1, y0, functional_class FROM fx_roads) t),
+    c0 AS (SELECT {_STUDY_OF.format('y')} AS study_id, crash_year - CASE WHEN {_STUDY_OF.format('y')} = 2 THEN 3 ELSE 0 END AS crash_year,
+      CASE WHEN {_STUDY_OF.format('y')} = 2 THEN 'K' ELSE crash_severity END AS crash_severity, crash_mode FROM fx_crashes),
+    r1 AS (SELECT study_id, count(*) AS n, sum(x1 - x0) / 1609.34e0 AS miles,
+      count(*) FILTER (functional_class NOT IN ({", ".join(f"'{c}'" for c in [*d.FUNCTIONAL_CLASSES, OMIT])})) AS bad FROM r0 GROUP BY 1),
+    r AS (SELECT study_id, coalesce(n, 0) AS n, miles, bad FROM all_studies LEFT JOIN r1 USING (study_id)),
+    a AS (SELECT study_id, CASE WHEN study_id <> 2 THEN (SELECT count(*) FROM fx_area) ELSE 0 END AS n FROM all_studies),
+    newest AS (SELECT study_id, max(crash_year) AS y FROM c0 GROUP BY 1),
+    c1 AS (SELECT study_id, count(*) AS n, min(crash_year) AS y0, max(crash_year) AS y1, count(*) FILTER (crash_year IS NULL) AS no_year,
+       count(*) FILTER (crash_year < y - 4) AS old, count(*) FILTER (crash_mode NOT IN ('ped', 'bike', 'mv', '{OMIT}')) AS bad_mode,
+       count(*) FILTER (crash_severity NOT IN ('K', 'A', 'B', 'C', 'O', '{OMIT}')) AS bad_severity,
+       count(*) FILTER (crash_severity IN ('A', 'B', 'C', 'O')) AS non_fatal FROM c0 JOIN newest USING (study_id) GROUP BY 1),
+    c AS (SELECT study_id, coalesce(n, 0) AS n, c1.y0, y1, no_year, old, bad_mode, bad_severity, non_fatal FROM all_studies LEFT JOIN c1 USING (study_id))
+    {_STUDY_CHECK.format('area_present', 'n = 0', 'critical', 'n', 'a')}
+    UNION ALL {_STUDY_CHECK.format('roads_present', 'n = 0', 'critical', 'n', 'r')}
+    UNION ALL {_STUDY_CHECK.format('road_miles_limit', 'miles > 100', 'info', 'floor(miles)', 'r')}
+    UNION ALL {_STUDY_CHECK.format('road_class_domain', 'bad > 0', 'critical', 'bad', 'r')}
+    UNION ALL {_STUDY_CHECK.format('crashes_present', 'n = 0', 'critical', 'n', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_count_limit', 'n > 250000', 'info', 'n', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_map_warning', 'n > 1000', 'info', 'n', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_year_known', 'y1 IS NULL', 'critical', 'no_year', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_year_missing', 'no_year > 0', 'info', 'no_year', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_year_span', 'y0 > y1 - 4', 'info', 'y1 - y0 + 1', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_year_old', 'old > 0', 'info', 'old', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_mode_domain', 'bad_mode > 0', 'critical', 'bad_mode', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_severity_domain', 'bad_severity > 0', 'critical', 'bad_severity', 'c')}
+    UNION ALL {_STUDY_CHECK.format('crash_non_fatal_missing', 'coalesce(non_fatal, 0) = 0', 'info', 'non_fatal', 'c')}""",
+)
+def multi_study_checks(spark, sf):
+    """Lines per study: the second has no area, fatal crashes only and another latest year, the third nothing but an area."""
+    study = lambda y: (1 + F.floor(y / 200) % 2).cast("int")
+    second = F.col("study_id") == 2
+    crashes = fx.crashes(spark, sf).withColumn("study_id", study(F.col("y")))
+    crashes = crashes.withColumn("crash_year", F.col("crash_year") - F.when(second, 3).otherwise(0))
+    crashes = crashes.withColumn("crash_severity", F.when(second, "K").otherwise(F.col("crash_severity")))
+    roads = fx.roads(spark, sf).withColumn("study_id", study(F.element_at("geom", 1)["y"]))
+    area = fx.area(spark, sf).withColumn("study_id", F.explode(F.array(F.lit(1), F.lit(3))))
+    studies = spark.range(1, 4).select(F.col("id").cast("int").alias("study_id"))
+    return quality.check_inputs(roads, crashes, area, max_miles=100, large_crashes=1000, studies=studies)
+
+
 STUDIES = """studies AS (
   SELECT s_suppkey AS study_id,
     CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE cast(25 + 5 * (s_suppkey % 40) AS double) / 100 END AS sliding_window_length,
@@ -827,12 +875,12 @@ def parse_lookup(spark, sf):
 
 @query(
     "repeated_crash_ids",
-    f"""WITH {BASE} SELECT crash_mode, count(DISTINCT crash_id - crash_id % 3) AS crashes FROM fx_crashes WHERE crash_id % 3 = 0 GROUP BY 1""",
+    f"""WITH {BASE} SELECT crash_mode, count(DISTINCT crash_id) AS crashes FROM fx_crashes GROUP BY 1""",
 )
 def repeated_crash_ids(spark, sf):
-    """Every third crash twice, once moved far away: one row per id stays, the one near a road."""
-    c = fx.crashes(spark, sf).filter(F.col("crash_id") % 3 == 0)
-    moved = c.withColumn("x", F.col("x") + 1e7).withColumn("crash_mode", F.col("crash_mode"))
+    """Every crash twice, once moved far away: one row per id stays, the one near a road."""
+    c = fx.crashes(spark, sf)
+    moved = c.withColumn("x", F.col("x") + 1e7)
     found = summary.nearest_road(c.unionByName(moved), fx.roads(spark, sf), JOIN)
     return found.groupBy("crash_mode").agg(F.count(F.lit(1)).alias("crashes"))
 

@@ -27,26 +27,42 @@ def check_inputs(
     max_miles: float = d.MAX_ROAD_MILES,
     max_crashes: int = d.MAX_CRASHES,
     large_crashes: int = d.LARGE_CRASH_COUNT,
+    studies: DataFrame | None = None,
 ) -> DataFrame:
     """Presence, year coverage, code domains and volumes, in one pass per input.
 
+    With ``studies`` (distinct ``study_id``) every study gets its own lines, under its id and against its own latest year, those without
+    rows in an input included; without it all rows are checked as one study.
+
     The volume limits only inform: they guard a single machine's memory elsewhere, not a
     cluster's, and callers may set their own.
     """
     classes = [*d.FUNCTIONAL_CLASSES, d.OMIT]
-    r = roads.agg(
+    keys = [] if studies is None else ["study_id"]
+
+    def summed(df, *sums):
+        if not keys:
+            return df.agg(*sums)
+        return studies.select(*keys).join(df.groupBy(*keys).agg(*sums), keys, "left").fillna(0, "n")
+
+    r = summed(
+        roads,
         F.count(F.lit(1)).alias("n"),
         (F.sum(line_length(F.col("geom"))) / d.METERS_PER_MILE).alias("miles"),
         F.count_if(~F.col("functional_class").isin(classes)).alias("bad"),
     )
-    years = crashes.groupBy("crash_year").agg(
+    years = crashes.groupBy(*keys, "crash_year").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(~F.col("crash_mode").isin([*d.MODES, d.OMIT])).alias("bad_mode"),
         F.count_if(~F.col("crash_severity").isin([*d.SEVERITIES, d.OMIT])).alias("bad_severity"),
         F.count_if(F.col("crash_severity").isin(d.SEVERITIES[1:])).alias("non_fatal"),
     )
     y = F.col("crash_year")
-    c = years.withColumn("_last", years.agg(F.max("crash_year")).scalar()).agg(
+    # a row per year and study
+    last_year = F.max("crash_year").alias("_last")
+    dated = years.join(years.groupBy(*keys).agg(last_year), keys) if keys else years.withColumn("_last", years.agg(last_year).scalar())
+    c = summed(
+        dated,
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.min(y).alias("first_year"),
         F.max(y).alias("last_year"),
@@ -60,10 +76,11 @@ def check_inputs(
     def nz(name):
         return F.coalesce(F.col(name), F.lit(0))
 
-    area_lines = area.agg(F.count(F.lit(1)).alias("n")).select(
-        F.array(_line("area_present", F.col("n") == 0, CRITICAL, F.col("n"))).alias("l")
+    area_lines = summed(area, F.count(F.lit(1)).alias("n")).select(
+        *keys, F.array(_line("area_present", F.col("n") == 0, CRITICAL, F.col("n"))).alias("l")
     )
     road_lines = r.select(
+        *keys,
         F.array(
             _line("roads_present", F.col("n") == 0, CRITICAL, F.col("n")),
             _line("road_miles_limit", F.coalesce(F.col("miles") > max_miles, F.lit(False)), INFO, F.floor("miles")),
@@ -71,6 +88,7 @@ def check_inputs(
         ).alias("l")
     )
     crash_lines = c.select(
+        *keys,
         F.array(
             _line("crashes_present", F.col("n") == 0, CRITICAL, F.col("n")),
             _line("crash_count_limit", F.col("n") > max_crashes, INFO, F.col("n")),
@@ -84,7 +102,7 @@ def check_inputs(
             _line("crash_non_fatal_missing", nz("non_fatal") == 0, INFO, nz("non_fatal")),
         ).alias("l")
     )
-    return area_lines.unionByName(road_lines).unionByName(crash_lines).select(F.explode("l").alias("_l")).select("_l.*")
+    return area_lines.unionByName(road_lines).unionByName(crash_lines).select(*keys, F.explode("l").alias("_l")).select(*keys, "_l.*")
 
 
 def check_params(studies: DataFrame) -> DataFrame:

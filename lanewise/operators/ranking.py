@@ -43,14 +43,22 @@ def best_per_road(sliding: DataFrame, mode: str) -> DataFrame:
     )
 
 
-def top_corridors(sliding: DataFrame, mode: str, n: int = d.TOP_STREETS, edges: DataFrame | None = None) -> DataFrame:
+def top_corridors(
+    sliding: DataFrame, mode: str, n: int = d.TOP_STREETS, edges: DataFrame | None = None, studies: DataFrame | None = None
+) -> DataFrame:
     """The ``n`` best corridors of each study by score, then length; names capitalised.
 
-    With the stitched ``edges``, each corridor carries its line in ``geom``.
+    With the stitched ``edges``, each corridor carries its line in ``geom``. ``studies`` (``study_id``, ``top_streets_threshold``) gives
+    each study a number of its own; ``n`` holds for studies that it lacks and for nulls.
     """
     best = best_per_road(sliding, mode)
     order = [F.desc("crash_score"), F.desc("length"), F.asc_nulls_last("road_name"), F.asc("functional_class")]
-    top = top_per_group(best, ["study_id"], order, n, ["road_name", "functional_class"])
+    most = n
+    if studies is not None:
+        own = studies.select("study_id", F.coalesce("top_streets_threshold", F.lit(n)).alias("_n"))
+        best = salted_join(best, own, ["study_id"], ["road_name", "functional_class"], "left")
+        most = F.coalesce("_n", F.lit(n))
+    top = top_per_group(best, ["study_id"], order, most, ["road_name", "functional_class"]).drop("_n")
     if edges is not None:
         keys = [*ROAD, "window_no"]
         top = top.join(range_lines(top, edges, keys), keys, "left")

@@ -65,12 +65,13 @@ def salted_join(
 
 
 def top_per_group(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, spread_on: list[str], ways: int = 64
+    df: DataFrame, keys: list[str], order: list[Column], n: int | Column, spread_on: list[str], ways: int = 64
 ) -> DataFrame:
     """First ``n`` rows per key in two rounds, exact, with no task seeing a whole group.
 
     Round one ranks inside ``ways`` hash slices of each key, so the final ranking gets at
-    most ``ways * n`` rows per key. Spark prunes both rounds before their shuffles.
+    most ``ways * n`` rows per key. Spark prunes both rounds before their shuffles where ``n`` is a number; it may
+    be a column that is the same in all rows of a key.
     """
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread_on), F.lit(ways)))
     first = sliced.withColumn(
