@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, trimmed
 from .simhash_trie import SEED, majority, merge_stars, trie_links
 from .words import slices
 
@@ -135,7 +135,7 @@ def _likely(cells: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cell", "u", "v"])
 
     held = cells.groupBy("cell").agg(F.collect_list(F.struct("node", "mark")).alias("rows")).filter(F.size("rows") > 1)
-    found = held.mapInArrow(run, "cell long, u long, v long").filter("u <> v")
+    found = held.mapInArrow(trimmed(run), "cell long, u long, v long").filter("u <> v")
     return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("cell").alias("cell"))
 
 
@@ -277,7 +277,7 @@ def one_of_each_group(docs: DataFrame, id_col: str, text_col: str, cell: int = C
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col))
     kind = rows.schema["id"].dataType.simpleString()
-    marked = rows.mapInArrow(run, f"id {kind}, hash long, node long, word long, keys array<long>, mark binary")
+    marked = rows.mapInArrow(trimmed(run), f"id {kind}, hash long, node long, word long, keys array<long>, mark binary")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     # a class: equal sets of shingles; its number is a hash of them
     first = [F.first(c).alias(c) for c in ("word", "keys", "mark")]

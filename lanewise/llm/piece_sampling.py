@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
 from .words import slices
 
 BLANK = "▁"
@@ -555,7 +556,7 @@ def sample_pieces(
                 names=[id_col, "sample", "ids", "log_prob", "perturbed", "log_inclusion", "decoded_crc32"],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {_OUT}")
+    return rows.mapInArrow(trimmed(run), f"`{id_col}` {kind.simpleString()}, {_OUT}")
 
 
 def decode_flat(voc: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -585,4 +586,4 @@ def decode_pieces(rows: DataFrame, ids_col: str, model_path: str, out_col: str =
             decoded = [t.decode("utf-8", "replace") if ok else None for t, ok in zip(texts, col.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, out_col])
 
-    return rows.mapInArrow(run, StructType([*schema.fields, StructField(out_col, StringType())]))
+    return rows.mapInArrow(trimmed(run), StructType([*schema.fields, StructField(out_col, StringType())]))

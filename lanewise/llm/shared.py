@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import mmap
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +61,20 @@ def mapped(uri: str, dtype) -> np.ndarray:
             f.write(chunk)
         f.flush()
         return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype) if f.tell() else np.zeros(0, dtype)
+
+
+def trimmed(run):
+    """``run`` for ``mapInArrow``, after which the worker hands freed memory back to the system.
+
+    Workers live on between tasks and stages; without this each keeps the most that any of its tasks took.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return whole

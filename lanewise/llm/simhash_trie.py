@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, trimmed
 
 SEED = 42
 LEAF = 1024
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
 
     rows = docs.select(id_col, text_col)
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, fingerprint long")
+    return rows.mapInArrow(trimmed(run), f"`{id_col}` {kind}, fingerprint long")
 
 
 def _budget(depth: int, max_bits: int) -> int:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .shared import trimmed
 from .words import slices, words_of
 
 BUCKETS = 1 << 17
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 names=["id", "label", "buckets", "counts"],
             )
 
-    found = rows.mapInArrow(bags, "id string, label long, buckets binary, counts binary").toArrow()
+    found = rows.mapInArrow(trimmed(bags), "id string, label long, buckets binary, counts binary").toArrow()
     order = np.argsort(np.array(found["id"].to_pylist(), dtype=object)) if found.num_rows else []
     given = found["label"].to_numpy()
     classes = tuple(sorted(set(given.tolist()) | {0, 1}))
@@ -202,4 +203,4 @@ def score(docs: DataFrame, model: Classifier, text_col: str, label: int = 1, out
 
     if out_col in schema.names:
         raise ValueError(f"the documents have a column {out_col} already")
-    return docs.mapInArrow(run, StructType([*schema.fields, StructField(out_col, DoubleType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*schema.fields, StructField(out_col, DoubleType())]))
