@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import geometry as g
 from lanewise.functions import projection as p
-from lanewise.operators import cells, estimates
+from lanewise.operators import cells, estimates, outlines
 from lanewise.plans import intake
 from lanewise.sources import features
 
@@ -99,6 +99,62 @@ def load_study(spark, sf):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+# Parcels on a lattice, in counties of up to 35 that touch at corners only; county 9 is scattered and leaves holes in the others.
+PARCELS = """parcels AS (
+  SELECT i, j, CASE WHEN p_partkey % 11 = 0 THEN 9 ELSE cast((i - i % 7) / 7 + 3 * (j - j % 5) / 5 AS bigint) % 4 END AS county FROM (
+    SELECT p_partkey, cast(p_partkey % 40 AS bigint) AS i, cast((p_partkey - p_partkey % 40) / 40 AS bigint) AS j FROM part) t)"""
+PARCEL_M = 120.0
+
+
+@query(
+    "dissolved_counties",
+    f"""WITH RECURSIVE {PARCELS}, reach AS (
+      SELECT county, i, j, i + 40 * j AS root FROM parcels
+      UNION SELECT p.county, p.i, p.j, r.root FROM reach r JOIN parcels p ON p.county = r.county
+        AND ((p.j = r.j AND (p.i = r.i + 1 OR p.i = r.i - 1)) OR (p.i = r.i AND (p.j = r.j + 1 OR p.j = r.j - 1)))),
+    roots AS (SELECT county, i, j, min(root) AS root FROM reach GROUP BY ALL),
+    inner_sides AS (SELECT p.county, count(*) AS n FROM parcels p JOIN parcels q ON p.county = q.county
+        AND ((q.i = p.i + 1 AND q.j = p.j) OR (q.i = p.i AND q.j = p.j + 1)) GROUP BY ALL),
+    nodes AS (SELECT county, i + di AS x, j + dj AS y, sum(bit) AS around, count(*) AS n FROM parcels,
+        (VALUES (0, 0, 1), (1, 0, 2), (1, 1, 4), (0, 1, 8)) c(di, dj, bit) GROUP BY ALL),
+    corners AS (SELECT county, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN around IN (5, 10) THEN 2 ELSE 0 END) AS corners FROM nodes GROUP BY ALL)
+    SELECT cast(r.county AS bigint) AS county, count(DISTINCT root) AS parts, round(cast(count(*) AS double) * {PARCEL_M * PARCEL_M}, 3) AS area,
+      round(cast(4 * count(*) - 2 * coalesce(max(s.n), 0) AS double) * {PARCEL_M}, 3) AS perimeter, cast(max(c.corners) AS bigint) AS corners
+    FROM roots r JOIN corners c USING (county) LEFT JOIN inner_sides s USING (county) GROUP BY r.county""",
+)
+def dissolved_counties(spark, sf):
+    """Parcels of one county as whole outlines with holes."""
+    text = PARCELS[PARCELS.index("(") + 1 : PARCELS.rindex(")")].replace("FROM part", "FROM {part}")
+    p = spark.sql(text, part=fx.read(spark, sf, "part"))
+    x, y = F.col("i") * PARCEL_M, F.col("j") * PARCEL_M
+    squares = p.select(F.col("county").cast("bigint").alias("county"), g.rectangle(x, y, x + PARCEL_M, y + PARCEL_M).alias("rings"))
+    closed = F.transform("rings", lambda r: g.line_length(F.concat(r, F.slice(r, 1, 1))))
+    length = F.aggregate(closed, F.lit(0.0), lambda a, v: a + v)
+    return (
+        outlines.dissolve_polygons(squares, ["county"])
+        .groupBy("county")
+        .agg(
+            F.count(F.lit(1)).alias("parts"),
+            F.round(F.sum("area"), 3).alias("area"),
+            F.round(F.sum(length), 3).alias("perimeter"),
+            F.sum(F.size(F.flatten("rings"))).alias("corners"),
+        )
+    )
+
+
+@query(
+    "clipped_block_group_outlines",
+    f"""WITH {BASE} SELECT geoid, cast(1 AS bigint) AS parts, cast(4 AS bigint) AS corners, round({_SHARE}, 3) AS area FROM fx_block_groups, fx_area
+      WHERE bx1 > ax0 AND bx0 < ax1 AND by1 > ay0 AND by0 < ay1""",
+)
+def clipped_block_group_outlines(spark, sf):
+    """One outline per clipped block group in place of its grid pieces."""
+    whole = outlines.clipped_outlines(fx.block_groups(spark, sf), fx.area(spark, sf), "geoid")
+    return whole.groupBy("geoid").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum(F.size(F.flatten("rings"))).alias("corners"), F.round(F.sum("area"), 3).alias("area")
+    )
+
+
 # Areas around suppliers: most centres lie in a block group, some just outside all of them.
 AREAS = """areas AS (
   SELECT s_suppkey AS study_id, cast((s_suppkey * 733) % 21000 + 1 AS double) AS sx0, cast((s_suppkey * 389) % 13000 + 3 AS double) AS sy0,

@@ -57,7 +57,7 @@ def _distinct_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
 def crossing_marks(pieces: DataFrame, keys: list[str], cell: float = NODE_CELL_M) -> DataFrame:
     """Places inside an edge where another edge of the same key crosses, meets or overlaps it."""
     ends = ["ax", "ay", "bx", "by"]
-    named = pieces.withColumn("_key", _digest(keys))
+    named = pieces.withColumn("_key", digest(keys))
     listed = edge_cells(
         named.select("_key", *[F.col(a).alias(b) for a, b in zip(ends, ["x0", "y0", "x1", "y1"])]), cell, 0.0
     ).select("_key", "gx", "gy", *[F.col(b).alias(a) for a, b in zip(ends, ["x0", "y0", "x1", "y1"])])
@@ -105,7 +105,7 @@ def split_at_marks(pieces: DataFrame, marks: DataFrame, keys: list[str]) -> Data
     """Cut the marked edges at their marks and pass the others through."""
     ends = ["ax", "ay", "bx", "by"]
     edge = ["_key", *ends]
-    named = pieces.withColumn("_key", _digest(keys))
+    named = pieces.withColumn("_key", digest(keys))
     touched = named.join(marks.select(*edge).distinct(), edge, "left_semi")
     whole = named.join(marks.select(*edge).distinct(), edge, "left_anti")
     stops = touched.select(*edge, g.point("ax", "ay").alias("_p"), F.lit(0.0).alias("_pos")).unionByName(
@@ -131,7 +131,7 @@ def split_at_marks(pieces: DataFrame, marks: DataFrame, keys: list[str]) -> Data
     return whole.select(*keys, "first", "drawn_ab", *ends).unionByName(cut)
 
 
-def _digest(cols: list[str]) -> Column:
+def digest(cols: list[str]) -> Column:
     """128-bit name of a tuple of columns; nulls count as a value of their own."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in cols]
     return F.md5(F.concat_ws("\x00", *parts))
@@ -158,7 +158,7 @@ def merge_lines(edges: DataFrame, keys: list[str], node_crossings: bool = True)
 
 
 def _named(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    return pieces.withColumn("piece", F.unhex(_digest([*keys, "ax", "ay", "bx", "by"]))).withColumn(
+    return pieces.withColumn("piece", F.unhex(digest([*keys, "ax", "ay", "bx", "by"]))).withColumn(
         "len", g.distance("ax", "ay", "bx", "by")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import domain as d
 from ..operators.filters import recode, with_constant
+from ..operators.outlines import dissolve_polygons
 
 # --- fixed values: columns of the national sources ---------------------------------
 ROAD_COLUMNS = {"road_id": "osm_id", "road_name": "name", "functional_class": "highway"}
@@ -78,6 +79,11 @@ def area_boundary(df: DataFrame, where: Column, study_id) -> DataFrame:
     return df.filter(where).select(F.lit(study_id).alias("study_id"), "rings")
 
 
+def dissolved_boundary(df: DataFrame, where: Column, study_id) -> DataFrame:
+    """Boundary of the selected areas without the borders between them: one row per separate part."""
+    return dissolve_polygons(area_boundary(df, where, study_id), ["study_id"])
+
+
 def default_params() -> dict:
     return {
         "sliding_window_length": d.SLIDING_WINDOW_MI,
