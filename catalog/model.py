@@ -11,10 +11,13 @@ from lanewise.operators import lrs, network, ranking, summary
 from lanewise.operators.cells import buffer_overlap, tile_polygons
 from lanewise.plans import model as m
 from lanewise.plans import views
+from lanewise.session import cut_lineage
+from lanewise.sources.tables import study_params
 
 from . import fixtures as fx
 from .registry import edges, query
-from .sqltext import CHAINS, FINE, FINE_SEGMENTS, JOIN, SHORT, STEP, distance, initcap, near, num
+from .screening import _two_studies_crashes, _two_studies_roads
+from .sqltext import CHAINS, FINE, FINE_SEGMENTS, JOIN, SHORT, STEP, distance, initcap, near, num, segments
 
 STATE = "AMERICA"
 KEYS = e.KEYS
@@ -339,11 +342,11 @@ def _finite(col, digits):
 @query(
     "segment_fatal",
     f"""WITH {ESTIMATES}{ROLLED} SELECT start_x, start_y, cast(segment_sequence AS int) AS segment_sequence,
-      {", ".join(f"round(est_{mode}_k, 8) AS est_{mode}_k, {_finite_sql(f'{mode}_cv', f'{mode}_cv', 6)}" for mode in d.MODES)} FROM rolled""",
+      {", ".join(f"round(est_{mode}_k, 8) AS est_{mode}_k, {_finite_sql(f'{mode}_cv', f'{mode}_cv', 6)}" for mode in d.MODES)} FROM short_windows LEFT JOIN rolled USING (start_x, start_y, segment_sequence)""",
 )
 def segment_fatal(spark, sf):
     s = _run(spark, sf, m.estimate_fatal)
-    f = s.fatal.filter(F.col("est_ped_k").isNotNull()).join(_starts(spark, sf), lrs.ROAD)
+    f = s.fatal.join(_starts(spark, sf), lrs.ROAD)
     cols = [c for mode in d.MODES for c in (_r(f"est_{mode}_k", 8), _finite(f"{mode}_cv", 6))]
     return f.select(*START, "segment_sequence", *cols)
 
@@ -472,3 +475,88 @@ def multi_study_estimates(spark, sf):
         store = step(store, m.ModelParams())
     sums = [F.round(F.sum(f"est_{mode}_{s}"), 4).alias(f"est_{mode}_{s}") for mode, s in PAIRS]
     return store.all_severity.groupBy("study_id").agg(F.count(F.lit(1)).alias("windows"), *sums)
+
+
+_OWN = {"window": 0.25, "ratio": 2, "feet": 100, "top": 0.6, "decay": 2, "costs": {"K": 9000000, "A": 800000, "B": 250000, "C": 90000, "O": 9000}}
+_USUAL = {
+    "window": d.SLIDING_WINDOW_MI, "ratio": d.WINDOW_RATIO, "feet": d.JOIN_DISTANCE_FT,
+    "top": d.MAX_PRIOR_WEIGHT, "decay": d.PRIOR_DECAY, "costs": d.CRASH_COSTS,
+}
+
+
+def _swap(text, *pairs):
+    for old, new in pairs:
+        if old not in text:
+            raise ValueError(f"not in the SQL: {old}")
+        text = text.replace(old, new)
+    return text
+
+
+def _study_model_sql(study, state, p, fatal_only):
+    """The whole model over one study's roads and crashes, with its own parameters."""
+    span = ("f", "f.start_x + f.exact_start", "f.start_x + f.exact_end", "f.start_y")
+    severity = "'K'" if fatal_only else "crash_severity"
+    text = _swap(
+        f"{OBSERVED},\n{EXPANDED}",
+        ("FROM fx_roads WHERE functional_class <> 'Omit From Analysis'",
+         f"FROM fx_roads WHERE functional_class <> 'Omit From Analysis' AND 1 + cast(y0 / 200 AS int) % 2 = {study}"),
+        ("mapped AS (SELECT * FROM fx_crashes WHERE",
+         f"""own AS (SELECT * REPLACE ({severity} AS crash_severity) FROM fx_crashes WHERE 1 + cast(floor(y / 200) AS int) % 2 = {study}),
+mapped AS (SELECT * FROM own WHERE crash_year > (SELECT max(crash_year) - 5 FROM own) AND"""),
+        (near(*span), near(*span, "c", p["feet"] * d.METERS_PER_FOOT)),
+        (SHORT, segments("short_windows", p["window"] * d.METERS_PER_MILE / p["ratio"])),
+        (f"'{STATE}'", f"'{state}'"),
+    )
+    counted = KEYS[:1] if fatal_only else KEYS
+    adjusted = []
+    for mode, s in PAIRS:
+        x, w = f"x.{mode}_cv * x.est_{mode}_{s}", f"({num(p['top'])} / pow(1 + x.{mode}_cv * x.est_{mode}_{s}, {num(p['decay'])}))"
+        value = f"CASE WHEN NOT isnan({x}) THEN {w} * x.est_{mode}_{s} + (1 - {w}) * o.{mode}_{s}_obs END"
+        adjusted.append(f"{value if s in counted else 'cast(NULL AS double)'} AS adj_{mode}_{s}")
+    cost = {mode: " + ".join(f"adj_{mode}_{s} * {p['costs'][s.upper()]}" for s in counted) for mode in d.MODES}
+    shown = " OR ".join(f"coalesce(total_{mode}_cost, 0) > {p['costs']['O']}" for mode in d.MODES)
+    return f"""SELECT * FROM (WITH {text},
+updated AS (
+  SELECT o.*, x.* EXCLUDE (start_x, start_y, segment_sequence), {", ".join(adjusted)}
+  FROM observed o JOIN expanded x USING (start_x, start_y, segment_sequence)),
+priced AS (SELECT *, {", ".join(f"{cost[mode]} AS total_{mode}_cost" for mode in d.MODES)} FROM updated)
+SELECT cast({study} AS int) AS study_id, functional_class, count(*) AS windows,
+  {", ".join(f"round(sum(est_{mode}_{s}), 4) AS est_{mode}_{s}, round(sum({mode}_{s}_obs), 4) AS {mode}_{s}_obs, round(sum(adj_{mode}_{s}), 4) AS adj_{mode}_{s}" for mode, s in PAIRS)},
+  {", ".join(f"round(sum(total_{mode}_cost), 0) AS {mode}_cost" for mode in d.MODES)},
+  count(CASE WHEN {shown} THEN 1 END) AS shown
+FROM priced GROUP BY functional_class) s{study}"""
+
+
+@query(
+    "multi_study_model",
+    f"{_study_model_sql(1, STATE, _USUAL, False)} UNION ALL {_study_model_sql(2, 'ASIA', _OWN, True)}",
+)
+def multi_study_model(spark, sf):
+    """The model over two studies in one job, through costs and shown segments, the second with parameters of its own.
+
+    Its windows, distance, weight, decay, costs, state and latest year differ, and all of its crashes are fatal.
+    """
+    roads, crashes = _two_studies_roads(spark, sf), _two_studies_crashes(spark, sf)
+    crashes = crashes.withColumn("crash_severity", F.when(F.col("study_id") == 2, "K").otherwise(F.col("crash_severity")))
+    second, costs = F.col("id") == 2, F.create_map(*[x for s, c in _OWN["costs"].items() for x in (F.lit(s), F.lit(c))])
+    own = {
+        "sliding_window_length": "window", "window_length_ratio": "ratio", "crash_join_distance": "feet",
+        "bayesian_max_prior_weight": "top", "bayesian_decay": "decay",
+    }
+    studies = spark.range(1, 3).select(
+        F.col("id").cast("int").alias("study_id"),
+        *[F.when(second, F.lit(_OWN[key])).alias(name) for name, key in own.items()],
+        F.when(second, costs).alias("crash_costs"),
+    )
+    states = studies.select("study_id", F.when(F.col("study_id") == 2, "ASIA").otherwise(STATE).alias("state"))
+    both = fx.block_groups(spark, sf).withColumn("study_id", F.explode(F.array(F.lit(1), F.lit(2))))
+    store = m.ModelStore(
+        cut_lineage(network.dissolve_roads(roads)), crashes, both, fx.rates(spark, sf), _ratios(spark, sf), states, study_params(studies)
+    )
+    posterior = m.run_model(store, m.ModelParams(years=5)).posterior
+    sums = [F.round(F.sum(c), 4).alias(c) for mode, s in PAIRS for c in (f"est_{mode}_{s}", f"{mode}_{s}_obs", f"adj_{mode}_{s}")]
+    prices = [F.round(F.sum(f"total_{mode}_cost"), 0).alias(f"{mode}_cost") for mode in d.MODES]
+    line = ["study_id", "functional_class"]
+    shown = views.cost_view(posterior, F.col("crash_costs")["O"]).groupBy(*line).agg(F.count(F.lit(1)).alias("shown"))
+    sums = posterior.groupBy(*line).agg(F.count(F.lit(1)).alias("windows"), *sums, *prices)
+    return k.left_fill(sums, shown, line, ["shown"], 0)

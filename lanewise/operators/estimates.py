@@ -32,6 +32,11 @@ def scale_by_area(block_groups: DataFrame, pieces: DataFrame, full_area: str = "
     return block_groups.join(left, ["study_id", "geoid"]).withColumns({c: F.col(c) * share for c in cols})
 
 
+def _own(value) -> list[str]:
+    """The column that holds a parameter, where each study has its own value."""
+    return [value] if isinstance(value, str) else []
+
+
 def share_of_total(df: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
     """Share of a value in its group's total; groups here are small (pieces of one segment)."""
     total = F.sum(value).over(Window.partitionBy(*keys))
@@ -51,8 +56,9 @@ def effective_mileage(
     """Miles of each short window that count towards each block group.
 
     The window's length is split in proportion to the area its buffer shares with each.
+    ``step`` is a number or a column of ``edges``.
     """
-    carried = [*SEGMENT, "functional_class", "length_meters"]
+    carried = [*SEGMENT, "functional_class", "length_meters", *_own(step)]
     pieces = cut_at_steps(edges, step).select(*carried, "x0", "y0", "x1", "y1")
     found = buffer_overlap(pieces, tiles, carried, "geoid", width, cell, place_by=SEGMENT)
     shared = share_of_total(found, SEGMENT, "piece_area", "_share")
@@ -159,19 +165,27 @@ def expand_severity(fatal: DataFrame, ratios: DataFrame, state: str | None) -> D
     return joined.withColumns(cols).drop(*[f"_r_{m}_{s}" for m in d.MODES for s in KEYS])
 
 
-def nearest_segments(edges: DataFrame, crashes: DataFrame, fine_step, join_m: float) -> DataFrame:
+def nearest_segments(
+    edges: DataFrame, crashes: DataFrame, fine_step, join_m: float | str, carry: list[str] = ()
+) -> DataFrame:
     """Nearest fine segment on every road within reach of a crash location.
 
     A crash counts on each road it can reach. The nearest point's measure names the
     segment, so segment geometries are not joined; a shared border goes to the lower one.
+    ``join_m`` is a number or a column that edges and crashes have, one value per study; ``carry`` names columns
+    of the line to pass on.
     """
+    own = _own(join_m)
     points = k.collapse_points(crashes)
-    hits = within_distance(edges.select(*ROAD, "length_meters", "m0", "x0", "y0", "x1", "y1"), points, join_m)
+    if own:
+        points = points.join(edges.select("study_id", *own).distinct(), "study_id")
+    placed = edges.select(*ROAD, "length_meters", *carry, *own, "m0", "x0", "y0", "x1", "y1")
+    hits = within_distance(placed, points, join_m)
     at = k.segment_at(F.col("m0") + F.col("near_m"), fine_step, F.col("length_meters"))
     return k.nearest_per_road(
         hits.withColumn("fine_no", at),
         ["study_id", "x", "y", k.MODE, k.SEVERITY, "crashes"],
-        ["dissolved_pkey", "length_meters"],
+        ["dissolved_pkey", "length_meters", *carry],
         "fine_no",
     )
 
@@ -217,19 +231,23 @@ def observed_counts(
     crashes: DataFrame,
     step,
     fine_step: float = d.FINE_SEGMENT_MI * d.METERS_PER_MILE,
-    join_m: float = d.JOIN_DISTANCE_FT * d.METERS_PER_FOOT,
+    join_m: float | str = d.JOIN_DISTANCE_FT * d.METERS_PER_FOOT,
     half: int = d.SMOOTH_HALF_WIDTH,
     style: str = "linear",
     modes: dict[str, list[str]] | None = None,
     severities: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Smoothed observed crashes per short window (windows without any are absent)."""
-    nearest = nearest_segments(edges, crashes, fine_step, join_m)
-    counted = k.segment_counts(nearest, [*ROAD, "length_meters", "fine_no"], "crashes")
+    """Smoothed observed crashes per short window (windows without any are absent).
+
+    ``step`` and ``join_m`` are numbers or columns of ``edges``.
+    """
+    line = [*ROAD, "length_meters", *_own(step)]
+    nearest = nearest_segments(edges, crashes, fine_step, join_m, _own(step))
+    counted = k.segment_counts(nearest, [*line, "fine_no"], "crashes")
     smooth = k.smooth_along(
         counted.withColumn("_n", step_count("length_meters", fine_step)),
         ["crashes"],
-        [*ROAD, "length_meters"],
+        line,
         "fine_no",
         half,
         style,
@@ -245,34 +263,49 @@ def _no_nan(col: Column) -> Column:
 
 def eb_update(
     prior: DataFrame,
-    max_weight: float = d.MAX_PRIOR_WEIGHT,
-    decay: float = d.PRIOR_DECAY,
-    fatal_only: bool = False,
+    max_weight: float | Column = d.MAX_PRIOR_WEIGHT,
+    decay: float | Column = d.PRIOR_DECAY,
+    fatal_only: bool | Column = False,
 ) -> DataFrame:
     """Blend estimates ``est_*`` with observations ``*_obs``; adds weights ``w_*`` and posteriors ``adj_*``.
 
     The weight of the estimate falls with its variation. Infinite variation gives weight
-    0; where weight or estimate is undefined the posterior is null.
+    0; where weight or estimate is undefined the posterior is null. With fatal crashes only there are
+    no other weights and posteriors: ``True`` leaves their columns out, a column of flags makes them null.
     """
+    top, fall = _num(max_weight), _num(decay)
+    by_row = isinstance(fatal_only, Column)
     out = {}
     for m in d.MODES:
-        for s in KEYS[:1] if fatal_only else KEYS:
+        for s in KEYS if by_row or not fatal_only else KEYS[:1]:
             est, obs = F.col(f"est_{m}_{s}"), F.col(f"{m}_{s}_obs")
-            w = F.lit(float(max_weight)) / F.pow(1.0 + F.col(f"{m}_cv") * est, F.lit(float(decay)))
-            out[f"w_{m}_{s}"] = _no_nan(w)
-            out[f"adj_{m}_{s}"] = _no_nan(w * est + (1.0 - w) * obs)
+            w = top / F.pow(1.0 + F.col(f"{m}_cv") * est, fall)
+            weight, blended = _no_nan(w), _no_nan(w * est + (1.0 - w) * obs)
+            if by_row and s != KEYS[0]:
+                weight, blended = F.when(~fatal_only, weight), F.when(~fatal_only, blended)
+            out[f"w_{m}_{s}"] = weight
+            out[f"adj_{m}_{s}"] = blended
     return prior.withColumns(out)
 
 
-def crash_costs(posterior: DataFrame, costs: dict | None = None, fatal_only: bool = False) -> DataFrame:
-    """Total cost per mode, ``total_{mode}_cost``; undefined if any part is."""
+def crash_costs(
+    posterior: DataFrame, costs: dict | str | None = None, fatal_only: bool | Column = False
+) -> DataFrame:
+    """Total cost per mode, ``total_{mode}_cost``; undefined if any part that counts is.
+
+    ``costs`` maps severities to costs or names a map column; ``fatal_only`` is one flag or a column of flags.
+    """
     costs = d.CRASH_COSTS if costs is None else costs
-    keys = KEYS[:1] if fatal_only else KEYS
+    by_row = isinstance(fatal_only, Column)
+    keys = KEYS if by_row or not fatal_only else KEYS[:1]
+
+    def part(m: str, s: str) -> Column:
+        each = F.col(costs)[s.upper()].cast("double") if isinstance(costs, str) else float(costs[s.upper()])
+        value = F.col(f"adj_{m}_{s}") * each
+        return F.when(fatal_only, F.lit(0.0)).otherwise(value) if by_row and s != KEYS[0] else value
+
     return posterior.withColumns(
-        {
-            f"total_{m}_cost": sum((F.col(f"adj_{m}_{s}") * float(costs[s.upper()]) for s in keys), F.lit(0.0))
-            for m in d.MODES
-        }
+        {f"total_{m}_cost": sum((part(m, s) for s in keys), F.lit(0.0)) for m in d.MODES}
     )
 
 

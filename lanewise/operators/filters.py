@@ -45,8 +45,8 @@ def slice_cube(cube: DataFrame, y0=None, y1=None, mode: str | None = None, sever
     return out
 
 
-def flag_modes(df: DataFrame, suffix: str, threshold: float = 0, prefix: str = "") -> DataFrame:
-    """Add ``show_{mode}`` where a mode's value exceeds the threshold; keep rows with any flag."""
+def flag_modes(df: DataFrame, suffix: str, threshold: float | Column = 0, prefix: str = "") -> DataFrame:
+    """Add ``show_{mode}`` where a mode's value exceeds the threshold (a number or column); keep rows with any flag."""
     flags = {
         f"show_{m}": F.coalesce(F.col(f"{prefix}{m}_{suffix}"), F.lit(0)) > threshold for m in d.MODES
     }

@@ -16,6 +16,7 @@ from ..operators.cells import AREA_CELL_M, tile_polygons
 from ..operators.filters import last_n_years
 from ..operators.lrs import short_windows
 from ..operators.network import dissolved_lines
+from ..operators.summary import missing_non_fatal
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,10 @@ class ModelStore:
 
     ``block_groups`` holds predictions per geoid, ``tiles`` their (clipped) geometry cut by cell.
     ``states`` names the state of each study (``study_id, state``) unless the parameters name one.
+    ``studies`` holds each study's own parameters (:func:`~lanewise.sources.tables.study_params`); they then take the place
+    of window, ratio, join distance, weight, decay, costs and the fatal-only flag of the parameters. The flag is
+    ``crash_missing_non_fatal`` of the table, or follows from the study's crashes where the table has no such column.
+    A study without a row in ``studies`` gives no windows.
     """
 
     edges: DataFrame
@@ -63,6 +68,7 @@ class ModelStore:
     rates: DataFrame
     ratios: DataFrame
     states: DataFrame | None = None
+    studies: DataFrame | None = None
     tiles: DataFrame | None = None
     pieces: DataFrame | None = None
     windows: DataFrame | None = None
@@ -79,8 +85,41 @@ def _with_state(df: DataFrame, s: ModelStore, p: ModelParams) -> DataFrame:
     return df if p.state is not None else df.join(s.states.select("study_id", "state"), "study_id")
 
 
+def _step(s: ModelStore, p: ModelParams) -> float | str:
+    return p.step_m if s.studies is None else "step_m"
+
+
+def own_params(s: ModelStore, p: ModelParams) -> ModelStore:
+    """Put each study's step and join distance next to its edges, if the studies have their own."""
+    if s.studies is None:
+        return s
+    window = F.col("sliding_window_length") * d.METERS_PER_MILE
+    own = s.studies.select(
+        "study_id",
+        F.try_divide(window, F.col("window_length_ratio")).alias("step_m"),
+        (F.col("crash_join_distance") * d.METERS_PER_FOOT).alias("join_m"),
+    )
+    return replace(s, edges=s.edges.join(own, "study_id"))
+
+
+def _blending(s: ModelStore) -> DataFrame:
+    """Weight, decay, costs and fatal-only flag, one row per study."""
+    studies, flag = s.studies, "crash_missing_non_fatal"
+    if flag not in studies.columns:
+        studies = studies.join(missing_non_fatal(s.crashes), "study_id", "left")
+    return studies.select(
+        "study_id",
+        F.col("bayesian_max_prior_weight").cast("double").alias("_top"),
+        F.col("bayesian_decay").cast("double").alias("_decay"),
+        "crash_costs",
+        F.coalesce(flag, F.lit(False)).alias("_fatal_only"),
+    )
+
+
 def build_windows(s: ModelStore, p: ModelParams) -> ModelStore:
-    windows = short_windows(dissolved_lines(s.edges), p.step_m).drop("start_x", "start_y")
+    step = _step(s, p)
+    lines = dissolved_lines(s.edges, [step] if isinstance(step, str) else [])
+    windows = short_windows(lines, step).drop("start_x", "start_y")
     return replace(s, windows=_with_state(windows, s, p))
 
 
@@ -88,7 +127,7 @@ def assign_mileage(s: ModelStore, p: ModelParams) -> ModelStore:
     tiles = s.tiles
     if tiles is None:
         tiles = tile_polygons(s.block_groups.select("study_id", "geoid", "rings"), p.cell_m)
-    return replace(s, pieces=e.effective_mileage(s.edges, tiles, p.step_m, p.buffer_m, p.cell_m))
+    return replace(s, pieces=e.effective_mileage(s.edges, tiles, _step(s, p), p.buffer_m, p.cell_m))
 
 
 def estimate_fatal(s: ModelStore, p: ModelParams) -> ModelStore:
@@ -106,10 +145,11 @@ def count_observed(s: ModelStore, p: ModelParams) -> ModelStore:
     crashes = s.crashes if p.years is None else last_n_years(s.crashes, p.years)
     wanted = sorted({code for src in p.modes.values() for code in src})
     crashes = crashes.filter(F.col(k.MODE).isin(wanted) & F.col(k.SEVERITY).isin(d.SEVERITIES))
+    reach = p.join_m if s.studies is None else "join_m"
     return replace(
         s,
         observed=e.observed_counts(
-            s.edges, crashes, p.step_m, p.fine_m, p.join_m, p.half_width, p.style, p.modes
+            s.edges, crashes, _step(s, p), p.fine_m, reach, p.half_width, p.style, p.modes
         ),
     )
 
@@ -117,11 +157,16 @@ def count_observed(s: ModelStore, p: ModelParams) -> ModelStore:
 def blend(s: ModelStore, p: ModelParams) -> ModelStore:
     cols = [c for c in s.observed.columns if c.endswith("_obs")]
     joined = k.left_fill(s.all_severity, s.observed, e.SEGMENT, cols, 0.0)
+    if s.studies is not None:
+        flag = F.col("_fatal_only")
+        updated = e.eb_update(joined.join(_blending(s), "study_id"), F.col("_top"), F.col("_decay"), flag)
+        priced = e.crash_costs(updated, "crash_costs", flag)
+        return replace(s, posterior=priced.drop("_top", "_decay", "_fatal_only"))
     updated = e.eb_update(joined, p.max_weight, p.decay, p.fatal_only)
     return replace(s, posterior=e.crash_costs(updated, p.costs, p.fatal_only))
 
 
-STEPS: list[Step] = [build_windows, assign_mileage, estimate_fatal, estimate_severities, count_observed, blend]
+STEPS: list[Step] = [own_params, build_windows, assign_mileage, estimate_fatal, estimate_severities, count_observed, blend]
 
 
 def run_model(

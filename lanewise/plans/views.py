@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import domain as d
@@ -40,9 +40,12 @@ def merge_equal_scores(edges: DataFrame, short: DataFrame, step: float, node_cro
 
 
 def cost_view(
-    posterior: DataFrame, min_cost: float = d.CRASH_COSTS["O"], edges: DataFrame | None = None, step=None
+    posterior: DataFrame, min_cost: float | Column = d.CRASH_COSTS["O"], edges: DataFrame | None = None, step=None
 ) -> DataFrame:
-    """Segments whose cost exceeds the threshold for any mode; whole-number costs; their lines if ``edges`` are given."""
+    """Segments whose cost exceeds the threshold for any mode; whole-number costs; their lines if ``edges`` are given.
+
+    ``min_cost`` may be a column, such as the study's own cost of a crash without injury.
+    """
     flagged = flag_modes(posterior, "cost", min_cost, prefix="total_")
     shown = int_costs(flagged).withColumn("road_name", pg_initcap(F.col("road_name")))
     return shown if edges is None else with_lines(shown, edges, step)
