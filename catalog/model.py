@@ -9,6 +9,7 @@ from lanewise.operators import counts as k
 from lanewise.operators import estimates as e
 from lanewise.operators import lrs, network, ranking, summary
 from lanewise.operators.cells import buffer_overlap, tile_polygons
+from lanewise.operators.skew import shuffled
 from lanewise.plans import model as m
 from lanewise.plans import views
 from lanewise.session import cut_lineage
@@ -99,7 +100,7 @@ def _mapped(spark, sf):
 def nearest_segment_per_road(spark, sf):
     n = e.nearest_segments(edges(spark, sf), _mapped(spark, sf), FINE, JOIN)
     return (
-        n.join(_starts(spark, sf), lrs.ROAD)
+        n.join(shuffled(_starts(spark, sf)), lrs.ROAD)
         .groupBy(*START, "fine_no", "crash_mode", "crash_severity")
         .agg(F.sum("crashes").alias("crashes"), F.round(F.min("dist"), 6).alias("nearest"))
     )
@@ -131,7 +132,7 @@ def smooth_along(spark, sf):
         counted.withColumn("n", lrs.step_count("length_meters", FINE)), ["crashes"], [*lrs.ROAD], "fine_no",
         count="n", extra_keys=["crash_mode", "crash_severity"],
     )
-    return s.join(_starts(spark, sf), lrs.ROAD).select(*START, "fine_no", "crash_mode", "crash_severity", _r("crashes"))
+    return s.join(shuffled(_starts(spark, sf)), lrs.ROAD).select(*START, "fine_no", "crash_mode", "crash_severity", _r("crashes"))
 
 
 @query(
@@ -181,7 +182,7 @@ def observed_all_modes(spark, sf):
         edges(spark, sf), _mapped(spark, sf), STEP, FINE, JOIN,
         modes={"all": d.MODES, "vru": ["ped", "bike"]}, severities={"k": "K", "a": "A"},
     )
-    return obs.join(_starts(spark, sf), lrs.ROAD).select(
+    return obs.join(shuffled(_starts(spark, sf)), lrs.ROAD).select(
         *START, "segment_sequence", F.round(F.col("all_k_obs") + F.col("all_a_obs"), 6).alias("all_fsi_obs"), _r("vru_k_obs")
     )
 
@@ -301,7 +302,7 @@ def buffer_overlap_q(spark, sf):
 )
 def effective_mileage(spark, sf):
     p = _run(spark, sf, m.assign_mileage).pieces
-    return p.join(_starts(spark, sf), lrs.ROAD).select(
+    return p.join(shuffled(_starts(spark, sf)), lrs.ROAD).select(
         *START, "segment_sequence", "geoid", "functional_class", _r("piece_area", 4), _r("effective_mileage", 8)
     )
 
@@ -313,7 +314,7 @@ def effective_mileage(spark, sf):
 )
 def initial_fatal(spark, sf):
     p = e.initial_fatal(_run(spark, sf, m.assign_mileage).pieces, fx.rates(spark, sf), STATE)
-    return p.join(_starts(spark, sf), lrs.ROAD).select(
+    return p.join(shuffled(_starts(spark, sf)), lrs.ROAD).select(
         *START, "segment_sequence", "geoid", *[_r(f"init_{mode}_k", 9) for mode in d.MODES]
     )
 
@@ -325,7 +326,7 @@ def initial_fatal(spark, sf):
 )
 def scaled_fatal(spark, sf):
     p = _run(spark, sf, m.estimate_fatal).pieces
-    return p.join(_starts(spark, sf), lrs.ROAD).select(
+    return p.join(shuffled(_starts(spark, sf)), lrs.ROAD).select(
         *START, "segment_sequence", "geoid", *[_r(f"est_{mode}_k", 8) for mode in d.MODES]
     )
 
@@ -346,7 +347,7 @@ def _finite(col, digits):
 )
 def segment_fatal(spark, sf):
     s = _run(spark, sf, m.estimate_fatal)
-    f = s.fatal.join(_starts(spark, sf), lrs.ROAD)
+    f = s.fatal.join(shuffled(_starts(spark, sf)), lrs.ROAD)
     cols = [c for mode in d.MODES for c in (_r(f"est_{mode}_k", 8), _finite(f"{mode}_cv", 6))]
     return f.select(*START, "segment_sequence", *cols)
 
@@ -358,7 +359,7 @@ def segment_fatal(spark, sf):
 )
 def expand_severity(spark, sf):
     s = _run(spark, sf, m.estimate_severities)
-    f = s.all_severity.join(_starts(spark, sf), lrs.ROAD)
+    f = s.all_severity.join(shuffled(_starts(spark, sf)), lrs.ROAD)
     return f.select(*START, "segment_sequence", *[_r(f"est_{mode}_{x}") for mode, x in PAIRS])
 
 
@@ -368,7 +369,7 @@ def expand_severity(spark, sf):
       {", ".join(f"round(w_{mode}_{s}, 6) AS w_{mode}_{s}, round(adj_{mode}_{s}, 5) AS adj_{mode}_{s}" for mode, s in PAIRS)} FROM posterior""",
 )
 def eb_update(spark, sf):
-    p = _run(spark, sf, m.blend).posterior.join(_starts(spark, sf), lrs.ROAD)
+    p = _run(spark, sf, m.blend).posterior.join(shuffled(_starts(spark, sf)), lrs.ROAD)
     cols = [c for mode, s in PAIRS for c in (_r(f"w_{mode}_{s}"), _r(f"adj_{mode}_{s}", 5))]
     return p.select(*START, "segment_sequence", *cols)
 
@@ -379,7 +380,7 @@ def eb_update(spark, sf):
       {", ".join(f"round(total_{mode}_cost, 1) AS total_{mode}_cost" for mode in d.MODES)} FROM posterior""",
 )
 def crash_costs(spark, sf):
-    p = _run(spark, sf, m.blend).posterior.join(_starts(spark, sf), lrs.ROAD)
+    p = _run(spark, sf, m.blend).posterior.join(shuffled(_starts(spark, sf)), lrs.ROAD)
     return p.select(*START, "segment_sequence", *[_r(f"total_{mode}_cost", 1) for mode in d.MODES])
 
 
@@ -391,7 +392,7 @@ def crash_costs(spark, sf):
 def fatal_only_update(spark, sf):
     """Posterior and cost when the crash source has fatal crashes only."""
     s = m.run_model(_store(spark, sf), m.ModelParams(state=STATE, fatal_only=True))
-    p = s.posterior.join(_starts(spark, sf), lrs.ROAD)
+    p = s.posterior.join(shuffled(_starts(spark, sf)), lrs.ROAD)
     return p.select(*START, "segment_sequence", *[_r(f"total_{mode}_cost", 1) for mode in d.MODES])
 
 
@@ -429,7 +430,7 @@ _COST_SHOWN = " OR ".join(f"coalesce(total_{mode}_cost, 0) > 18100" for mode in
     FROM posterior WHERE {_COST_SHOWN}""",
 )
 def cost_view(spark, sf):
-    v = views.cost_view(_run(spark, sf, m.blend).posterior).join(_starts(spark, sf), lrs.ROAD)
+    v = views.cost_view(_run(spark, sf, m.blend).posterior).join(shuffled(_starts(spark, sf)), lrs.ROAD)
     return v.select(
         "road_name", "functional_class", *START, "segment_sequence",
         *[c for mode in d.MODES for c in (f"{mode}_cost", f"show_{mode}")],

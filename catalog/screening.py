@@ -10,6 +10,7 @@ from lanewise.operators import counts as k
 from lanewise.operators import lrs, network, ranking
 from lanewise.operators.cells import within_distance
 from lanewise.operators.filters import drop_omitted, flag_modes, last_n_years
+from lanewise.operators.skew import shuffled
 from lanewise.plans import swa, views
 from lanewise.sources.tables import study_params
 
@@ -99,7 +100,7 @@ def window_pieces(spark, sf):
     starts = network.dissolved_lines(edges(spark, sf)).select(*lrs.ROAD, "start_x", "start_y")
 
 
-    return lines.join(starts, lrs.ROAD).select(
+    return lines.join(shuffled(starts), lrs.ROAD).select(
         "start_x",
         "start_y",
         "segment_sequence",
@@ -226,7 +227,7 @@ def sliding_window_lines(spark, sf):
     lines = network.dissolved_lines(stitched)
     windows = lrs.sliding_windows(lines, WINDOW, STEP)
     cut = _ends(lrs.range_lines(windows, stitched, [*lrs.ROAD, "window_no"]))
-    return cut.join(lines.select(*lrs.ROAD, "start_x", "start_y"), lrs.ROAD).drop(*lrs.ROAD)
+    return cut.join(shuffled(lines.select(*lrs.ROAD, "start_x", "start_y")), lrs.ROAD).drop(*lrs.ROAD)
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .skew import salted_join
+from .skew import salted_join, shuffled
 
 CELL = ["study_id", "gx", "gy"]
 POINT_CELL_M = 100.0
@@ -253,7 +253,7 @@ def clip_lines(lines: DataFrame, area: DataFrame, line_id: str, size: float = AR
         .groupBy("study_id", line_id, "part")
         .agg(F.min("p0").alias("p0"), F.max("p1").alias("p1"))
     )
-    joined = lines.join(islands, ["study_id", line_id])
+    joined = lines.join(shuffled(islands), ["study_id", line_id])
 
     def at(p):
         i = F.least(F.floor(p), F.size("geom") - F.lit(2).cast("bigint")).cast("int")

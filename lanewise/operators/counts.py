@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import domain as d
 from .lrs import NOISE_M, ROAD, _num, step_bounds, step_count
+from .skew import shuffled
 
 MODE, SEVERITY = "crash_mode", "crash_severity"
 
@@ -151,7 +152,7 @@ def smooth_along(
     keys = [*key, *extra_keys]
     rows = df
     if count is None:
-        rows = df.join(df.groupBy(*key).agg(F.countDistinct(seq).alias("_count")), key)
+        rows = df.join(shuffled(df.groupBy(*key).agg(F.countDistinct(seq).alias("_count"))), key)
         count = "_count"
     offsets = F.array(
         *[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in zip(range(-half, half + 1), kernel(half, style))]
@@ -189,5 +190,5 @@ def proportional_sum(
 
 def left_fill(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str], fill=0) -> DataFrame:
     """Left join that fills the named columns where nothing matched."""
-    joined = left.join(right, keys, "left")
+    joined = left.join(shuffled(right), keys, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(fill)) for c in cols})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point
+from .skew import shuffled
 
 ROAD = ["study_id", "dissolved_pkey"]
 # A length this close to a whole number of steps counts as whole.
@@ -143,7 +144,7 @@ def range_lines(
     wanted = ranges.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_to"))
     buckets = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket)))
     parts = edges.select(*ROAD, "m0", "m1", "x0", "y0", "x1", "y1").withColumn("_bucket", buckets("m0", "m1"))
-    met = wanted.withColumn("_bucket", buckets("_from", "_to")).join(parts, [*ROAD, "_bucket"])
+    met = wanted.withColumn("_bucket", buckets("_from", "_to")).join(shuffled(parts), [*ROAD, "_bucket"])
     lo, hi = F.greatest("m0", "_from"), F.least("m1", "_to")
     inside = met.filter((hi - lo > NOISE_M) & (F.floor(lo / bucket) == F.col("_bucket")))
     span = F.col("m1") - F.col("m0")
@@ -188,6 +189,6 @@ def lrs_overlap(
     )))
     from_m = F.greatest(F.col(start), F.col(f"{start}_r"))
     overlap = F.least(F.col(end), F.col(f"{end}_r")) - from_m
-    pairs = listed(left).join(other, [*key, "_bucket"]).withColumn("overlap", overlap)
+    pairs = listed(left).join(shuffled(other), [*key, "_bucket"]).withColumn("overlap", overlap)
     enough = F.col("overlap") >= min_overlap if min_overlap > 0 else F.col("overlap") > 0
     return pairs.filter(enough & (F.floor(from_m / bucket) == F.col("_bucket"))).drop("_bucket")

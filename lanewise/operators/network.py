@@ -16,7 +16,7 @@ from ..domain import OMIT
 from ..functions import geometry as g
 from ..session import cut_lineage
 from .cells import edge_cells
-from .skew import salted_join
+from .skew import salted_join, shuffled
 
 NODE_DIGITS = 6  # crossings are placed to a micrometre
 
@@ -106,8 +106,8 @@ def split_at_marks(pieces: DataFrame, marks: DataFrame, keys: list[str]) -> Data
     ends = ["ax", "ay", "bx", "by"]
     edge = ["_key", *ends]
     named = pieces.withColumn("_key", digest(keys))
-    touched = named.join(marks.select(*edge).distinct(), edge, "left_semi")
-    whole = named.join(marks.select(*edge).distinct(), edge, "left_anti")
+    touched = named.join(shuffled(marks.select(*edge).distinct()), edge, "left_semi")
+    whole = named.join(shuffled(marks.select(*edge).distinct()), edge, "left_anti")
     stops = touched.select(*edge, g.point("ax", "ay").alias("_p"), F.lit(0.0).alias("_pos")).unionByName(
         touched.select(*edge, g.point("bx", "by").alias("_p"), F.lit(1.0).alias("_pos"))
     ).unionByName(marks.select(*edge, "_p", "_pos"))
@@ -118,7 +118,7 @@ def split_at_marks(pieces: DataFrame, marks: DataFrame, keys: list[str]) -> Data
         .filter(F.col("_q").isNotNull() & (F.col("_p") != F.col("_q")))
     )
     cut = (
-        touched.join(spans, edge)
+        touched.join(shuffled(spans), edge)
         .withColumn("first", F.when(F.col("drawn_ab"), F.col("first") | (F.col("_pos") > 0)).otherwise(
             F.col("first") | ~F.col("_last")))
         .select(*keys, "_p", "_q", "first", "drawn_ab")
@@ -208,7 +208,7 @@ def _rank(pieces: DataFrame, links: DataFrame) -> DataFrame:
     arcs = (
         pieces.select("piece", "len", both.alias("_b"))
         .select("piece", "len", "_b.*")
-        .join(links, ["piece", "head"], "left")
+        .join(shuffled(links), ["piece", "head"], "left")
         .withColumn("hops", F.lit(1).cast("bigint"))
         .withColumn("votes", F.col("votes").cast("bigint"))
         .withColumn("last_piece", F.col("piece"))
@@ -220,7 +220,7 @@ def _rank(pieces: DataFrame, links: DataFrame) -> DataFrame:
     if loops is None:
         return ranked
     # Open each closed loop at its smallest piece, at the same node in both directions.
-    fresh = arcs.join(loops, ["piece", "head"]).withColumn(
+    fresh = arcs.join(shuffled(loops), ["piece", "head"]).withColumn(
         "_open",
         ((F.col("head") == 0) & (F.col("piece") == F.col("loop")))
         | ((F.col("next_piece") == F.col("loop")) & (F.col("next_head") == 1)),
@@ -254,7 +254,7 @@ def _double(state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         ahead = done.unionByName(going).select(
             *[F.col(c).alias("_n" if c == "piece" else "_h" if c == "head" else f"n_{c}") for c in _STATE]
         )
-        joined = going.join(ahead, (F.col("next_piece") == F.col("_n")) & (F.col("next_head") == F.col("_h")))
+        joined = going.join(shuffled(ahead), (F.col("next_piece") == F.col("_n")) & (F.col("next_head") == F.col("_h")))
         moved = cut_lineage(
             joined.select(
                 "piece",
@@ -297,7 +297,7 @@ def _assemble(pieces: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFram
     tie = F.when(closed, c("last_piece0") <= c("last_piece1")).otherwise(starts_low)
     ahead = F.when(votes_ab != 0, votes_ab > 0).otherwise(tie)
     return (
-        pieces.join(two, "piece")
+        pieces.join(shuffled(two), "piece")
         .withColumn("_fwd", ahead)
         .withColumn("_m0", F.when(c("_fwd"), total - c("len1")).otherwise(total - c("len0")))
         .select(

@@ -16,7 +16,7 @@ from ..functions import geometry as g
 from ..session import cut_lineage
 from .cells import AREA_CELL_M, POINT_CELL_M, clip_polygons, edge_cells, point_cells, points_with_region
 from .network import digest, line_edges
-from .skew import salted_join
+from .skew import salted_join, shuffled
 
 SNAP_M = 1e-4
 STRAIGHT_M = 1e-6
@@ -40,7 +40,7 @@ def dissolve_polygons(polygons: DataFrame, keys: list[str], snap: float = SNAP_M
     rings = cut_lineage(_rings(arcs))
     parts = _with_holes(rings, size)
     names = named.select(*keys, "_key").distinct()
-    return names.join(parts, "_key").select(*keys, "part", "rings", "area")
+    return names.join(shuffled(parts), "_key").select(*keys, "part", "rings", "area")
 
 
 def clipped_outlines(polygons: DataFrame, area: DataFrame, key: str, size: float = AREA_CELL_M) -> DataFrame:
@@ -77,7 +77,7 @@ def _snapped(sides: DataFrame, snap: float) -> DataFrame:
     for x, y in (("x0", "y0"), ("x1", "y1")):
         to = moved.select("_key", F.col("x").alias(x), F.col("y").alias(y), "_to")
         sides = (
-            sides.join(to, ["_key", x, y], "left")
+            sides.join(shuffled(to), ["_key", x, y], "left")
             .withColumn(x, F.coalesce("_to.ox", x))
             .withColumn(y, F.coalesce("_to.oy", y))
             .drop("_to")
@@ -117,7 +117,7 @@ def _divided(edges: DataFrame, snap: float) -> DataFrame:
     marks = salted_join(point_cells(spots, POINT_CELL_M), listed, ["_key", "gx", "gy"], ["x", "y"], residual=on & ~is_end)
     back = {v: k for k, v in ends.items()}
     marks = cut_lineage(marks.select("_key", *ends.values(), "n", "x", "y", (along / square).alias("_pos")).withColumnsRenamed(back))
-    whole = edges.join(marks.select(*_EDGE).distinct(), _EDGE, "left_anti").withColumnsRenamed(ends)
+    whole = edges.join(shuffled(marks.select(*_EDGE).distinct()), _EDGE, "left_anti").withColumnsRenamed(ends)
     first = marks.select(*_EDGE, "n", F.col("ax").alias("x"), F.col("ay").alias("y"), F.lit(0.0).alias("_pos")).distinct()
     order = Window.partitionBy(*_EDGE).orderBy("_pos")
     cut = marks.unionByName(first).select(
@@ -193,13 +193,13 @@ def _walk(turns: DataFrame) -> DataFrame:
 
 def _rings(arcs: DataFrame) -> DataFrame:
     """Closed rings ``_key, ring, geom, area``; the area of holes is negative."""
-    walked = arcs.join(_walk(_turns(arcs, "_key", inside=True)), "arc")
+    walked = arcs.join(shuffled(_walk(_turns(arcs, "_key", inside=True))), "arc")
     knotted = walked.groupBy("ring", "x0", "y0").count().filter("count > 1").select("ring").distinct()
     knotted = cut_lineage(knotted)
     if not knotted.isEmpty():
-        loose = walked.join(knotted, "ring", "left_semi")
-        again = arcs.join(_walk(_turns(loose, "ring", inside=False)), "arc")
-        walked = walked.join(knotted, "ring", "left_anti").unionByName(again.select(*walked.columns))
+        loose = walked.join(shuffled(knotted), "ring", "left_semi")
+        again = arcs.join(shuffled(_walk(_turns(loose, "ring", inside=False))), "arc")
+        walked = walked.join(shuffled(knotted), "ring", "left_anti").unionByName(again.select(*walked.columns))
     # One group is the vertices of one ring, which end up in one row anyway.
     steps = F.array_sort(F.collect_list(F.struct((F.col("d") > 0).alias("later"), (-F.col("d")).alias("step"), "x0", "y0")))
     drawn = walked.groupBy("_key", "ring").agg(steps.alias("_steps"))
@@ -233,17 +233,17 @@ def _with_holes(rings: DataFrame, size: float) -> DataFrame:
     spots = holes.select(
         F.col("_key").alias("study_id"), F.col("ring").alias("hole"), ((p["x"] + q["x"]) / 2).alias("x"), ((p["y"] + q["y"]) / 2).alias("y")
     )
-    hosts = outer.join(holes.select("_key").distinct(), "_key", "left_semi").select(
+    hosts = outer.join(shuffled(holes.select("_key").distinct()), "_key", "left_semi").select(
         F.col("_key").alias("study_id"), F.struct("area", "ring").alias("host"), F.array("geom").alias("rings")
     )
     held = points_with_region(spots, hosts, "host", size, ("hole",)).groupBy("hole").agg(F.min("host").alias("_host"))
     inner = (
-        holes.join(held.select(F.col("hole").alias("ring"), F.col("_host.ring").alias("_of")), "ring")
+        holes.join(shuffled(held.select(F.col("hole").alias("ring"), F.col("_host.ring").alias("_of"))), "ring")
         .groupBy(F.col("_of").alias("ring"))
         .agg(F.sort_array(F.collect_list("geom")).alias("_holes"), F.sum("area").alias("_less"))
     )
     none = F.array().cast(g.POLYGON)
-    return outer.join(inner, "ring", "left").select(
+    return outer.join(shuffled(inner), "ring", "left").select(
         "_key",
         F.lower(F.hex("ring")).alias("part"),
         F.concat(F.array("geom"), F.coalesce("_holes", none)).alias("rings"),

@@ -9,6 +9,15 @@ HOT_KEYS = 100_000
 HOT_ROWS = 200_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled whatever its estimated size.
+
+    Estimates start from compressed files and know nothing of explodes, so a side that grows with the
+    data can pass for a small one, and broadcasting it takes it whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def key_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per key, combined map-side."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -39,7 +48,7 @@ def salted_join(
 
     Rows of ``many`` under a hot key get a salt from a hash of ``salt_on`` (stable columns,
     so a re-run task writes the same rows); rows of ``few`` are copied once per salt of
-    their key. Ordinary keys keep salt 0 on both sides and are not copied. ``sizes`` may pass
+    their key. Ordinary keys keep salt 0 on both sides and are not copied. Neither side is broadcast. ``sizes`` may pass
     row counts per key (``_rows``) that are at hand, which saves the counting pass.
     """
     counted = key_sizes(many, keys) if sizes is None else sizes
@@ -59,8 +68,8 @@ def salted_join(
         match = residual
         for k in [*keys, "_salt"]:
             match = match & (F.col(k) == F.col(f"_r_{k}"))
-        return left.join(right, match, "left_semi").drop("_salt")
-    joined = left.join(right, [*keys, "_salt"], how).drop("_salt")
+        return left.join(shuffled(right), match, "left_semi").drop("_salt")
+    joined = left.join(shuffled(right), [*keys, "_salt"], how).drop("_salt")
     return joined if residual is None else joined.filter(residual)
 
 

@@ -10,6 +10,7 @@ from ..functions.geometry import line_length
 from .cells import within_distance
 from .filters import drop_omitted, last_n_years, mapping_table
 from .network import line_edges
+from .skew import shuffled
 
 STUDY = ("study_id",)
 CUBE = ["crash_year", "crash_mode", "crash_severity", "functional_class"]
@@ -28,7 +29,7 @@ def nearest_road(crashes: DataFrame, roads: DataFrame, join_m: float) -> DataFra
         .agg(F.min(F.struct("dist", "road_id", "functional_class")).alias("_b"))
         .select(*place, "_b.dist", "_b.road_id", "_b.functional_class")
     )
-    found = crashes.join(best, place, "left").select(*crashes.columns, "dist", "road_id", "functional_class")
+    found = crashes.join(shuffled(best), place, "left").select(*crashes.columns, "dist", "road_id", "functional_class")
     rest = [c for c in found.columns if c not in ("study_id", "crash_id")]
     nearer = F.struct(F.col("dist").isNull(), "dist", "x", "y")
     one = found.filter(F.col("crash_id").isNotNull()).groupBy("study_id", "crash_id").agg(

@@ -16,6 +16,7 @@ from ..operators.cells import AREA_CELL_M, tile_polygons
 from ..operators.filters import last_n_years
 from ..operators.lrs import short_windows
 from ..operators.network import dissolved_lines
+from ..operators.skew import shuffled
 from ..operators.summary import missing_non_fatal
 
 
@@ -134,7 +135,7 @@ def estimate_fatal(s: ModelStore, p: ModelParams) -> ModelStore:
     rated = e.initial_fatal(_with_state(s.pieces, s, p), s.rates, p.state)
     pieces = e.scaled_fatal(rated, s.block_groups)
     rolled = e.segment_fatal(pieces)
-    return replace(s, pieces=pieces, fatal=s.windows.join(rolled, e.SEGMENT, "left"))
+    return replace(s, pieces=pieces, fatal=s.windows.join(shuffled(rolled), e.SEGMENT, "left"))
 
 
 def estimate_severities(s: ModelStore, p: ModelParams) -> ModelStore:

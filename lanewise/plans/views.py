@@ -11,13 +11,14 @@ from ..operators.estimates import int_costs
 from ..operators.filters import flag_modes
 from ..operators.lrs import ROAD, cut_at_steps, window_lines
 from ..operators.network import merge_lines
+from ..operators.skew import shuffled
 
 
 def with_lines(view: DataFrame, edges: DataFrame, step) -> DataFrame:
     """Adds the line (``geom``) of each short window of ``view``; only its windows are kept of the cut edges."""
     keys = [*ROAD, "segment_sequence"]
-    pieces = cut_at_steps(edges, step).join(view.select(*keys), keys, "left_semi")
-    return view.join(window_lines(pieces, keys), keys, "left")
+    pieces = cut_at_steps(edges, step).join(shuffled(view.select(*keys)), keys, "left_semi")
+    return view.join(shuffled(window_lines(pieces, keys)), keys, "left")
 
 
 def swa_view(short: DataFrame, edges: DataFrame | None = None, step=None) -> DataFrame:
@@ -33,7 +34,7 @@ def merge_equal_scores(edges: DataFrame, short: DataFrame, step: float, node_cro
     edges of another make need ``node_crossings``.
     """
     scored = flag_modes(short, "crash_score").select(*ROAD, "segment_sequence", *d.SCORE_COLUMNS)
-    pieces = cut_at_steps(edges, step).join(scored, [*ROAD, "segment_sequence"])
+    pieces = cut_at_steps(edges, step).join(shuffled(scored), [*ROAD, "segment_sequence"])
     keys = ["study_id", "road_name", "functional_class", *d.SCORE_COLUMNS]
     merged = merge_lines(pieces.withColumn("edge_no", F.lit(0)), keys, node_crossings)
     return flag_modes(merged, "crash_score").withColumn("road_name", pg_initcap(F.col("road_name")))

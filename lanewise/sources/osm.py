@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import OSM_CLASS_MAP
 from ..functions.geometry import point
+from ..operators.skew import shuffled
 
 HIGHWAYS = list(OSM_CLASS_MAP)
 CLOSED = ["private", "no"]
@@ -35,11 +36,11 @@ def assemble_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     Ways with fewer than two known nodes are dropped.
     """
     refs = ways.select("osm_id", F.posexplode("node_ids").alias("pos", "node_id"))
-    placed = refs.join(nodes.select("node_id", "lon", "lat"), "node_id")
+    placed = refs.join(shuffled(nodes.select("node_id", "lon", "lat")), "node_id")
     geoms = placed.groupBy("osm_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", point("lon", "lat").alias("p")))).alias("_v")
     ).select("osm_id", F.transform("_v", lambda v: v["p"]).alias("geom")).filter(F.size("geom") >= 2)
-    return ways.drop("node_ids").join(geoms, "osm_id")
+    return ways.drop("node_ids").join(shuffled(geoms), "osm_id")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

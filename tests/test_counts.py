@@ -2,13 +2,14 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lanewise.operators import counts as k
 from lanewise.operators import estimates as e
-from lanewise.operators import lrs, network, skew
+from lanewise.operators import lrs, network, skew, summary
 from lanewise.operators.cells import within_distance
 
 
@@ -216,3 +217,26 @@ def test_plans_have_no_nested_loops(spark, make_lines):
     for df in plans:
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_growing_sides_are_not_broadcast_on_an_estimate(spark, make_lines, tmp_path):
+    """Tables this small all pass for broadcasts; only the bounded list of hot keys may be one."""
+
+    def read(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    roads = read(make_lines([(1, "a", [(0, 0), (150, 0)])]), "roads")
+    crashes = read(crash_frame(spark, [(1, 1, "ped", "K")]).withColumn("crash_id", F.xxhash64("x")), "crashes")
+    steps = "study_id int, dissolved_pkey string, segment_sequence int, start_distance_m double, end_distance_m double"
+    steps = read(spark.createDataFrame([(1, "a", 0, 0.0, 50.0), (1, "a", 1, 50.0, 100.0)], steps), "steps")
+    key = [*lrs.ROAD, "segment_sequence"]
+    plans = {
+        "_salt": within_distance(network.line_edges(roads), crashes, 15.0),
+        "crash_id": summary.nearest_road(crashes, roads, 15.0),
+        "_bucket": lrs.lrs_overlap(steps, steps, lrs.ROAD),
+        "segment_sequence": k.left_fill(steps, steps.select(*key), key, []),
+    }
+    for column, df in plans.items():
+        joins = re.findall(r"(\w+Join) ([^\n]*)", df._jdf.queryExecution().executedPlan().toString())
+        assert {kind for kind, on in joins if column in on} == {"SortMergeJoin"}, (column, joins)
