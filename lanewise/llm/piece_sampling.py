@@ -44,6 +44,8 @@ CACHE_UNITS = 100_000
 BUILD_UNITS = 5_000
 # -log of the smallest exponential variable that a 53-bit uniform number can give
 REACH = 38.0
+# shares down to this log keep all digits, and so do their sums
+LEAST_LOG = -700.0
 
 _UNIT = re.compile(" *[^ ]+| +$")
 
@@ -149,9 +151,12 @@ class Lattices:
         coded = cut.flatten().dictionary_encode()
         known = [" " + w for w in coded.dictionary.to_pylist()]
         own = {int(i): _UNIT.findall(" " + texts[i]) if texts[i] else [] for i in np.flatnonzero(odd)}
-        new = [u for u in dict.fromkeys(chain(known, *own.values())) if u not in self.first]
-        self._keep([u for u in new if u in self.old_first])
-        new = [u for u in new if u not in self.first]
+        met = dict.fromkeys(chain(known, *own.values())) if own else known
+        new = [u for u in met if u not in self.first]
+        held = [u for u in new if u in self.old_first]
+        if held:
+            self._keep(held)
+            new = [u for u in new if u not in self.old_first]
         for at in range(0, len(new), BUILD_UNITS):
             self._add(new[at : at + BUILD_UNITS])
         of = np.fromiter(map(self.first.__getitem__, known), np.int64, len(known))
@@ -258,16 +263,29 @@ class Lattices:
 
 
 def _beside(logs: np.ndarray, first: np.ndarray, degrees: np.ndarray) -> np.ndarray:
-    """Log of the summed ``exp(logs)`` of the other edges of each edge's state: sums from both sides, nothing is subtracted."""
-    out = np.full(len(logs), -np.inf)
-    for step in (1, -1):
-        so_far = np.full(len(first), -np.inf)
-        for n in range(int(degrees.max(initial=0))):
-            use = np.flatnonzero(degrees > n)
-            edges = first[use] + (n if step > 0 else degrees[use] - 1 - n)
-            out[edges] = np.logaddexp(out[edges], so_far[use])
-            so_far[use] = np.logaddexp(so_far[use], logs[edges])
-    return out
+    """Log of the summed ``exp(logs)`` of the other edges of each edge's state: sums from both sides, nothing is subtracted.
+
+    Shares are summed as they are, unless one is so small that it would lose digits.
+    """
+    if not len(logs):
+        return np.zeros(0)
+    plain = float(logs.min()) > LEAST_LOG
+    value, none, add = (np.exp(logs), 0.0, np.add) if plain else (logs, -np.inf, np.logaddexp)
+    out = np.full(len(logs), none)
+    fewer = int(degrees.max()) - degrees
+    order = np.argsort(fewer.astype(np.uint16) if int(degrees.max()) < 1 << 16 else fewer, kind="stable")  # states with more than n edges come first
+    begin, end = first[order], (first + degrees - 1)[order]
+    many = np.cumsum(np.bincount(degrees)[::-1])[::-1][1:].tolist()
+    for edges_of in (lambda n, k: begin[:k] + n, lambda n, k: end[:k] - n):
+        so_far = np.full(len(first), none)
+        for n, k in enumerate(many):
+            edges = edges_of(n, k)
+            out[edges] = add(out[edges], so_far[:k])
+            so_far[:k] = add(so_far[:k], value[edges])
+    if not plain:
+        return out
+    with np.errstate(divide="ignore"):
+        return np.log(out)
 
 
 def _log_sum(values: list[float]) -> float:

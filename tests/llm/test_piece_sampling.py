@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from lanewise.llm.piece_sampling import SHARPNESS, Lattices, Vocabulary, _log_inclusion, decode_flat, decode_pieces, sample_batch, sample_pieces
+from lanewise.llm.piece_sampling import SHARPNESS, Lattices, Vocabulary, _beside, _log_inclusion, decode_flat, decode_pieces, sample_batch, sample_pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -162,3 +162,19 @@ def test_memory_of_a_worker_is_bounded():
     done = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, timeout=600, check=True)
     most, units = map(int, done.stdout.split())
     assert most < 350 and units > 50_000
+
+
+def test_log_mass_beside_each_edge():
+    """Plain sums where all shares keep their digits, sums of logs where one is too small."""
+    rng = np.random.default_rng(5)
+    degrees = np.array([1, 4, 2, 1, 7, 3])
+    first = np.cumsum(degrees) - degrees
+    for least in (-30.0, -690.0, -900.0):
+        logs = rng.uniform(least, 0, int(degrees.sum()))
+        logs[[1, 5]] = least + 0.5, least
+        got = _beside(logs, first, degrees)
+        for f, d in zip(first, degrees):
+            for e in range(f, f + d):
+                others = [logs[x] for x in range(f, f + d) if x != e]
+                assert got[e] == (pytest.approx(np.logaddexp.reduce(others), rel=1e-13, abs=1e-13) if others else -np.inf)
+    assert len(_beside(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
