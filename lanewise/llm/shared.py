@@ -63,6 +63,15 @@ def mapped(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype) if f.tell() else np.zeros(0, dtype)
 
 
+def hand_back() -> None:
+    """Return this process's freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def trimmed(run):
     """``run`` for ``mapInArrow``, after which the worker hands freed memory back to the system.
 
@@ -71,10 +80,6 @@ def trimmed(run):
 
     def whole(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-        if trim:
-            trim(0)
+        hand_back()
 
     return whole

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import trimmed
+from .shared import hand_back, trimmed
 from .words import slices, words_of
 
 BUCKETS = 1 << 17
@@ -140,8 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     classes = tuple(sorted(set(given.tolist()) | {0, 1}))
     if not found.num_rows:
         return Classifier(classes, np.zeros((buckets, len(classes)), np.float32), np.zeros(len(classes), np.float32))
-    bag = [(np.frombuffer(found["buckets"][int(i)].as_py(), np.int32), np.frombuffer(found["counts"][int(i)].as_py(), np.float32)) for i in order]
+    # views of the collected rows, not copies
+    bag = [(np.frombuffer(found["buckets"][int(i)].as_buffer(), np.int32), np.frombuffer(found["counts"][int(i)].as_buffer(), np.float32)) for i in order]
     shares, bias = train(bag, np.searchsorted(classes, given[order]), len(classes), buckets, seed=seed)
+    # the driver lives on through the stages that follow
+    del bag, found
+    hand_back()
     return Classifier(classes, shares, bias)
 
 

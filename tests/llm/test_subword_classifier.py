@@ -1,6 +1,11 @@
+import re
+from pathlib import Path
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from lanewise.llm.queries import QUERIES
+from lanewise.llm.shared import hand_back
 from lanewise.llm.subword_classifier import ACCEPT, features, fit, score
 
 SF = "/root/testdata/sf0.01"
@@ -42,3 +47,21 @@ def test_documents(spark, documents):
     assert score(documents.limit(0), model, "text").count() == 0
     none = fit(documents, labels.limit(0), "doc_id", "text", "quality")
     assert {r.score for r in score(documents, none, "text").collect()} == {0.5}
+
+
+def _own_mb():
+    return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+
+def test_training_gives_memory_back(spark):
+    """What the driver collects to train on must not stay with it for the stages that follow."""
+    word = lambda i: F.substring(F.md5(F.concat_ws("-", "doc_id", i).cast("binary")), 1, 12)
+    docs = spark.range(1500).select(
+        F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), word), " ").alias("text")
+    )
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    fit(docs, labels, "doc_id", "text", "quality", sample=20)
+    hand_back()
+    before = _own_mb()
+    model = fit(docs, labels, "doc_id", "text", "quality")
+    assert len(model.shares) and _own_mb() - before < 25
