@@ -9,6 +9,7 @@ from lanewise.functions import geometry as g
 from lanewise.functions.geometry import line_length
 from lanewise.functions.text import pg_initcap
 from lanewise.operators import classify, filters, quality, ranking, summary
+from lanewise.session import cut_lineage
 from lanewise.sinks import writers
 from lanewise.sources import features, osm, tables
 
@@ -589,7 +590,7 @@ def natural_breaks(spark, sf):
 )
 def assign_class(spark, sf):
     """Classes between the least, the mean and the largest score of each mode, so every score has one."""
-    scores = _long_scores(spark, sf)
+    scores = cut_lineage(_long_scores(spark, sf))  # read three times
     low, mean, top = F.min("score").cast("double"), F.sum("score").cast("double") / F.count("score"), F.max("score").cast("double")
     limits = scores.groupBy("crash_mode").agg(F.array(low, mean, (mean + top) / 2, top).alias("breaks"))
     return classify.assign_class(scores, limits, "score", ["crash_mode"], ["start_x", "start_y", "segment_sequence"])

@@ -110,11 +110,12 @@ def score_windows(
     """Lines, all sliding windows with counts and scores, all short windows with scores.
 
     Short windows take their best score from the reached windows alone, so asking for them
-    does not build the table of all sliding windows.
+    does not build the table of all sliding windows. The reached windows feed both and are written once: with
+    them in the plan several times the driver's memory, which replans after each stage, grows with the copies.
     """
     edges = with_params(edges, params)
     lines = dissolved_lines(edges, ["window_m", "step_m"])
-    reached = scored_windows(edges, crashes, params)
+    reached = cut_lineage(scored_windows(edges, crashes, params))
     found = reached.select(*ROAD, "window_no", *d.COUNT_COLUMNS, *d.SCORE_COLUMNS)
     every = sliding_windows(lines, "window_m", "step_m")
     sliding = k.left_fill(every, found, [*ROAD, "window_no"], [*d.COUNT_COLUMNS, *d.SCORE_COLUMNS])
@@ -131,7 +132,7 @@ def run_swa(
     ``params`` is one set for all studies or a table with each study's own
     (:func:`~lanewise.sources.tables.study_params`).
 
-    The stitched edges feed three branches and are written once; the rest is one lazy plan.
+    The stitched edges and the reached windows feed several branches and are written once; the rest is lazy.
     """
     edges = cut_lineage(dissolve_roads(roads))
     lines, sliding, short = score_windows(edges, crashes, params)

@@ -28,3 +28,9 @@ def test_query(spark, con, name):
     sql = ORACLES.get(name)
     message, _, _ = compare(spark, con, SF, name, QUERIES[name], sql)
     assert message is None
+
+
+@pytest.mark.parametrize("name", ["assign_class", "eb_update"])
+def test_crashes_are_matched_once(spark, name):
+    """Results start from matched crashes that were written, not from several copies of the matching's plan."""
+    assert not [f for f in QUERIES[name](spark, SF).inputFiles() if "orders" in f]
