@@ -18,6 +18,7 @@ from ..operators.lrs import short_windows
 from ..operators.network import dissolved_lines
 from ..operators.skew import shuffled
 from ..operators.summary import missing_non_fatal
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,8 @@ def assign_mileage(s: ModelStore, p: ModelParams) -> ModelStore:
     tiles = s.tiles
     if tiles is None:
         tiles = tile_polygons(s.block_groups.select("study_id", "geoid", "rings"), p.cell_m)
-    return replace(s, pieces=e.effective_mileage(s.edges, tiles, _step(s, p), p.buffer_m, p.cell_m))
+    pieces = e.effective_mileage(s.edges, tiles, _step(s, p), p.buffer_m, p.cell_m)
+    return replace(s, pieces=cut_lineage(pieces))
 
 
 def estimate_fatal(s: ModelStore, p: ModelParams) -> ModelStore:
@@ -149,8 +151,8 @@ def count_observed(s: ModelStore, p: ModelParams) -> ModelStore:
     reach = p.join_m if s.studies is None else "join_m"
     return replace(
         s,
-        observed=e.observed_counts(
-            s.edges, crashes, _step(s, p), p.fine_m, reach, p.half_width, p.style, p.modes
+        observed=cut_lineage(
+            e.observed_counts(s.edges, crashes, _step(s, p), p.fine_m, reach, p.half_width, p.style, p.modes)
         ),
     )
 
@@ -173,7 +175,11 @@ STEPS: list[Step] = [own_params, build_windows, assign_mileage, estimate_fatal,
 def run_model(
     inputs: ModelStore, params: ModelParams = ModelParams(), before: list[Step] = (), after: list[Step] = ()
 ) -> ModelStore:
-    """Chain the steps over the store. Every step is lazy; writing a result runs one job."""
+    """Chain the steps over the store.
+
+    The pieces of windows and the observed counts are written when their step runs, so that no plan holds
+    them several times or together; the other steps are lazy.
+    """
     return reduce(lambda s, step: step(s, params), [*before, *STEPS, *after], inputs)
 
 

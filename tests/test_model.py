@@ -98,3 +98,12 @@ def test_model_by_study_equals_one_run_each(spark, studies_input):
         for a, b in zip(have, want):
             assert [x if x is None or isinstance(x, str) else pytest.approx(x) for x in b] == list(a)
         assert counts[study] == views.cost_view(posterior, params.costs["O"]).count()
+
+
+def test_shared_parts_are_written_once(spark, studies_input):
+    """Later steps read the pieces and the observed counts; copies of their plans would add up in the driver."""
+    edges, crashes = studies_input
+    store = m.build_windows(_store(spark, edges, crashes), m.ModelParams(state="X"))
+    s = m.count_observed(m.assign_mileage(store, m.ModelParams(state="X")), m.ModelParams(state="X"))
+    for df in (s.pieces, s.observed):
+        assert df._jdf.queryExecution().optimizedPlan().toString().startswith("LogicalRDD")
