@@ -258,7 +258,8 @@ def observed_counts(
 
 
 def _no_nan(col: Column) -> Column:
-    return F.when(~F.isnan(col), col)
+    # names its argument once: as a condition it would double the whole expression at every level
+    return F.nanvl(col, F.lit(None).cast("double"))
 
 
 def eb_update(

@@ -136,7 +136,7 @@ def assign_mileage(s: ModelStore, p: ModelParams) -> ModelStore:
 def estimate_fatal(s: ModelStore, p: ModelParams) -> ModelStore:
     rated = e.initial_fatal(_with_state(s.pieces, s, p), s.rates, p.state)
     pieces = e.scaled_fatal(rated, s.block_groups)
-    rolled = e.segment_fatal(pieces)
+    rolled = cut_lineage(e.segment_fatal(pieces))
     return replace(s, pieces=pieces, fatal=s.windows.join(shuffled(rolled), e.SEGMENT, "left"))
 
 
@@ -177,8 +177,8 @@ def run_model(
 ) -> ModelStore:
     """Chain the steps over the store.
 
-    The pieces of windows and the observed counts are written when their step runs, so that no plan holds
-    them several times or together; the other steps are lazy.
+    The pieces of windows, their estimates by window and the observed counts are written when their step runs, so
+    that no plan holds them several times or together; the other steps are lazy.
     """
     return reduce(lambda s, step: step(s, params), [*before, *STEPS, *after], inputs)
 

@@ -107,3 +107,19 @@ def test_shared_parts_are_written_once(spark, studies_input):
     s = m.count_observed(m.assign_mileage(store, m.ModelParams(state="X")), m.ModelParams(state="X"))
     for df in (s.pieces, s.observed):
         assert df._jdf.queryExecution().optimizedPlan().toString().startswith("LogicalRDD")
+
+
+def test_posteriors_start_from_estimates_that_were_written(spark, studies_input):
+    """The driver replans all that follows after each stage, so the roll-up by window is no part of it."""
+    edges, crashes = studies_input
+    params = m.ModelParams(state="X")
+    s = m.estimate_fatal(m.assign_mileage(m.build_windows(_store(spark, edges, crashes), params), params), params)
+    assert "effective_mileage" not in s.fatal._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_costs_name_each_weight_twice(spark):
+    """A view's filter and its columns repeat the costs; fifteen weights a cost fill the driver if each is repeated inside as well."""
+    cols = [f"{mode}_cv" for mode in d.MODES] + [f"{x}" for mode in d.MODES for s in e.KEYS for x in (f"est_{mode}_{s}", f"{mode}_{s}_obs")]
+    rows = spark.range(1).select(*[F.rand(i).alias(c) for i, c in enumerate(cols)])
+    total = e.crash_costs(e.eb_update(rows)).select("total_mv_cost")
+    assert total._jdf.queryExecution().optimizedPlan().toString().count("POWER(") == 2 * len(e.KEYS)
