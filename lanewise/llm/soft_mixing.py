@@ -78,26 +78,31 @@ def with_posteriors(docs: DataFrame, text_col: str, priors: list[float], likely:
     The summed evidence of n words is scaled by ``TRUST / (TRUST + n)``, which keeps long texts' membership
     soft. A text without words has the priors.
     """
-    own = {c: _free(docs, c) for c in ("_buckets", "_logs", "_scores", "_top", "_exp", "_total")}
-    buckets = word_buckets(F.col(text_col), len(likely[0]))
-    first = docs.withColumn(own["_buckets"], buckets)
-    n = F.size(own["_buckets"]).cast("double")
-    scale = F.lit(TRUST) / (F.lit(TRUST) + n)
-
-    def evidence(k):
-        table = _numbers(likely[k])
-        return F.lit(priors[k]) + scale * F.aggregate(own["_buckets"], F.lit(0.0), lambda acc, b: acc + table[b])
-
+    own = {c: _free(docs, c) for c in ("_sums", "_logs", "_scores", "_top", "_exp", "_total")}
+    # The tables come by subquery: as constants they would be part of every text of the plan, and the driver keeps those. Each is named
+    # once, and so are the words, so the optimizer puts them in their places and no row carries a table.
+    names = [_free(docs, f"_likely_{k}") for k in range(len(priors) - 1)]
+    tables = docs.sparkSession.createDataFrame([(likely[: len(names)],)], "tables array<array<double>>")
+    first = docs.withColumns({name: tables.select(F.col("tables")[k]).scalar() for k, name in enumerate(names)})
+    none = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(name) for name in names])
+
+    def add(acc, b):
+        return F.struct((acc["n"] + 1).alias("n"), *[(acc[name] + F.col(name)[b]).alias(name) for name in names])
+
+    sums = F.aggregate(word_buckets(F.col(text_col), len(likely[0])), none, add)
+    summed = first.withColumn(own["_sums"], sums).drop(*names)
+    of = F.col(own["_sums"])
+    scale = F.lit(TRUST) / (F.lit(TRUST) + of["n"].cast("double"))
     # the last domain is what the others leave open, since evidence sums to zero over the domains
-    logs = [evidence(k) - F.lit(priors[k]) for k in range(len(priors) - 1)]
-    held = first.withColumn(own["_logs"], F.array(*logs) if logs else F.expr("cast(array() as array<double>)"))
+    logs = [F.lit(priors[k]) + scale * of[name] - F.lit(priors[k]) for k, name in enumerate(names)]
+    held = summed.withColumn(own["_logs"], F.array(*logs) if logs else F.expr("cast(array() as array<double>)"))
     rest = F.lit(0.0) - F.aggregate(own["_logs"], F.lit(0.0), lambda acc, x: acc + x)
     scores = F.zip_with(F.concat(own["_logs"], F.array(rest)), _numbers(priors), lambda x, p: x + p)
     held = held.withColumn(own["_scores"], scores).withColumn(own["_top"], F.array_max(own["_scores"]))
     held = held.withColumn(own["_exp"], F.transform(own["_scores"], lambda x: F.exp(x - F.col(own["_top"]))))
     total = F.aggregate(own["_exp"], F.lit(0.0), lambda acc, x: acc + x)
     return (
-        held.withColumn(size_col, F.size(own["_buckets"]).cast("long"))
+        held.withColumn(size_col, of["n"].cast("long"))
         .withColumn(own["_total"], total)
         .withColumn(out_col, F.transform(own["_exp"], lambda x: x / F.col(own["_total"])))
         .drop(*own.values())

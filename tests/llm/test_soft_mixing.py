@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from lanewise.llm.queries import TARGETS, domain_labels
-from lanewise.llm.soft_mixing import FEATURES, SMOOTH, TRUST, fit_rates, mix
+from lanewise.llm.soft_mixing import FEATURES, SMOOTH, TRUST, fit_rates, mix, with_posteriors
 
 SF = "/root/testdata/sf0.001"
 
@@ -132,3 +132,12 @@ def test_rare_words_tell_domains_apart(spark):
 
     kept = {r.doc_id for r in resample(docs, labels, "doc_id", "text", {"clean": 1.0, "toxic": 0.25}).collect()}
     assert sum(i % 10 != 0 for i in kept) > 0.9 * 540 and sum(i % 10 == 0 for i in kept) < 40
+
+
+def test_plans_hold_no_tables(spark):
+    """As constants the tables were 2.6 MB of every text of the plan; as columns every row would carry them."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    likely = [[0.125 + k] * 4096 for k in range(3)]
+    plan = with_posteriors(docs, "text", [-1.0, -1.5, -0.9], likely, "p", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000
+    assert " AS _likely_" not in plan
