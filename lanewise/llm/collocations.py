@@ -2,9 +2,10 @@
 
 Words of at least ``least`` occurrences get an id per (group, word), and the texts are written once as runs of ids; a piece's end or a rarer
 word ends a run, so no frequent phrase is lost. Level ``k`` of the trie takes the state of a phrase of ``k - 1`` words and the id of
-the next word to the state of the longer phrase: ``check[base[state] + id] == state``. Workers start at all positions of a run
-at once, and one array step per level takes every position to its phrase of two, three, .. words. Accepting states are counted
-by ``bincount`` per task and summed.
+the next word to the state of the longer phrase: ``check[base[row] + id] == row``. A state's children are dealt by id to rows of about
+``ROW``, for many children lie far apart, and such rows fit between each other only in arrays far larger than the trie. Workers start at
+all positions of a run at once, and one array step per level takes every position to its phrase of two, three, .. words. Accepting states
+are counted per stretch of a text and summed.
 
 Only candidates enter a level, and they are safe: a phrase is as rare as its rarest part, so a position can begin
 one of ``k + 1`` words only if the tries accept the ``k`` words there and the ``k`` words at the next position. Such
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lanewise.operators.skew import salted_join, top_per_group
 
-from .shared import mapped, put, scratch, stored
+from .shared import hand_back, mapped, put, scratch, stored, trimmed
 from .words import slices, spread
 
 WORDS, LEAST = 5, 100
@@ -34,10 +35,13 @@ TOP = 2000
 #: Percent of a phrase's occurrences in a longer phrase that make it a mere part of that.
 SHARE = 100
 SHARD = 1 << 20
-#: Places tried at a time for a state's children, and how often, before they go to the end.
+#: Children of a state per row of the double array.
+ROW = 8
+#: Places tried at a time for a row, and how often, before those passed over are left to rows of one child.
 TRIES, ROUNDS = 128, 8
-#: Ids per row of the encoded texts, and sums held by a task before they are given out.
-ROW_IDS, HOLD = 1 << 17, 1 << 20
+#: Ids taken at a time, ids per row of the encoded texts, and sums held by a task before they are given out. Rows are short, for
+#: Spark hands over 10,000 at once, and its buffers for them lie outside of the heap.
+STRETCH, ROW_IDS, HOLD = 1 << 17, 1 << 7, 1 << 20
 #: Bytes of text taken at a time.
 SLICE_BYTES = 2 << 20
 
@@ -85,7 +89,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             found = words.take(pa.array(keys % max(1, len(words))))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(keys // max(1, len(words)))), found, pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
-    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(trimmed(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _digest(lang: str, word: str) -> int:
@@ -185,22 +189,31 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             # a text's end is a break, too
             flat = np.insert(ids[back], np.cumsum(counts), 0)
             for part in _compact(flat):
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([part.astype("<i4").tobytes()], pa.binary())})
+                offsets = 4 * np.concatenate([[0], _ends(part, ROW_IDS)])
+                rows = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(part.astype("<i4"))]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(offsets) - 1, rows)], names=["ids"])
 
-    return texts.mapInArrow(run, "ids binary")
+    return texts.mapInArrow(trimmed(run), "ids binary")
 
 
 def _compact(ids: np.ndarray):
-    """Runs of two ids at least with one zero after each, in stretches of about ``ROW_IDS``."""
+    """Runs of two ids at least with one zero after each, in stretches of about ``STRETCH``."""
     beside = np.concatenate([[0], ids, [0]])
     use = (ids > 0) & ((beside[:-2] > 0) | (beside[2:] > 0))
     # one zero stays after each run that stays
     use |= np.concatenate([[False], use[:-1]]) & (ids == 0)
-    ids = ids[use]
+    return _stretches(ids[use])
+
+
+def _ends(ids: np.ndarray, most: int) -> np.ndarray:
+    """Ends of stretches of about ``most`` ids, each after a zero; a longer run stands alone. The last id is a zero."""
     ends = np.flatnonzero(ids == 0) + 1
+    return np.unique(ends[np.searchsorted(ends, np.minimum(np.arange(most, len(ids) + most, most), len(ids)))])
+
+
+def _stretches(ids: np.ndarray):
     at = 0
-    while at < len(ids):
-        end = int(ends[np.searchsorted(ends, min(at + ROW_IDS, len(ids)))])
+    for end in _ends(ids, STRETCH).tolist():
         yield ids[at:end]
         at = end
 
@@ -208,11 +221,17 @@ def _compact(ids: np.ndarray):
 # --- double arrays ------------------------------------------------------------------------------
 
 
+def dealt(parents: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each edge, and the first row of every parent, with the number of rows at the end: ``label % rows`` deals a parent's edges."""
+    firsts = np.concatenate([[0], np.cumsum(-(-np.bincount(parents) // ROW))])
+    return firsts[parents] + labels % (firsts[parents + 1] - firsts[parents]), firsts
+
+
 def double_array(parents: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """``base`` of ``width`` states and ``check``, such that ``check[base[p] + label] == p`` for the given edges alone.
 
     States with several children take the first free place that holds them all, tried from the widest to the smallest; states with one
-    child fill the places left over.
+    child fill the places left over. The arrays stay about as large as the edges if no state has many children (see ``dealt``).
     """
     order = np.lexsort((labels, parents))
     parents, labels = parents[order], labels[order]
@@ -220,29 +239,25 @@ def double_array(parents: np.ndarray, labels: np.ndarray, width: int) -> tuple[n
     sizes = np.diff(np.append(first, len(parents)))
     base = np.zeros(width, np.int64)
     check = np.full(int(len(parents) * 1.1) + 64, -1, np.int64)
-    low = high = 0
+    low = 0
     for i in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
         mine = labels[first[i] : first[i] + sizes[i]]
         shape = mine - mine[0]
         while low < len(check) and check[low] >= 0:
             low += 1
         at, place = low, -1
-        for _ in range(ROUNDS):
+        while place < 0:
             if at + TRIES + int(shape[-1]) > len(check):
                 check = np.concatenate([check, np.full(max(len(check) // 2, TRIES + int(shape[-1])), -1, np.int64)])
             starts = at + np.flatnonzero(check[at : at + TRIES] < 0)
             fits = (check[starts[:, None] + shape] < 0).all(axis=1)
             if fits.any():
                 place = int(starts[np.argmax(fits)])
-                break
-            at += TRIES
-        if place < 0:
-            # the places passed over are left to states with one child
-            low, place = at, high
-            if place + int(shape[-1]) >= len(check):
-                check = np.concatenate([check, np.full(len(check) // 2 + int(shape[-1]) + TRIES, -1, np.int64)])
+            else:
+                at += TRIES
+        if at - low >= ROUNDS * TRIES:
+            low = at
         check[place + shape] = parents[first[i]]
-        high = max(high, place + int(shape[-1]) + 1)
         base[parents[first[i]]] = place - int(mine[0])
     alone = first[sizes == 1]
     free = np.flatnonzero(check < 0)
@@ -256,10 +271,13 @@ def double_array(parents: np.ndarray, labels: np.ndarray, width: int) -> tuple[n
 
 
 class Level:
-    """One level of the trie: shards of double arrays by ``state % shards``, their states numbered from ``starts`` on."""
+    """One level of the trie: shards of double arrays by ``state % shards``, their states numbered from ``starts`` on.
 
-    def __init__(self, folder: str, starts: list[int]):
-        self.folder, self.starts, self.open = folder, starts, {}
+    ``rows``: states are dealt to rows (``dealt``), and the files have each one's first row; else a state is a row.
+    """
+
+    def __init__(self, folder: str, starts: list[int], rows: bool = False):
+        self.folder, self.starts, self.rows, self.open = folder, starts, rows, {}
 
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
@@ -277,7 +295,14 @@ class Level:
             rows = np.flatnonzero((states >= 0) & (labels > 0) & (states % shards == shard))
             base, check = self._file("base", shard), self._file("check", shard)
             own = states[rows] // shards
-            rows, own = rows[own < len(base)], own[own < len(base)]
+            if self.rows:
+                firsts = self._file("rows", shard)
+                rows, own = rows[own < len(firsts) - 1], own[own < len(firsts) - 1]
+                many = firsts[own + 1] - firsts[own]
+                rows, own, many = rows[many > 0], own[many > 0], many[many > 0]
+                own = firsts[own] + labels[rows] % many
+            else:
+                rows, own = rows[own < len(base)], own[own < len(base)]
             place = base[own] + labels[rows]
             inside = (place >= 0) & (place < len(check))
             rows, own, place = rows[inside], own[inside], place[inside]
@@ -285,38 +310,35 @@ class Level:
             out[rows[hit]] = self.starts[shard] + place[hit]
         return out
 
-    def counts(self, states: np.ndarray):
-        """(states, occurrences) of the states met, shard by shard."""
-        for start, end in zip(self.starts, self.starts[1:]):
-            here = np.bincount(states[(states >= start) & (states < end)] - start)
-            found = np.flatnonzero(here)
-            yield found + start, here[found]
-
 
-def _level(edges: DataFrame, shard: int) -> tuple[Level, DataFrame]:
-    """The level's files, and ``edges`` (state, word) with the state ``to`` that each leads to."""
+def _level(edges: DataFrame, shard: int, states: int = 0) -> tuple[Level, DataFrame]:
+    """The level's files, and ``edges`` (state, word) with the state ``to`` that each leads to; ``states``: the last level's number of states."""
     folder = scratch(edges.sparkSession, "level")
-    shards = max(1, -(-edges.count() // shard))
+    # a shard has a few numbers for each state, too
+    shards = max(1, -(-edges.count() // shard), -(-states // (4 * shard)))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         at = key[0].as_py()
         parents, labels = table["state"].to_numpy() // shards, table["word"].to_numpy()
-        base, check = double_array(parents, labels, int(parents.max()) + 1)
-        put(f"{folder}/{at}.base", [base.tobytes()])
-        put(f"{folder}/{at}.check", [check.tobytes()])
-        to = pa.array(base[parents] + labels)
+        rows, firsts = dealt(parents, labels)
+        base, check = double_array(rows, labels, int(firsts[-1]))
+        for kind, numbers in (("rows", firsts), ("base", base), ("check", check)):
+            put(f"{folder}/{at}.{kind}", [memoryview(numbers)])
+        to = pa.array(base[rows] + labels)
+        del rows, firsts, base
+        hand_back()
         return pa.table({"at": table["at"], "state": table["state"], "word": table["word"], "place": to, "states": pa.array(np.full(len(parents), len(check)))})
 
-    dealt = edges.select(F.pmod("state", F.lit(shards)).alias("at"), "state", "word")
-    built = stored(dealt.groupBy("at").applyInArrow(run, "at long, state long, word long, place long, states long"), "edges")
+    sharded = edges.select(F.pmod("state", F.lit(shards)).alias("at"), "state", "word")
+    built = stored(sharded.groupBy("at").applyInArrow(run, "at long, state long, word long, place long, states long"), "edges")
     sizes = {r.at: r.states for r in built.groupBy("at").agg(F.max("states").alias("states")).collect()}
     # a shard without edges has empty arrays
     for at in set(range(shards)) - sizes.keys():
-        put(f"{folder}/{at}.base", [])
-        put(f"{folder}/{at}.check", [])
+        for kind in ("rows", "base", "check"):
+            put(f"{folder}/{at}.{kind}", [])
     starts = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(shards)])]).tolist()
     start = F.get(F.array(*[F.lit(s) for s in starts]), F.col("at").cast("int"))
-    return Level(folder, starts), built.select("state", "word", (F.col("place") + start).cast("long").alias("to"))
+    return Level(folder, starts, True), built.select("state", "word", (F.col("place") + start).cast("long").alias("to"))
 
 
 # --- phrases ------------------------------------------------------------------------------------
@@ -368,12 +390,16 @@ def pass_over(runs: DataFrame, levels: list[Level], width: int, least: int, prop
     def run(batches):
         sums = _Sums(width)
         for batch in batches:
-            for row in batch[0]:
-                ids = np.frombuffer(row.as_buffer(), "<i4").astype(np.int64)
+            ends = np.frombuffer(batch[0].buffers()[1], np.int32)[batch[0].offset : batch[0].offset + len(batch[0]) + 1] // 4
+            # the rows lie one after the other, each with a zero at its end
+            flat = np.frombuffer(batch[0].buffers()[2] or b"", "<i4")[ends[0] : ends[-1]] if len(batch[0]) else ends
+            for part in _stretches(flat):
+                ids = part.astype(np.int64)
                 states = advanced(ids, levels)[-1]
                 if levels:
-                    for found, counts in levels[-1].counts(states):
-                        sums.add(found, 0, counts)
+                    # a stretch has few states beside all of a level, so its memory and time don't grow with the level
+                    found, counts = np.unique(states[states >= 0], return_counts=True)
+                    sums.add(found, 0, counts)
                 if propose:
                     nxt = np.zeros(len(ids), np.int64)
                     nxt[: -len(levels) - 1] = ids[len(levels) + 1 :]
@@ -384,7 +410,7 @@ def pass_over(runs: DataFrame, levels: list[Level], width: int, least: int, prop
                 yield from sums.batches(HOLD)
         yield from sums.batches(0)
 
-    summed = runs.mapInArrow(run, "state long, word long, m long").groupBy("state", "word").agg(F.sum("m").alias("m"))
+    summed = runs.mapInArrow(trimmed(run), "state long, word long, m long").groupBy("state", "word").agg(F.sum("m").alias("m"))
     return summed.filter((F.col("word") == 0) | (F.col("m") >= least))
 
 
@@ -408,7 +434,7 @@ def phrases(texts: DataFrame, words: int = WORDS, least: int = LEAST, shard: int
         edges = proposed.filter("word > 0").select("state", "word")
         if edges.isEmpty():
             return found, totals
-        level, placed = _level(edges, shard)
+        level, placed = _level(edges, shard, levels[-1].starts[-1] if levels else width)
         levels.append(level)
         ends = placed.join(ends, "state").join(names, "word").select(F.col("to").alias("state"), "lang", F.concat("phrase", F.array("name")).alias("phrase"))
         ends = stored(ends, "phrases")

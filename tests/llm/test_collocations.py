@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lanewise.llm.collocations import Level, _compact, _words, advanced, collocations, double_array, phrases
+from lanewise.llm.collocations import Level, _compact, _ends, _level, _vocabulary, _words, advanced, collocations, double_array, encoded, phrases
 from lanewise.llm.queries import op12_collocations
 
 
@@ -119,6 +119,32 @@ def test_level_steps(tmp_path):
     assert len(advanced(np.array([7, 1, 0], np.int64), [level])) == 2
 
 
+def test_levels_of_scattered_children_are_small(spark):
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([np.full(40, 500), np.full(300, 20), np.ones(2000, int)])
+    pairs = np.unique([(s, w) for s, n in enumerate(sizes.tolist()) for w in rng.integers(1, 100_000, n).tolist()], axis=0)
+    level, placed = _level(spark.createDataFrame(pairs.tolist(), "state long, word long"), 1 << 20)
+    assert level.starts[-1] < 4 * len(pairs) + 100_000
+    to = {(r.state, r.word): r.to for r in placed.collect()}
+    assert len(set(to.values())) == len(to) == len(pairs)
+    asked = np.concatenate([pairs, np.stack([rng.integers(-1, 2500, 50_000), rng.integers(0, 100_000, 50_000)], axis=1)])
+    assert level.step(asked[:, 0], asked[:, 1]).tolist() == [to.get((s, w), -1) for s, w in asked.tolist()]
+
+
+def test_encoded_rows_are_short(spark):
+    words = spark.createDataFrame([("en", "a", 9), ("en", "b", 9)], "lang string, word string, n long")
+    rows = encoded(spark.createDataFrame([("en", "a b. c " * 900)] * 3 + [("en", "b a " * 300)], "lang string, text string").coalesce(1), _vocabulary(words, 100)[0]).collect()
+    ids = [np.frombuffer(r.ids, "<i4") for r in rows]
+    assert all(i[-1] == 0 for i in ids) and sorted(map(len, ids))[-2] <= 130 and 601 <= max(map(len, ids)) < 601 + 128
+    assert sum(len(i) for i in ids) == 3 * 900 * 3 + 601
+
+
+def test_ends():
+    ids = np.array([1, 2, 0, 3, 4, 5, 6, 7, 0, 1, 1, 0])
+    assert [_ends(ids, n).tolist() for n in (1, 3, 4, 9, 10, 99)] == [[3, 9, 12], [3, 9, 12], [9, 12], [9, 12], [12], [12]]
+    assert _ends(ids[:0], 4).tolist() == []
+
+
 def test_words_and_runs():
     words, codes, counts = _words(pa.array(["A b.c", None, " ..\t ", "a\x0bB\tA"]))
     assert [words[i].as_py() if i >= 0 else "." for i in codes.tolist()] == ["a", "b", ".", "c", ".", "a", ".", "b", "a"]
